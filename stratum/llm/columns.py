@@ -34,14 +34,10 @@ def words_lower(text: Column) -> Column:
     return words(ascii_lower(whole(text)))
 
 
-def take_columns(own: list[str], taken: list[str], prefix: str = "_") -> dict[str, str]:
-    """Names for working columns that don't clash with those of the input."""
-    lower = {x.lower() for x in taken}
-    names = {}
-    for name in own:
-        free = name
-        while free.lower() in lower:
-            free = prefix + free
-        names[name] = free
-        lower.add(free.lower())
-    return names
+def sealed(value: Column) -> Column:
+    """The same value, which the optimizer doesn't copy into conditions or projections above.
+
+    A filter on a computed array would otherwise move below the projection and compute it anew for each use,
+    within lambdas for each element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)

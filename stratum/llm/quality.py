@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.columns import GAP, whole, words
+from stratum.llm.columns import GAP, sealed, whole, words
 from stratum.scratch import is_small
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -75,7 +75,8 @@ def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     out = third.withColumn("n_repeat_words", covered.cast("long"))
     nw, nl = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     rates = {"word_length": F.col("word_chars") / nw, "symbol_rate": F.col("n_symbols") / nw, "dup_line_rate": F.col("n_dup_lines") / nl, "repeat_rate": F.col("n_repeat_words") / nw}
-    return out.select("row", "lang", "source", F.struct(*[F.col(c) for c in COUNTS], *[v.alias(k) for k, v in rates.items()]).alias("q"))
+    q = F.struct(*[F.col(c) for c in COUNTS], *[v.alias(k) for k, v in rates.items()])
+    return out.select("row", "lang", "source", sealed(q).alias("q"))
 
 
 def measure(docs: DataFrame, rules: Rules = Rules(), **names: str) -> DataFrame:
