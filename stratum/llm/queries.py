@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import quality, sql
+from stratum.llm import pii, quality, sql
 from stratum.scratch import Scratch
 
 
@@ -22,8 +22,14 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("row.doc_id", *[f"q.{c}" for c in quality.COUNTS], "q.base_failed", "q.kept")
 
 
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(_table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("row.doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality": op9_quality}
+    return {"op1_pii": op1_pii, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
