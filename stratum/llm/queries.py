@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import pii, quality, sql
+from stratum.llm import mixing, pii, quality, sql
 from stratum.scratch import Scratch
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "source", "text")
+    return mixing.allot(docs, keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     measured = Scratch(spark, "quality").save(quality.measure(docs).select(F.struct("row.doc_id").alias("row"), "lang", "source", "q"), "measured")
@@ -29,7 +34,7 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op9_quality": op9_quality}
+    return {"op1_pii": op1_pii, "op5_mixing": op5_mixing, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:

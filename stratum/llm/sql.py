@@ -1,3 +1,37 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op5_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ([3, 1, 2])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT AS w
+  FROM d GROUP BY source),
+c AS (
+  SELECT *, (2 * source_size)::HUGEINT AS cap,
+         coalesce(sum(2 * source_size) OVER (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+         sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_left,
+         sum(source_size) OVER () AS all_words
+  FROM s),
+f AS (
+  SELECT *, (3 * all_words - 2 * used)::HUGEINT AS num, (2 * w_left)::HUGEINT AS den,
+         (3 * all_words - 2 * used) * w <= cap * 2 * w_left AS free
+  FROM c),
+l AS (SELECT num, den FROM f WHERE free ORDER BY source_size / w, source IS NULL, source LIMIT 1),
+b AS (
+  SELECT source, source_size,
+         CASE WHEN free THEN l.num::DOUBLE * w / l.den::DOUBLE ELSE cap::DOUBLE END AS target,
+         (CASE WHEN free THEN (l.num * w) // l.den ELSE cap END)::BIGINT AS budget
+  FROM f LEFT JOIN l ON TRUE),
+p AS (
+  SELECT d.doc_id, d.size, b.source_size, b.target, b.budget,
+         CASE WHEN b.source_size > 0 THEN b.budget // b.source_size ELSE 0 END AS epochs,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + least(greatest(budget - epochs * source_size - before, 0), size))::BIGINT AS taken
+FROM p"""
