@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import mixing, pii, quality, sql
+from stratum.llm import decontam, mixing, pii, quality, sql
 from stratum.scratch import Scratch
 
 
@@ -20,6 +20,14 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.allot(docs, keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_decontam(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each document and item that it has leaked words of: the longest segment."""
+    docs, benchmark = _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark")
+    found = decontam.leaks(docs, benchmark, carry={"doc_id": F.col("doc_id")})
+    best = F.max(F.struct("n_equal", "n_words", "similarity", (-F.col("at")).alias("before")))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"), "b.similarity", (-F.col("b.before")).cast("long").alias("first_word"))
+
+
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     measured = Scratch(spark, "quality").save(quality.measure(docs).select(F.struct("row.doc_id").alias("row"), "lang", "source", "q"), "measured")
@@ -34,7 +42,7 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op5_mixing": op5_mixing, "op9_quality": op9_quality}
+    return {"op1_pii": op1_pii, "op5_mixing": op5_mixing, "op6_decontam": op6_decontam, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
