@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import chat, decontam, html, mixing, pii, quality, sql
+from stratum.llm import chat, decontam, html, mixing, pii, quality, sql, toxicity
 from stratum.scratch import Scratch
 
 
@@ -21,6 +21,15 @@ def op2_html(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract(pages).select("row.page_id", "row.url", "text", "n_chars")
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """The toxic documents; every document is scored. The chain predicts low quality first."""
+    _bounded(spark)
+    docs, labels = _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "labels")
+    model = toxicity.train(docs, labels, {"low_quality": "1 - quality", "toxic": "toxic"})
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.where("is_toxic").select("row.doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "source", "text")
     return mixing.allot(docs, keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +58,12 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("row.doc_id", *[f"q.{c}" for c in quality.COUNTS], "q.base_failed", "q.kept")
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Batches for Python hold a bounded number of bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find(_table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -56,7 +71,7 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_html": op2_html, "op5_mixing": op5_mixing, "op6_decontam": op6_decontam, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_pii": op1_pii, "op2_html": op2_html, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontam": op6_decontam, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
