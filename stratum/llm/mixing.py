@@ -82,7 +82,7 @@ def allot(docs: DataFrame, mix: Mix = Mix(), label: str = "mix", doc_id: str = "
     row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
     measured = docs.select(row.alias("row"), F.col(f"`{source}`").alias("source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"), random_key(F.col(f"`{doc_id}`")).alias("key"), F.col(f"`{doc_id}`").alias("id"))
     measured = scratch.save(measured, "measured")
-    buckets = max(16, measured.count() // BUCKET_ROWS + 1)
+    buckets = max(256, measured.count() // BUCKET_ROWS + 1)
     bits = (buckets - 1).bit_length()
     bucket = F.shiftright("key", _KEY_BITS - bits).cast("int")
     sums = scratch.save(measured.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "sums")
