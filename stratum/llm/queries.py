@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import chat, decontam, html, mixing, pii, quality, sql, toxicity
+from stratum.llm import chat, decontam, html, mixing, neardup, pii, quality, sql, toxicity
 from stratum.scratch import Scratch
 
 
@@ -21,6 +21,12 @@ def op2_html(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract(pages).select("row.page_id", "row.url", "text", "n_chars")
 
 
+def op3_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    _bounded(spark)
+    found = neardup.clusters(_table(spark, sf, "documents").select("doc_id", "text"), neardup.Near(words=3, percent=85), keep=["doc_id"])
+    return found.select("row.doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """The toxic documents; every document is scored. The chain predicts low quality first."""
     _bounded(spark)
@@ -71,7 +77,7 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_html": op2_html, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontam": op6_decontam, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_pii": op1_pii, "op2_html": op2_html, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontam": op6_decontam, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
