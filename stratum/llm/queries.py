@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import chat, decontam, html, lm, mixing, neardup, pii, quality, sql, toxicity
+from stratum.llm import chat, decontam, html, lm, mixing, neardup, pii, quality, sql, suffix, toxicity
 from stratum.scratch import Scratch
 
 
@@ -49,6 +49,12 @@ def op6_decontam(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"), "b.similarity", (-F.col("b.before")).cast("long").alias("first_word"))
 
 
+def op7_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    _bounded(spark)
+    cleaned = suffix.remove_repeats(_table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return cleaned.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
     _bounded(spark)
     docs, scratch = _table(spark, sf, "documents").select("doc_id", "text"), Scratch(spark, "lm")
@@ -85,7 +91,7 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_html": op2_html, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontam": op6_decontam, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_pii": op1_pii, "op2_html": op2_html, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontam": op6_decontam, "op7_suffix": op7_suffix, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
