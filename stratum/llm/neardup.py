@@ -9,9 +9,10 @@
    that lie more than ``sigmas`` standard errors below the threshold.
 3. Links are sought for connected components. In each bucket one hub is compared with the members of other
    components, first the member that shares most buckets with others (an original among its near
-   copies), then others at random, and components are merged after each round. That is one row for each member,
+   copies), then another at random, and components are merged after each round. That is one row for each member,
    never all pairs. A last pass takes what is left: pairs of one bucket that still are in different
-   components, filtered by size and estimate within the join. Hub rounds don't decide anything, they save work; the
+   components, filtered within the join by size and by the estimate from a longer signature, which is computed
+   only for the texts in question and rules out nearly all pairs below the threshold. Hub rounds don't decide anything, they save work; the
    last pass makes the result that of all candidate pairs.
 4. Every pair that passes the estimate is confirmed on the full sets of both texts.
 
@@ -51,7 +52,8 @@ class Near:
     bits: int = 4
     miss: float = 1e-6
     sigmas: float = 5.0
-    rounds: int = 3
+    rounds: int = 2
+    last_hashes: int = 1024
     seed: int = 11
 
     @property
@@ -66,31 +68,26 @@ class Near:
     def hashes(self) -> int:
         return self.rows * self.bands
 
-    @property
-    def lanes(self) -> int:
-        """Words of a plane."""
-        return -(-self.hashes // 64)
-
-    def least_equal(self) -> float:
+    def least_equal(self, hashes: int) -> float:
         """Least share of equal b-bit minima of a pair worth confirming."""
         chance = 2.0**-self.bits
         equal = self.percent / 100 * (1 - chance) + chance
-        return equal - self.sigmas * math.sqrt(equal * (1 - equal) / self.hashes)
+        return equal - self.sigmas * math.sqrt(equal * (1 - equal) / hashes)
 
 
 class Hasher:
-    def __init__(self, near: Near) -> None:
-        rng = np.random.default_rng(near.seed)
-        self.near = near
-        self.a = (rng.integers(0, 2**32, near.hashes, dtype=np.uint64) | U(1)).astype(np.uint32)[:, None]
-        self.b = rng.integers(0, 2**32, near.hashes, dtype=np.uint64).astype(np.uint32)[:, None]
+    def __init__(self, near: Near, hashes: int) -> None:
+        rng = np.random.default_rng(near.seed + hashes)
+        self.near, self.hashes = near, hashes
+        self.a = (rng.integers(0, 2**32, hashes, dtype=np.uint64) | U(1)).astype(np.uint32)[:, None]
+        self.b = rng.integers(0, 2**32, hashes, dtype=np.uint64).astype(np.uint32)[:, None]
         self.coefficients = rng.integers(0, 2**63, near.rows, dtype=np.uint64) | U(1)
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> U(32)).astype(np.uint32)
-        out = np.full(self.near.hashes, 0xFFFFFFFF, np.uint32)
-        for i in range(0, len(x), 2048):
-            np.minimum(out, (self.a * x[None, i : i + 2048] + self.b).min(axis=1), out=out)
+        out = np.full(self.hashes, 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(x), 512):
+            np.minimum(out, (self.a * x[None, i : i + 512] + self.b).min(axis=1), out=out)
         return out
 
     def bands(self, minima: np.ndarray) -> np.ndarray:
@@ -100,12 +97,14 @@ class Hasher:
         return mix((m * self.coefficients).sum(axis=2, dtype=U) + mix(np.arange(1, near.bands + 1, dtype=U))[None, :]).view(np.int64)
 
     def signatures(self, minima: np.ndarray) -> np.ndarray:
-        """rows of minima -> packed low bits: ``bits`` planes of ``lanes`` words."""
-        near = self.near
-        padded = np.zeros((len(minima), near.lanes * 64), np.uint32)
-        padded[:, : near.hashes] = minima
-        planes = [np.packbits((padded >> j) & 1, axis=1).view(np.int64) for j in range(near.bits)]
-        return np.hstack(planes)
+        """rows of minima -> packed low bits: ``bits`` planes of as many words as the hashes fill."""
+        padded = np.zeros((len(minima), _lanes(self.hashes) * 64), np.uint32)
+        padded[:, : self.hashes] = minima
+        return np.hstack([np.packbits((padded >> j) & 1, axis=1).view(np.int64) for j in range(self.near.bits)])
+
+
+def _lanes(hashes: int) -> int:
+    return -(-hashes // 64)
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:
@@ -120,7 +119,7 @@ def sign(docs: DataFrame, near: Near = Near(), text: str = "text", keep: list[st
     schema = packed.drop("text").schema.add("n_shingles", "long").add("fp1", "long").add("fp2", "long").add("sig", ArrayType(LongType())).add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(near)
+        hasher = Hasher(near, near.hashes)
         for b in batches:
             texts = b.column("text").to_pylist()
             n, fp1, fp2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), U), np.zeros(len(texts), U)
@@ -137,16 +136,29 @@ def sign(docs: DataFrame, near: Near = Near(), text: str = "text", keep: list[st
     return packed.mapInArrow(run, schema)
 
 
-def _few_unequal(a: Column, b: Column, near: Near) -> Column:
+def _few_unequal(a: Column, b: Column, near: Near, hashes: int) -> Column:
     """Whether the signatures' estimate lets the pair pass."""
-    unequal = F.lit(0)
-    for lane in range(near.lanes):
+    unequal, lanes = F.lit(0), _lanes(hashes)
+    for lane in range(lanes):
         word = None
         for plane in range(near.bits):
-            x = F.get(a, F.lit(plane * near.lanes + lane)).bitwiseXOR(F.get(b, F.lit(plane * near.lanes + lane)))
+            x = F.get(a, F.lit(plane * lanes + lane)).bitwiseXOR(F.get(b, F.lit(plane * lanes + lane)))
             word = x if word is None else word.bitwiseOR(x)
         unequal = unequal + F.bit_count(word)
-    return unequal <= math.floor(near.hashes * (1 - near.least_equal()))
+    return unequal <= math.floor(hashes * (1 - near.least_equal(hashes)))
+
+
+def _long_signatures(texts: DataFrame, near: Near) -> DataFrame:
+    """(cid, long): signatures of ``last_hashes`` minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(near, near.last_hashes)
+        for b in batches:
+            minima = [hasher.minima(shingle_set(t, near.words)) for t in b.column("text").to_pylist()]
+            if minima:
+                yield pa.RecordBatch.from_arrays([b.column("cid"), _lists(hasher.signatures(np.stack(minima)))], names=["cid", "long"])
+
+    return texts.select("cid", "text").mapInArrow(run, "cid long, long array<long>")
 
 
 def _sizes_fit(a: Column, b: Column, near: Near) -> Column:
@@ -215,7 +227,7 @@ def clusters(docs: DataFrame, near: Near = Near(), label: str = "neardup", text:
 
     slim = signatures.select("cid", "degree")
     sig_of = lambda c: signatures.select(F.col("cid").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    fits = _sizes_fit(F.col("na"), F.col("nb"), near) & _few_unequal(F.col("sa"), F.col("sb"), near)
+    fits = _sizes_fit(F.col("na"), F.col("nb"), near) & _few_unequal(F.col("sa"), F.col("sb"), near, near.hashes)
     comp, links = None, None
     for k in range(near.rounds):
         current = buckets.select("bucket", "cid")
@@ -232,10 +244,12 @@ def clusters(docs: DataFrame, near: Near = Near(), label: str = "neardup", text:
     # What is left: pairs of one bucket in different components.
     current = buckets.select("bucket", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("comp"))
     open_ = current.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-    rest = current.join(open_, "bucket").join(signatures.select("cid", "sig", "n"), "cid")
-    rest = scratch.save(rest, "rest")
-    a = rest.select("bucket", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    b = rest.select(F.col("bucket").alias("bucket2"), F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
+    rest = scratch.save(current.join(open_, "bucket"), "rest-buckets")
+    long = scratch.save(_long_signatures(texts.join(rest.select("cid").distinct(), "cid"), near), "long")
+    rest = scratch.save(rest.join(long, "cid").join(signatures.select("cid", "n"), "cid"), "rest")
+    a = rest.select("bucket", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("long").alias("sa"), F.col("n").alias("na"))
+    b = rest.select(F.col("bucket").alias("bucket2"), F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("long").alias("sb"), F.col("n").alias("nb"))
+    fits = _sizes_fit(F.col("na"), F.col("nb"), near) & _few_unequal(F.col("sa"), F.col("sb"), near, near.last_hashes)
     pairs = a.join(b, (F.col("bucket") == F.col("bucket2")) & (F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
     found = scratch.save(_confirm(scratch.save(pairs, "pairs-rest"), texts, near), "links-rest")
     comp = components(links.union(found), scratch, "all")

@@ -91,10 +91,10 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
 
 def test_estimate_is_unbiased():
     near, rng = N.Near(words=3, percent=85), np.random.default_rng(4)
-    hasher, errors = N.Hasher(near), []
+    hasher, errors = N.Hasher(near, near.hashes), []
     for _ in range(60):
         x = rng.integers(0, 2**63, 1000, dtype=np.uint64)
-        sig = hasher.signatures(np.stack([hasher.minima(x[:900]), hasher.minima(x[50:])])).view(np.uint64).reshape(2, near.bits, near.lanes)
+        sig = hasher.signatures(np.stack([hasher.minima(x[:900]), hasher.minima(x[50:])])).view(np.uint64).reshape(2, near.bits, -1)
         unequal = np.bitwise_count(np.bitwise_or.reduce(sig[0] ^ sig[1], axis=0)).sum()
         equal, chance = 1 - unequal / near.hashes, 2.0**-near.bits
         errors.append((equal - chance) / (1 - chance) - 0.85)
