@@ -1,7 +1,7 @@
 """A log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
 Words map to ``symbols`` symbols: the end of a text, the most frequent words, and classes of all other
-words (by the hash of a word's first bytes, so a class holds words that begin alike and a new word has
+words (by the hash of a word's first three bytes, so a class holds words that begin alike and a new word has
 one too). The model is log-bilinear over symbols: the vectors of the two symbols before are combined
 linearly and scored against every symbol. P(word | context) = P(symbol | context) * P(word | class), the
 latter add-one smoothed within the class with one unit for a word not seen; both parts sum to one, so scores
@@ -16,7 +16,7 @@ by batched products in each worker.
 
 Counts of the ``frequent`` most frequent words travel with the scoring tasks (a fixed bound). All other
 words, rare ones, are looked up by a join on their hash, each document's repeats combined first; no rare
-word is a hot key. Words are identified by 64-bit hashes.
+word is a hot key. Words are identified by hashes of 57 bits and their class.
 
 Null text is empty: one token, the end. Texts are whole whatever their length. Without training documents
 all counts are 0 and the model is uniform over symbols. Repeated rows count each.
@@ -24,25 +24,23 @@ all counts are 0 and the model is uniform over symbols. Repeated rows count each
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from stratum.llm.shingles import words_of
+from stratum.llm.shingles import U, mix
 from stratum.scratch import Scratch
 
 START, END = 0, 1
-#: Stands for the end of a text among words; no word has a line feed.
-END_WORD = b"\n"
-CACHE_WORDS = 300_000
-FLUSH_WORDS = 400_000
+#: Texts are hashed in pieces of about so many bytes, whole texts each.
+PIECE_BYTES = 1 << 19
+#: A task's hashes are combined when so many have gathered.
+FLUSH_TOKENS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -53,7 +51,7 @@ class Shape:
     dim: int = 32
     noise: int = 64
     batch: int = 8192
-    rounds: int = 3
+    rounds: int = 2
     least_steps: int = 150
     rate: float = 0.02
     seed: int = 5
@@ -64,42 +62,90 @@ class Shape:
         return self.symbols - self.classes - 2
 
 
-def word_hash(word: bytes) -> int:
-    """64 bits, signed as Spark's long."""
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def word_class(word: bytes, shape: Shape) -> int:
-    return zlib.crc32(word[:3]) % shape.classes
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUE = np.random.default_rng(23).integers(0, 2**63, 256, dtype=np.uint64) | U(1)
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: The low bits of a word's hash are its class; the last value stands for the end of a text.
+CLASS_BITS = 7
+END_CLASS = (1 << CLASS_BITS) - 1
+END_HASH = END_CLASS
+_powers = [np.ones(1, U), np.ones(1, U)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            x = np.full(max(n, 2 * PIECE_BYTES), U(base))
+            x[0] = U(1)
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers
+
+
+def hash_words(texts: list[str | None], classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order (57 bits and the class, from the first three bytes) and the number of words of each text."""
+    raws = [(t or "").encode() for t in texts]
+    data = _LOWER[np.frombuffer(b" ".join(raws) + b"   ", np.uint8)]
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(space) and not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, stop = edge[::2], edge[1::2]
+    power, inverse = _power_tables(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, U)
+    np.cumsum(_VALUE[data] * power[: len(data)], out=prefix[1:])
+    h = mix((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(U))
+    second, third = np.where(stop - start > 1, data[start + 1], 0), np.where(stop - start > 2, data[start + 2], 0)
+    cls = mix((data[start].astype(U) << U(16)) | (second.astype(U) << U(8)) | third.astype(U)) % U(classes)
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    counts = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
+    return ((h & ~U(END_CLASS)) | cls).view(np.int64), counts
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about PIECE_BYTES together."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= PIECE_BYTES:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _counted(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
-    """(h, cls, n) of the words of a task; the end counts as a word of no class."""
-    counts: Counter = Counter()
+def _combined(parts: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    values, n = np.unique(np.concatenate(parts), return_counts=True)
+    for i in range(0, len(values), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(values[i : i + 200_000].astype(np.int64)), pa.array(n[i : i + 200_000].astype(np.int64))], names=names)
 
-    def rows():
-        ws = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in ws], pa.int64()), pa.array([-1 if w == END_WORD else word_class(w, shape) for w in ws], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["h", "cls", "n"])
 
+def _counted(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
+    """(h, n) of the words of a task and of the ends of its texts."""
+    parts, size, ends = [], 0, 0
     for b in batches:
         texts = b.column("text").to_pylist()
-        for t in texts:
-            counts.update(words_of(t))
-        counts[END_WORD] += len(texts)
-        if len(counts) > FLUSH_WORDS:
-            yield rows()
-            counts.clear()
-    if counts:
-        yield rows()
+        ends += len(texts)
+        for i, j in _pieces(texts):
+            parts.append(hash_words(texts[i:j], shape.classes)[0])
+            size += len(parts[-1])
+        if size > FLUSH_TOKENS:
+            yield from _combined(parts, ["h", "n"])
+            parts, size = [], 0
+    if size:
+        yield from _combined(parts, ["h", "n"])
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([END_HASH]), pa.array([ends])], names=["h", "n"])
 
 
 class Lexicon:
-    """Maps the words of a task to symbols and to what is known of them."""
+    """Maps words to symbols and to what is known of them."""
 
     def __init__(self, shape: Shape, hashes: np.ndarray, counts: np.ndarray) -> None:
         """``hashes`` of the frequent words, most frequent first, with their counts; the first ``listed`` are symbols."""
@@ -107,57 +153,60 @@ class Lexicon:
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.counts = hashes[order], counts[order]
         self.symbol = np.where(order < shape.listed, order + 2, -1).astype(np.int32)
-        self.cache: dict[bytes, tuple[int, int, int]] = {}
-
-    def prepare(self, texts: list[list[bytes]]) -> None:
-        """Looks up the words of a batch at once: word -> (symbol, hash, count or -1 if it isn't among the frequent words)."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*texts).difference(self.cache))
-        if not new:
-            return
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts one after another, each closed by its end: symbols, the two symbols before each, and of the
+        words hashes and counts (-1 for a word that isn't among the frequent ones); the first place of each text."""
         shape, m = self.shape, len(self.hashes)
-        h = np.fromiter(map(word_hash, new), np.int64, len(new))
-        symbol = np.fromiter((zlib.crc32(w[:3]) for w in new), np.int64, len(new)) % shape.classes + (2 + shape.listed)
-        count = np.full(len(new), -1, np.int64)
+        h, n = hash_words(texts, shape.classes)
+        symbol = (h & END_CLASS) + (2 + shape.listed)
+        count = np.full(len(h), -1, np.int64)
         if m:
             j = np.minimum(np.searchsorted(self.hashes, h), m - 1)
             found = self.hashes[j] == h
             count[found] = self.counts[j[found]]
             listed = found & (self.symbol[j] >= 0)
             symbol[listed] = self.symbol[j[listed]]
-        self.cache.update(zip(new, zip(symbol.tolist(), h.tolist(), count.tolist())))
-
-    def entries(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        cache = self.cache
-        return [cache[w] for w in words]
-
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        """The text's symbols, with two starts before and the end behind."""
-        cache = self.cache
-        return np.array([START, START, *[cache[w][0] for w in words], END], np.int64)
+        total = len(h) + len(texts)
+        last = np.cumsum(n + 1) - 1
+        first = last - n
+        flat, is_word = np.full(total, END, np.int64), np.ones(total, bool)
+        is_word[last] = False
+        flat[is_word] = symbol
+        hashes, counts = np.zeros(total, np.int64), np.full(total, -2, np.int64)
+        hashes[is_word], counts[is_word] = h, count
+        s2 = np.concatenate([[START], flat[:-1]]) if total else flat
+        s2[first] = START
+        s1 = np.concatenate([[START], s2[:-1]]) if total else flat
+        s1[first] = START
+        return flat, s1 * shape.symbols + s2, hashes, counts, first
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     """(code, n) of the symbol trigrams of a task."""
-    k = lexicon.shape.symbols
-    codes = np.zeros(0, np.int64)
-    counts = np.zeros(0, np.int64)
+    parts, size = [], 0
     for b in batches:
-        texts = [words_of(t) for t in b.column("text").to_pylist()]
-        if not texts:
-            continue
-        lexicon.prepare(texts)
-        parts = map(lexicon.symbols, texts)
-        new, n = np.unique(np.concatenate([(s[:-2] * k + s[1:-1]) * k + s[2:] for s in parts]), return_counts=True)
-        all_codes = np.concatenate([codes, new])
-        codes, inverse = np.unique(all_codes, return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([counts, n])).astype(np.int64)
-        if len(codes) > 4_000_000:
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-            codes, counts = codes[:0], counts[:0]
-    for i in range(0, len(codes), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000]), pa.array(counts[i : i + 100_000])], names=["code", "n"])
+        texts = b.column("text").to_pylist()
+        for i, j in _pieces(texts):
+            symbol, context, *_ = lexicon.read(texts[i:j])
+            parts.append((context * lexicon.shape.symbols + symbol).astype(np.int32))
+            size += len(symbol)
+        if size > FLUSH_TOKENS:
+            yield from _combined(parts, ["code", "n"])
+            parts, size = [], 0
+    if size:
+        yield from _combined(parts, ["code", "n"])
+
+
+def _summed(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows that have the same ``at``."""
+    out = np.zeros((size, *rows.shape[1:]), rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        sorted_ = at[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        out[sorted_[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 class Bilinear:
@@ -206,7 +255,6 @@ class Bilinear:
         log_noise = np.log(shape.noise * self.unigram).astype(np.float32)
         # Large counts are split over more draws by sampling in proportion, so that a batch's weights stay even.
         p = np.cumsum(counts, dtype=float)
-        picked, at = np.zeros((k, shape.batch), np.float32), np.arange(shape.batch)
         for step in range(total):
             rows = np.searchsorted(p, rng.random(shape.batch) * p[-1], side="right")
             code = codes[np.minimum(rows, len(codes) - 1)]
@@ -219,16 +267,9 @@ class Bilinear:
             gp = (1 / (1 + np.exp(-np.clip(pos, -30, 30))) - 1) / shape.batch
             gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) / shape.batch
             dq = gp[:, None] * self.v[w] + gn @ self.v[noise]
-            picked[w, at] = gp
-            dv, db = picked @ q, picked.sum(axis=1)
-            picked[w, at] = 0
-            np.add.at(dv, noise, gn.T @ q)
-            np.add.at(db, noise, gn.sum(axis=0))
-            dr = np.zeros_like(self.r)
-            for s, c in ((s1, self.c1), (s2, self.c2)):
-                picked[s, at] = 1
-                dr += picked @ (dq @ c.T)
-                picked[s, at] = 0
+            dv = _summed(gp[:, None] * q, w, k) + _summed(gn.T @ q, noise, k)
+            db = _summed(gp, w, k) + _summed(gn.sum(axis=0), noise, k)
+            dr = _summed(dq @ self.c1.T, s1, k) + _summed(dq @ self.c2.T, s2, k)
             t += 1
             for x, g, a, b in zip(self.values(), (dr, dv, r1.T @ dq, r2.T @ dq, db), m, u):
                 a += 0.1 * (g - a)
@@ -264,24 +305,24 @@ class Trained:
 def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape(), text: str = "text") -> Trained:
     """``docs``: the training documents."""
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    words = texts.mapInArrow(lambda b: _counted(b, shape), "h long, cls int, n long").groupBy("h", "cls").agg(F.sum("n").alias("n"))
-    words = scratch.save(words, "words")
+    words = texts.mapInArrow(lambda b: _counted(b, shape), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    words = scratch.save(words.withColumn("cls", F.col("h").bitwiseAND(END_CLASS).cast("int")), "words")
     class_rows = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row per class
     tokens, distinct = sum(r.n for r in class_rows), sum(r.v for r in class_rows)
-    end_count = sum(r.n for r in class_rows if r.cls < 0)
+    end_count = sum(r.n for r in class_rows if r.cls == END_CLASS)
     # The most frequent words, at most ``frequent``: those whose count passes a level, from a histogram of count levels.
     level = F.floor(F.log2("n") * 8)
     room, least = shape.frequent, None
-    for r in sorted(words.where("cls >= 0").groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):  # a few hundred rows
+    for r in sorted(words.where(F.col("cls") != END_CLASS).groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):  # a few hundred rows
         if r["count"] > room:
             break
         room, least = room - r["count"], r.level
-    top = words.where("cls >= 0").where(level >= least if least is not None else F.lit(False)).select("h", "n", "cls").toPandas()
+    top = words.where(F.col("cls") != END_CLASS).where(level >= least if least is not None else F.lit(False)).select("h", "n", "cls").toPandas()
     top = top.sort_values(["n", "h"], ascending=[False, True])
     hashes, counts = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     class_tokens, class_distinct = np.zeros(shape.classes), np.zeros(shape.classes)
     for r in class_rows:
-        if r.cls >= 0:
+        if r.cls != END_CLASS:
             class_tokens[r.cls], class_distinct[r.cls] = r.n, r.v
     for c, n in zip(top["cls"].to_numpy()[: shape.listed], counts[: shape.listed]):
         class_tokens[c] -= n
@@ -332,8 +373,7 @@ def score(docs: DataFrame, model: Trained, scratch: Scratch, text: str = "text",
     schema = packed.drop("text").schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("model", "double")):
         schema = schema.add(name, kind)
-    rare_type = packed.select(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("int").alias("n"))).alias("r")).schema["r"].dataType
-    schema = schema.add("rare", rare_type)
+    schema = schema.add("rare", ArrayType(LongType())).add("times", ArrayType(IntegerType()))
     parts = (model.shape, model.values, model.unigram, model.hashes, model.counts)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     tag = scratch.root
@@ -350,30 +390,34 @@ def score(docs: DataFrame, model: Trained, scratch: Scratch, text: str = "text",
             bilinear.set(values)
             _tables[tag] = (bilinear.log_table(), Lexicon(shape_, hashes, counts))
         table, lexicon = _tables[tag]
-        k, first = shape.symbols, 2 + shape.listed
+        classed_from = 2 + shape.listed
         for b in batches:
-            rows = []
-            texts = [words_of(t) for t in b.column("text").to_pylist()]
-            lexicon.prepare(texts)
-            for words in texts:
-                entries = lexicon.entries(words)
-                n = len(words)
-                s = np.array([START, START, *[e[0] for e in entries], END], np.int64)
-                c = np.array([e[2] for e in entries], np.float64)
-                frequent = c >= 0
-                logs = np.log10(c[frequent] + 1)
-                classed = s[2:-1] >= first
-                value = float(table[s[:-2] * k + s[1:-1], s[2:]].sum(dtype=np.float64)) - float(log_class[s[2:-1][classed] - first].sum())
-                value += float(np.log10(c[frequent & classed] + 1).sum())
-                rare = Counter(e[1] for e in entries if e[2] < 0)
-                rows.append((n + 1, int(frequent.sum()) + end_known, float(logs.sum()) + end_log - (n + 1) * log_all, value, [{"h": h, "n": m} for h, m in rare.items()]))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))], names=["row", "n_tokens", "n_known", "base", "model", "rare"])
+            texts, each = b.column("text").to_pylist(), []
+            for i, j in _pieces(texts):
+                symbol, context, hashes, counts, first = lexicon.read(texts[i:j])
+                sums = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023  each text has its end at least
+                known, end = counts >= 0, counts == -2
+                logs = np.log10(np.maximum(counts, 0) + 1.0)
+                logs[end] = end_log
+                value, classed = table[context, symbol].astype(np.float64), symbol >= classed_from
+                value[classed] += logs[classed] - log_class[symbol[classed] - classed_from]
+                n = np.diff(np.append(first, len(symbol)))
+                rare = counts == -1
+                text_of = np.repeat(np.arange(len(first)), n)[rare]
+                order = np.lexsort((hashes[rare], text_of))
+                rh, rt = hashes[rare][order], text_of[order]
+                new = np.flatnonzero(np.concatenate([[True], (rh[1:] != rh[:-1]) | (rt[1:] != rt[:-1])])) if len(rh) else np.zeros(0, int)
+                offsets = np.searchsorted(rt[new], np.arange(len(first) + 1)).astype(np.int32)
+                times = np.diff(np.append(new, len(rh))).astype(np.int32)
+                each.append((n, sums(known.astype(np.int64)) + end_known, sums(logs) - n * log_all, sums(value), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rh[new])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times))))
+            if each:
+                cols = [pa.array(np.concatenate([e[x] for e in each])) for x in range(4)] + [pa.concat_arrays([e[x] for e in each]) for x in (4, 5)]
+                yield pa.RecordBatch.from_arrays([b.column("row"), *cols], names=["row", "n_tokens", "n_known", "base", "model", "rare", "times"])
 
     scored = scratch.save(packed.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
-    spots = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.h", F.col("r.n").alias("times"))
-    looked = spots.join(model.words.where("cls >= 0").select("h", "n"), "h")  # unseen words add log10(0 + 1)
+    spots = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("h"), "r.times")
+    looked = spots.join(model.words.select("h", "n"), "h")  # unseen words add log10(0 + 1)
     sums = looked.groupBy("rid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    out = scored.drop("rare").join(sums, "rid", "left")
+    out = scored.drop("rare", "times").join(sums, "rid", "left")
     known, logs = F.coalesce("known", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return out.select("row", "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"))

@@ -53,17 +53,31 @@ def test_score_equals_the_model_word_by_word(result):
     count = Counter(w for d, t in rows if not is_held_out(d) for w in words_of(t))
     first = 2 + SMALL.listed
     for r in got:
-        words = words_of(r.row.text)[:50_000]
-        lexicon.prepare([words])
-        s, total = lexicon.symbols(words).tolist(), 0.0
+        words = words_of(r.row.text)
+        s = [lm.START, lm.START, *[int(lexicon.read([w.decode()])[0][0]) for w in words[:200]]]
+        if len(words) > 200:
+            s += [s[2]] * (len(words) - 200)  # one word again and again
+        total = 0.0
         for i, w in enumerate([*words, None]):
-            total += float(table[s[i] * SMALL.symbols + s[i + 1], s[i + 2]])
-            if w is not None and s[i + 2] >= first:
-                c = s[i + 2] - first
+            now = lm.END if w is None else s[i + 2]
+            total += float(table[s[i] * SMALL.symbols + s[i + 1], now])
+            if now >= first:
+                c = now - first
                 total += math.log10((count[w] + 1) / (model.class_tokens[c] + model.class_distinct[c] + 1))
         assert r.score == pytest.approx(total, rel=1e-5, abs=1e-4)
 
 
+def test_words_are_hashed_alike_wherever_they_stand():
+    texts = [None, "", " a\tB\x0bc  ", "longer Words é😀 a", "a" * 5000 + " b", "\n\r"]
+    h, n = lm.hash_words(texts, 96)
+    words = [w for t in texts for w in words_of(t)]
+    assert n.tolist() == [len(words_of(t)) for t in texts] and len(h) == len(words)
+    seen = {}
+    for w, x in zip(words, h.tolist()):
+        assert seen.setdefault(w, x) == x == lm.hash_words([w.decode()], 96)[0][0]
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_probabilities_sum_to_one(result):
     _, model, _ = result
     assert np.allclose((10.0 ** model.log_table().astype(float)).sum(axis=1), 1, atol=1e-5)
