@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stratum.llm import chat, decontam, html, lm, mixing, neardup, pii, quality, sql, suffix, toxicity
 from stratum.scratch import Scratch
 
@@ -91,8 +92,20 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_html": op2_html, "op3_neardup": op3_neardup, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontam": op6_decontam, "op7_suffix": op7_suffix, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {
+        "op1_pii": op1_pii,
+        "op2_html": op2_html,
+        "op3_neardup": op3_neardup,
+        "op4_toxicity": op4_toxicity,
+        "op5_mixing": op5_mixing,
+        "op6_decontam": op6_decontam,
+        "op7_suffix": op7_suffix,
+        "op8_lm": op8_lm,
+        "op9_quality": op9_quality,
+        "op10_chat": op10_chat,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.ORACLES)
+    return sql.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
