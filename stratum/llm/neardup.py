@@ -246,11 +246,13 @@ def clusters(docs: DataFrame, near: Near = Near(), label: str = "neardup", text:
     open_ = current.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
     rest = scratch.save(current.join(open_, "bucket"), "rest-buckets")
     long = scratch.save(_long_signatures(texts.join(rest.select("cid").distinct(), "cid"), near), "long")
-    rest = scratch.save(rest.join(long, "cid").join(signatures.select("cid", "n"), "cid"), "rest")
-    a = rest.select("bucket", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("long").alias("sa"), F.col("n").alias("na"))
-    b = rest.select(F.col("bucket").alias("bucket2"), F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("long").alias("sb"), F.col("n").alias("nb"))
+    rest = scratch.save(rest.join(long, "cid").join(classes.select("cid", F.col("n_shingles").alias("n"), "bands"), "cid"), "rest")
+    a = rest.select("bucket", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("long").alias("sa"), F.col("n").alias("na"), F.col("bands").alias("ba"))
+    b = rest.select(F.col("bucket").alias("bucket2"), F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("long").alias("sb"), F.col("n").alias("nb"), F.col("bands").alias("bb"))
+    # A pair counts in the first bucket that it shares only.
+    common = F.coalesce(*[F.when(F.get("ba", F.lit(k)) == F.get("bb", F.lit(k)), F.get("ba", F.lit(k))) for k in range(near.bands)])
     fits = _sizes_fit(F.col("na"), F.col("nb"), near) & _few_unequal(F.col("sa"), F.col("sb"), near, near.last_hashes)
-    pairs = a.join(b, (F.col("bucket") == F.col("bucket2")) & (F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
+    pairs = a.join(b, (F.col("bucket") == F.col("bucket2")) & (F.col("ca") < F.col("cb")) & fits & (common == F.col("bucket"))).select("a", "b")
     found = scratch.save(_confirm(scratch.save(pairs, "pairs-rest"), texts, near), "links-rest")
     comp = components(links.union(found), scratch, "all")
 
