@@ -15,8 +15,8 @@ Repeats. A byte goes if a string of ``length`` bytes that starts elsewhere too c
    at x is all that such strings can reach, [x - length + gram, x + length).
 2. Anchors whose gram hash occurs once are dropped; equal regions are one, with a count. A region that
    occurs twice is a repeat as a whole.
-3. Different regions of one gram, fetched from the texts, are cut into tokens at content-defined places
-   (and at x). Tokens are ranked by gram, offset and bytes (with a few bytes beyond, so that none is another's prefix), so the
+3. Different regions of one gram, fetched from the texts, are cut into tokens at content-defined places before x
+   and at x, where the last one starts. Tokens are ranked by gram, offset and bytes (with a few bytes beyond, so that none is another's prefix), so the
    suffix array of the ranks is that of the bytes at those places and sets only aligned strings against each other.
    Neighbours in it with a long enough common prefix are compared byte by byte from x to both sides: if they share ``length`` bytes, what
    they share goes.
@@ -234,10 +234,12 @@ def _same(a: bytes, b: bytes) -> int:
     return ((x & -x).bit_length() - 1) >> 3
 
 
-def shared_by_regions(groups: list[list[tuple[int, bytes]]], r: Repeats, walk: int | None = None) -> list[list[tuple[int, int] | None]]:
-    """For each region of each group how many bytes before x and from x on are in strings that another region of the group has at the same place."""
-    walk = WALK if walk is None else walk
+def shared_by_regions(groups: list[list[tuple[int, bytes]]], r: Repeats, settled: list[list[bool]] | None = None) -> list[list[tuple[int, int] | None]]:
+    """For each region of each group how many bytes before x and from x on are in strings that another region of the group has at the same place.
+    ``settled`` regions are only compared with; what is found for them need not be all."""
+    walk = WALK
     flat = [(g, left, data) for g, group in enumerate(groups) for left, data in group]
+    skip = [x for group in settled for x in group] if settled else [False] * len(flat)
     if not flat:
         return [[] for _ in groups]
     joined = np.frombuffer(b"".join(d for _, _, d in flat) + bytes(TOKEN_GRAM), np.uint8)
@@ -246,18 +248,16 @@ def shared_by_regions(groups: list[list[tuple[int, bytes]]], r: Repeats, walk: i
     starts: list[tuple[int, int, int]] = []  # of each token: region, offset in the region, bytes to the token before
     at = 0
     for i, (g, left, data) in enumerate(flat):
-        lo, hi = np.searchsorted(cuts, (at, at + len(data) - TOKEN_GRAM + 1))
+        lo, hi = np.searchsorted(cuts, (at, at + left))
         places = sorted({left, *(cuts[lo:hi] - at).tolist()})
         last = 0
         for p, q in zip(places, [*places[1:], len(data)]):
             keys.append(g.to_bytes(4, "big") + (p - left + (1 << 20)).to_bytes(4, "big") + data[p : q + TOKEN_GRAM])
             starts.append((i, p, p - last))
             last = p
-        keys.append(b"")  # between regions, before all tokens
-        starts.append((-1, 0, 0))
         at += len(data)
     rank = {k: j for j, k in enumerate(sorted(set(keys)))}
-    order = [k for k in suffix_array([rank[k] for k in keys]) if starts[k][0] >= 0]
+    order = suffix_array([rank[k] for k in keys])
     common = [0] * (len(order) + 1)  # of order[j - 1] and order[j]
     for j in range(1, len(order)):
         a, b = order[j - 1], order[j]
@@ -270,7 +270,7 @@ def shared_by_regions(groups: list[list[tuple[int, bytes]]], r: Repeats, walk: i
     for j, a in enumerate(order):
         i, p, gap = starts[a]
         g, left, data = flat[i]
-        if p > left:
+        if skip[i]:
             continue
         need = r.length - gap
         for step in (-1, 1):
@@ -322,9 +322,9 @@ def _cut_regions(batches: Iterator[pa.RecordBatch], r: Repeats) -> Iterator[pa.R
             raw = text.encode()
             for w in wanted:
                 a = max(0, w["x"] - r.reach)
-                rows.append((w["g"], w["rh"], w["x"] - a, raw[a : w["x"] + r.length]))
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["g", "rh", "left", "data"])
+                rows.append((w["g"], w["rh"], w["whole"], w["x"] - a, raw[a : w["x"] + r.length]))
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], names=["g", "rh", "whole", "left", "data"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], r: Repeats) -> Iterator[pa.RecordBatch]:
@@ -333,13 +333,13 @@ def _compare(batches: Iterator[pa.RecordBatch], r: Repeats) -> Iterator[pa.Recor
     size, last = 0, None
 
     def results():
-        found = shared_by_regions([[(left, data) for _, _, left, data in g] for g in groups], r)
-        rows = [(g, rh, *x) for group, xs in zip(groups, found) for (g, rh, _, _), x in zip(group, xs) if x]
+        found = shared_by_regions([[(left, data) for _, _, _, left, data in g] for g in groups], r, [[x[2] for x in g] for g in groups])
+        rows = [(g, rh, *x) for group, xs in zip(groups, found) for (g, rh, *_), x in zip(group, xs) if x]
         cols = list(zip(*rows)) if rows else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["g", "rh", "before", "after"])
 
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("g", "rh", "left", "data"))):
+        for row in zip(*(b.column(c).to_pylist() for c in ("g", "rh", "whole", "left", "data"))):
             if row[0] != last:
                 if size >= BLOCK_REGIONS:
                     yield results()
@@ -405,19 +405,23 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, r: Repeats = Repeats(), te
     regions = rows.groupBy("g", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", F.get("xs", F.lit(0)).alias("x"))).alias("one"))
     regions = scratch.save(regions, "regions")
     several = scratch.save(regions.groupBy("g").agg(F.count("*").alias("d")).where("d > 1"), "several")
-    wanted = regions.join(several, "g").select("one.k1", "one.k2", F.struct("g", "rh", "one.x").alias("w"))
+    wanted = regions.join(several, "g").select("one.k1", "one.k2", F.struct("g", "rh", (F.col("n") > 1).alias("whole"), "one.x").alias("w"))
     wanted = scratch.save(wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")), "wanted")
     keys = wanted.select("k1", "k2")
     some = keyed.join(F.broadcast(keys) if is_small(keys, BROADCAST_KEYS) else keys, ["k1", "k2"], "left_semi")
     fetched = some.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
-    cut = scratch.save(fetched.select("text", "wanted").mapInArrow(lambda b: _cut_regions(b, r), "g long, rh long, left int, data binary"), "cut")
-    small = cut.join(several.where(F.col("d") > TASK_REGIONS).select("g"), "g", "left_anti")
-    compared = small.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: _compare(b, r), "g long, rh long, before int, after int")
-    big = cut.join(several.where(F.col("d") > TASK_REGIONS).select("g"), "g", "left_semi")
-    windows = big.mapInArrow(lambda b: _window_rows(b, r), "g long, rh long, at int, h long")
-    twice = windows.groupBy("g", "at", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "at", "h")
-    counted = windows.join(twice, ["g", "at", "h"]).groupBy("g", "rh").agg((-F.min("at")).cast("int").alias("before"), (F.max("at") + r.length).cast("int").alias("after"))
-    shared = scratch.save(compared.union(counted), "shared")
+    cut = fetched.select("text", "wanted").mapInArrow(lambda b: _cut_regions(b, r), "g long, rh long, whole boolean, left int, data binary")
+    large = scratch.save(several.where(F.col("d") > TASK_REGIONS).select("g"), "large")
+    compare = lambda df: df.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: _compare(b, r), "g long, rh long, before int, after int")
+    if large.limit(1).count() == 0:
+        shared = compare(cut)
+    else:
+        cut = scratch.save(cut, "cut")
+        windows = cut.join(large, "g", "left_semi").mapInArrow(lambda b: _window_rows(b, r), "g long, rh long, at int, h long")
+        twice = windows.groupBy("g", "at", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "at", "h")
+        counted = windows.join(twice, ["g", "at", "h"]).groupBy("g", "rh").agg((-F.min("at")).cast("int").alias("before"), (F.max("at") + r.length).cast("int").alias("after"))
+        shared = compare(cut.join(large, "g", "left_anti")).union(counted)
+    shared = scratch.save(shared, "shared")
     extents = regions.select("g", "rh", "n").join(shared, ["g", "rh"], "left")
     extents = extents.select("g", "rh", F.when(F.col("n") > 1, F.lit(r.reach)).otherwise(F.col("before")).alias("before"), F.when(F.col("n") > 1, F.lit(r.length)).otherwise(F.col("after")).alias("after")).where("before IS NOT NULL")
     spots = rows.join(extents, ["g", "rh"]).select("k1", "k2", F.explode("xs").alias("x"), "before", "after")
