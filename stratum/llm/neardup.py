@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from stratum.llm.columns import sealed, whole
-from stratum.llm.shingles import U, mix, shingle_set
+from stratum.llm.shingles import U, mix, release, shingle_set
 from stratum.scratch import Scratch, is_small
 
 #: Keys of candidate texts, and labels, may be broadcast up to so many rows (under 50 bytes each).
@@ -132,6 +132,7 @@ def sign(docs: DataFrame, near: Near = Near(), text: str = "text", keep: list[st
                     minima[i] = hasher.minima(s)
             cols = [b.column("row"), b.column("key"), pa.array(n), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), _lists(hasher.signatures(minima)), _lists(hasher.bands(minima))]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "key", "n_shingles", "fp1", "fp2", "sig", "bands"])
+        release()
 
     return packed.mapInArrow(run, schema)
 
@@ -157,6 +158,7 @@ def _long_signatures(texts: DataFrame, near: Near) -> DataFrame:
             minima = [hasher.minima(shingle_set(t, near.words)) for t in b.column("text").to_pylist()]
             if minima:
                 yield pa.RecordBatch.from_arrays([b.column("cid"), _lists(hasher.signatures(np.stack(minima)))], names=["cid", "long"])
+        release()
 
     return texts.select("cid", "text").mapInArrow(run, "cid long, long array<long>")
 
@@ -181,6 +183,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
                 shared = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * shared >= near.percent * (len(mine) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return both.mapInArrow(run, "a long, b long")
 

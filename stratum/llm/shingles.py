@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):
@@ -21,6 +24,16 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def release() -> None:
+    """Gives memory back when a task ends: its Python worker stays while others run."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words as UTF-8 with A-Z in lower case; bytes.split parts at just the six white-space characters."""
     return (text or "").encode().lower().split()
