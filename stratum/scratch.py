@@ -45,7 +45,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         schema: StructType = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        # Small row groups: a task buffers one in memory, with whole texts in it.
+        df.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
