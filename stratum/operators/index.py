@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from stratum.functions import curves, rects as R
 from stratum.kernel import partition as P
@@ -23,6 +23,8 @@ from stratum.operators.joins import boxed
 from stratum.operators.select import in_range, is_point
 
 SAMPLE_ROWS = 100_000
+#: Trees built point by point take a smaller sample.
+INSERTION_ROWS = 3_000
 #: The bounded result of a driver-side build; its cells are a few thousand at most.
 CELL_ROWS = 250_000
 
@@ -71,7 +73,7 @@ def assign(df: DataFrame, partitioner, disjoint: bool) -> DataFrame:
             else:
                 yield b.assign(cells=[[int(c)] for c in partitioner.assign((x1 + x2) / 2, (y1 + y2) / 2)])
 
-    out = keep.mapInPandas(run, keep.schema.add("cells", ArrayType(LongType())))
+    out = keep.mapInPandas(run, StructType([*keep.schema.fields, StructField("cells", ArrayType(LongType()))]))
     return out.select(*df.columns, F.explode("cells").alias("cell_id"))
 
 
@@ -91,7 +93,7 @@ def build_index(df: DataFrame, path: str, kind: str = "str", rows_per_cell: int
     """Partitions and writes ``df``. ``kind``: a named combination (which says whether rows are replicated) or a builder's name."""
     spark = df.sparkSession
     name, named = P.NAMED.get(kind, (kind, False))
-    box, n, sample = sample_points(df)
+    box, n, sample = sample_points(df, INSERTION_ROWS if "bb" in name else SAMPLE_ROWS)
     partitioner = P.build(name, box, -(-n // rows_per_cell) or 1, sample)
     replicate = (named if disjoint is None else disjoint) and partitioner.disjoint
     _write(assign(df, partitioner, replicate), path, box, "overwrite")
