@@ -120,11 +120,15 @@ def fill_holes(values: np.ndarray, fill: float, water: np.ndarray | None = None)
                 row[:] = np.interp(np.arange(len(row)), known, row[known])
         return out
 
-    both = np.stack([along(a), along(a.T).T])
-    with np.errstate(all="ignore"):
+    done = a
+    while np.isnan(done).any():  # a cell without known ones in its row or column comes in a later turn
+        both = np.stack([along(done), along(done.T).T])
         n = (~np.isnan(both)).sum(axis=0)
-        mean = np.where(n > 0, np.nansum(both, axis=0) / np.maximum(n, 1), fill)
-    done = np.where(np.isnan(a), mean, a)
+        mean = np.where(n > 0, np.nansum(both, axis=0) / np.maximum(n, 1), np.nan)
+        new = np.where(np.isnan(done), mean, done)
+        if (np.isnan(new) == np.isnan(done)).all():
+            new = np.where(np.isnan(new), fill, new)
+        done = new
     if water is not None:
         done = np.where(water, values, done)
     return done.astype(values.dtype) if np.issubdtype(values.dtype, np.floating) else np.rint(done).astype(values.dtype)
