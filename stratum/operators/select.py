@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import rects as R
+from stratum.scratch import Scratch
 
 
 def is_point(df: DataFrame) -> bool:
@@ -62,18 +63,19 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, cell: float, tie: str =
     ask = queries.select(F.col(queries_id).alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), cx.alias("qcx"), cy.alias("qcy"))
     bounds = data.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
     order = Window.partitionBy("qid").orderBy("distance", f"p_{tie}")
-    done, ring = None, 1
+    done, ring, scratch = None, 1, Scratch(df.sparkSession, "knn")
     while True:
         cells = ask.select("*", F.explode(F.sequence(F.col("qcx") - ring, F.col("qcx") + ring)).alias("cx")).select("*", F.explode(F.sequence(F.col("qcy") - ring, F.col("qcy") + ring)).alias("cy"))
         met = cells.join(data, ["cx", "cy"]).withColumn("distance", R.distance("qx", "qy", "p_x", "p_y"))
-        top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        top = scratch.save(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"top{ring}")
         edge = F.least(F.col("qx") - (F.col("qcx") - ring) * cell, (F.col("qcx") + ring + 1) * cell - F.col("qx"), F.col("qy") - (F.col("qcy") - ring) * cell, (F.col("qcy") + ring + 1) * cell - F.col("qy"))
         seen_all = F.lit(True) if bounds[0] is None else (F.col("qcx") - ring <= bounds[0]) & (F.col("qcx") + ring >= bounds[1]) & (F.col("qcy") - ring <= bounds[2]) & (F.col("qcy") + ring >= bounds[3])
         state = ask.withColumn("edge", edge).join(top.groupBy("qid").agg(F.max("rank").alias("n"), F.max("distance").alias("far")), "qid", "left")
         settled = state.where(seen_all | ((F.col("n") == k) & (F.col("far") <= F.col("edge")))).select("qid")
+        settled = scratch.save(settled, f"settled{ring}")
         part = top.join(settled, "qid").drop("qx", "qy", "qcx", "qcy", "cx", "cy")
         done = part if done is None else done.unionByName(part)
-        ask = ask.join(settled, "qid", "left_anti")
+        ask = scratch.save(ask.join(settled, "qid", "left_anti"), f"ask{ring}")
         if ask.limit(1).count() == 0:
             return done
         ring *= 2
