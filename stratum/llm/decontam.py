@@ -3,9 +3,9 @@
 A mask such as 110111 selects positions of a run of words; the hash of the selected words is the
 seed of that run, so a substituted word at an ignored position doesn't change it. Seeds of the
 benchmark are joined with seeds at every position of every document. Around each hit document and
-item are laid over each other (same diagonal) and the best segment is found, an equal word
-counting 1 and an unequal one -3. The document has leaked words of the item if the segment has
-``least_words`` words (or the whole item, if that is shorter) and ``similarity`` of them are equal.
+item are laid over each other (same diagonal). The document has leaked words of the item if some segment
+of ``least_words`` words or more (or the whole item, if that is shorter) has ``similarity`` of them equal. Of such
+segments the one whose equal words exceed that share by most is returned.
 
 The masks keep five words each and together meet every run in which four of five words are equal.
 Items of fewer than five words are in almost every text and are not searched for; items
@@ -33,7 +33,9 @@ from stratum.scratch import Scratch, is_small
 #: A posting has an item's words besides its hash; some hundred bytes each.
 BROADCAST_POSTINGS = 100_000
 BROADCAST_TEXTS = 100_000
-FOUND = "struct<score:int,start:int,end:int>"
+FOUND = "struct<score:bigint,start:int,end:int>"
+#: Sums over a segment are counted in these parts of a word.
+UNIT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -66,18 +68,33 @@ def postings(benchmark: DataFrame, seeds: Seeds = Seeds(), item_id: str = "item_
     return _exploded(items, "item", seeds.masks, ["item_id"]).select("seed", "item_id", "item", F.col("at").alias("p"))
 
 
-def _segment(item: Column, part: Column, diagonal: Column) -> Column:
-    """The best segment of the item over ``part``, the document's words from ``greatest(diagonal, 0)`` on."""
+def _equal(item: Column, part: Column, diagonal: Column) -> Column:
+    """Which words of the item stand in ``part``, the document's words from ``greatest(diagonal, 0)`` on."""
     skip = F.greatest(-diagonal, F.lit(0))
-    equal = F.transform(item, lambda w, k: F.coalesce(F.get(part, k - skip) == w, F.lit(False)))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cur"), F.lit(0).alias("from"), F.lit(0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    return F.transform(item, lambda w, k: F.coalesce(F.get(part, k - skip) == w, F.lit(False)))
+
+
+def _segment(equal: Column, least: Column, similarity: float) -> Column:
+    """The best segment of at least ``least`` words: its sum of equal words less ``similarity`` a word (in millionths) is the greatest.
+
+    The best one that ends at a word is the last ``least`` words, or the best one that ends a word before and this word.
+    """
+    miss = round(similarity * UNIT)
+    weight = lambda e: F.when(e, UNIT - miss).otherwise(-miss).cast("long")
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("at"), zero.alias("last"), zero.alias("cur"), F.lit(0).alias("from"), F.lit(-(1 << 62)).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("end"))
 
     def step(a, e):
-        cur = a["cur"] + F.when(e, 1).otherwise(-3)
-        up, best = cur > 0, cur > a["score"]
+        end = a["at"] + 1
+        full = end >= least
+        last = a["last"] + weight(e) - F.when(end > least, weight(F.get(equal, a["at"] - least))).otherwise(zero)
+        longer = a["cur"] + weight(e)
+        extend = (end > least) & (longer >= last)
+        cur, from_ = F.when(extend, longer).otherwise(last), F.when(extend, a["from"]).otherwise(F.greatest(end - least, F.lit(0)))
+        best = full & (cur > a["score"])
         return F.struct(
-            (a["at"] + 1).alias("at"), F.when(up, cur).otherwise(0).alias("cur"), F.when(up, a["from"]).otherwise(a["at"] + 1).alias("from"),
-            F.when(best, cur).otherwise(a["score"]).alias("score"), F.when(best, a["from"]).otherwise(a["start"]).alias("start"), F.when(best, a["at"] + 1).otherwise(a["end"]).alias("end"),
+            end.alias("at"), last.alias("last"), cur.alias("cur"), from_.alias("from"),
+            F.when(best, cur).otherwise(a["score"]).alias("score"), F.when(best, from_).otherwise(a["start"]).alias("start"), F.when(best, end).otherwise(a["end"]).alias("end"),
         )
 
     return F.aggregate(equal, start, step, lambda a: F.struct(a["score"], a["start"], a["end"]).cast(FOUND))
@@ -89,11 +106,13 @@ def _part(tokens: Column, item: Column, diagonal: Column) -> Column:
 
 def _verified(hits: DataFrame, seeds: Seeds, others: list[str]) -> DataFrame:
     """From (others, item_id, item, part, diagonal): (others, item_id, n_words, n_equal, similarity, at) of the segments that count as leaks."""
-    found = hits.withColumn("s", sealed(_segment(F.col("item"), F.col("part"), F.col("diagonal"))))
+    least = F.least(F.lit(seeds.least_words), F.size("item"))
+    met = hits.withColumn("equal", sealed(_equal(F.col("item"), F.col("part"), F.col("diagonal"))))
+    found = met.withColumn("s", sealed(_segment(F.col("equal"), least, seeds.similarity)))
     n = F.col("s.end") - F.col("s.start")
-    equal = ((F.col("s.score") + 3 * n) / 4).cast("int")
-    rows = found.select(*others, "item_id", F.size("item").alias("_len"), n.alias("n_words"), equal.alias("n_equal"), (equal / n).alias("similarity"), (F.col("diagonal") + F.col("s.start")).alias("at"))
-    return rows.where((F.col("n_words") >= F.least(F.lit(seeds.least_words), F.col("_len"))) & (F.col("similarity") >= seeds.similarity)).drop("_len")
+    equal = ((F.col("s.score") + round(seeds.similarity * UNIT) * n.cast("long")) / UNIT).cast("int")
+    rows = found.select(*others, "item_id", n.alias("n_words"), equal.alias("n_equal"), (equal / n).alias("similarity"), (F.col("diagonal") + F.col("s.start")).alias("at"))
+    return rows.where(F.col("similarity") >= seeds.similarity)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), label: str = "decontam", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:

@@ -56,3 +56,35 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs, none).count() == 1
     assert decontam.decontaminate(docs.limit(0), docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+
+
+def passes(item, words, least=13, share=0.8):
+    """Whether some segment counts, by trying all of them."""
+    e, least = [a == b for a, b in zip(item, words)], min(least, len(item))
+    return any(sum(e[i:j]) * 100 >= round(share * 100) * (j - i) for i in range(len(e)) for j in range(i + least, len(e) + 1))
+
+
+def seeded(item, words):
+    runs = [(m, i) for m in decontam.Seeds().masks for i in range(len(item) - len(m) + 1)]
+    return any(all(item[i + k] == words[i + k] for k, c in enumerate(m) if c == "1") for m, i in runs)
+
+
+@pytest.mark.parametrize("bound", [100_000, 1])
+def test_substitutions_near_the_ends(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_POSTINGS", bound)
+    r = random.Random(11)
+    items, rows, wanted = [], [], set()
+    for n, subs in [(7, 1), (13, 2), (13, 3), (14, 2), (16, 1), (16, 2), (16, 3), (18, 3), (20, 4), (25, 5), (30, 6), (40, 15)]:
+        for _ in range(8):
+            item = [f"{w}{len(items)}" for w in prose(n, r)]
+            words = list(item)
+            for i in r.sample(range(n), subs):
+                words[i] = "other"
+            if passes(item, words) and seeded(item, words):
+                wanted.add(len(items))
+            rows.append((len(items), " ".join(prose(r.randrange(9), r) + words + prose(r.randrange(9), r))))
+            items.append((len(items), " ".join(item)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.leaks(docs, bench).collect()
+    assert {r.row.doc_id for r in found} == wanted and len(wanted) > 40
+    assert all(r.row.doc_id == r.item_id and r.n_equal == round(r.similarity * r.n_words) and r.similarity >= 0.8 and r.n_words >= min(13, len(items[r.item_id][1].split())) for r in found)
