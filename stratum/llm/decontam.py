@@ -14,7 +14,8 @@ shorter than a mask are not reached by it.
 DataFrame functions only. Positions are exploded and hashed inside one generated stage, which
 carries the word array by reference. The postings of the benchmark (a row per item word and mask)
 are broadcast when they have at most ``BROADCAST_POSTINGS`` rows; beyond, positions are
-shuffled by seed, hits made distinct per text, item and diagonal, and the texts fetched for those alone.
+shuffled by seed, hits made distinct per text, item and diagonal, and the texts fetched for those alone;
+items are fetched by a key of their words, so their ids may be null.
 
 Null text has no words. A verdict depends on the text alone, so copies, repeated rows and null ids
 need no special case. Words are compared in lower case.
@@ -129,10 +130,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), label:
     else:
         texts = docs.select(_tokens(F.col(f"`{text}`")).alias("tokens")).withColumn("key", F.md5(F.concat_ws(" ", "tokens").cast("binary")))
         narrow = _exploded(texts, "tokens", seeds.masks, ["key"]).select("key", "at", "seed")
-        met = narrow.join(table.drop("item"), "seed").select("key", "item_id", (F.col("at") - F.col("p")).alias("diagonal")).distinct()
-        items = table.select("item_id", "item").distinct()
+        item_key = F.md5(F.concat_ws(" ", "item").cast("binary")).alias("item_key")
+        met = narrow.join(table.select("seed", "item_id", item_key, "p"), "seed").select("key", "item_id", "item_key", (F.col("at") - F.col("p")).alias("diagonal")).distinct()
+        items = table.select(item_key, "item").distinct()
         keyed = base.withColumn("key", F.md5(F.concat_ws(" ", "tokens").cast("binary")))
-        hits = keyed.join(met, "key").join(items, "item_id").select(*names, "item_id", "item", _part(F.col("tokens"), F.col("item"), F.col("diagonal")).alias("part"), "diagonal")
+        hits = keyed.join(met, "key").join(items, "item_key").select(*names, "item_id", "item", _part(F.col("tokens"), F.col("item"), F.col("diagonal")).alias("part"), "diagonal")
     return _verified(hits, seeds, names).withColumnsRenamed({f"c_{k}": k for k in carry})
 
 

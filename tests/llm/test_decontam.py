@@ -88,3 +88,13 @@ def test_substitutions_near_the_ends(spark, monkeypatch, bound):
     found = decontam.leaks(docs, bench).collect()
     assert {r.row.doc_id for r in found} == wanted and len(wanted) > 40
     assert all(r.row.doc_id == r.item_id and r.n_equal == round(r.similarity * r.n_words) and r.similarity >= 0.8 and r.n_words >= min(13, len(items[r.item_id][1].split())) for r in found)
+
+
+@pytest.mark.parametrize("bound", [100_000, 1])
+def test_items_without_id(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_POSTINGS", bound)
+    docs = spark.createDataFrame([(k, " ".join(prose(9) + item)) for k, item in enumerate(ITEMS[:3])] + [(9, " ".join(prose(40)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(ITEMS[0])), (None, " ".join(ITEMS[1])), (7, " ".join(ITEMS[2]))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).select("row.doc_id", "item_id").collect()}
+    assert found == {(0, None), (1, None), (2, 7)}
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [9]
