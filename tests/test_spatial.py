@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stratum.functions import curves, rects as R, tags, values
 from stratum.kernel import delaunay as D, hull as H, overlay as O, partition as P, shapes as S
 from stratum.operators import aggregates, extremes, index, joins, polygons, raster, render, select
+from stratum.plans import catalog
 from stratum.sources import generate, hdf4, osm, text
 
 BOXES = [(0, 0, 4, 4), (2, 2, 6, 6), (4, 0, 8, 4), (1, 1, 1, 1), (4, 4, 4, 4), (-5, -5, 20, 20), (6, 6, 7, 9), (0, 0, 4, 4)]
@@ -190,3 +191,13 @@ def test_counts_and_histogram_box_sums(spark, tmp_path):
     assert aggregates.box_sum(prefix, 2, 3, 5, 6) == pts.where("x >= 2 AND x < 6 AND y >= 3 AND y < 7").count()
     (tmp_path / "l.txt").write_text("abc\n" * 500)
     assert aggregates.count_lines_approx(spark, str(tmp_path / "l.txt"))[0] == 500
+
+
+def test_first_and_last_nodes_of_all_orders(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.l_orderkey: r for r in catalog.queries()["osm_first_last"](spark, sf).collect()}
+    lines = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", F.expr(catalog.PLACE).alias("place")).collect():
+        lines.setdefault(r.l_orderkey, []).append((r.place, r.l_partkey))
+    assert got.keys() == lines.keys()
+    assert all((got[k].n, got[k].first_node, got[k].last_node) == (len(v), min(v)[1], max(v)[1]) for k, v in lines.items())
