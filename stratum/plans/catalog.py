@@ -158,7 +158,7 @@ def _skyline(direction):
 
 
 def _hull(spark, sf):
-    return extremes.convex_hull(pts_cust(spark, sf).where("id <= 100")).select("x", "y")
+    return extremes.convex_hull(pts_cust(spark, sf)).select("x", "y")
 
 
 def _hull_all(spark, sf):

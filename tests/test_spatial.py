@@ -201,3 +201,15 @@ def test_first_and_last_nodes_of_all_orders(spark):
         lines.setdefault(r.l_orderkey, []).append((r.place, r.l_partkey))
     assert got.keys() == lines.keys()
     assert all((got[k].n, got[k].first_node, got[k].last_node) == (len(v), min(v)[1], max(v)[1]) for k, v in lines.items())
+
+
+def test_hull_of_all_customers(spark):
+    sf = "/root/testdata/sf0.01"
+    got = catalog.queries()["convex_hull"](spark, sf).collect()
+    pts = {(r.x, r.y) for r in catalog.pts_cust(spark, sf).collect()}
+    corners = [(r.x, r.y) for r in got]
+    assert len(set(corners)) == len(corners) and set(corners) <= pts
+    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    for i, a in enumerate(corners):
+        b, c = corners[(i + 1) % len(corners)], corners[(i + 2) % len(corners)]
+        assert turn(a, b, c) > 0 and all(turn(a, b, p) >= 0 for p in pts)
