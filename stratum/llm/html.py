@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 # Element names by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
+#: What may stand in a head; anything else, text too, ends it.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 SKIPPED = frozenset("button datalist form head input label math object option select svg textarea".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
@@ -116,7 +118,13 @@ class _Page:
             self.blocks.append(Block(text, min(self.linked, len(text)), name, top.inside, top.good, top.bad_element, top.bad_class, holder.id, tuple(x.id for x in self.stack if x.name in CONTAINERS)))
         self.parts, self.linked = [], 0
 
+    def end_head(self) -> None:
+        while self.stack[-1].name == "head":
+            self.pop_to(len(self.stack) - 1)
+
     def text(self, piece: str) -> None:
+        if self.stack[-1].name == "head" and _html.unescape(piece).strip(" \t\n\f\r"):
+            self.end_head()
         if not self.skip:
             self.parts.append(piece)
             if self.links:
@@ -211,6 +219,8 @@ class _Page:
                 else:
                     attributes, at = h[m.end() : rest.end() - 1], rest.end()
                 name = m[0].lower()
+                if c != "/" and name not in HEAD:
+                    self.end_head()
                 if c == "/":
                     self.closed(name)
                 elif name in RAW:

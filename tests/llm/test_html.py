@@ -68,3 +68,9 @@ def test_table(spark):
     got = H.extract(pages).select("row.*", "n_chars").collect()
     assert len(got) == 4 and sorted(r.n_chars for r in got)[:2] == [0, 0]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_head_without_end_tag():
+    for start in (f"<head><title>T</title><meta name=a><body><article><p>{P1}</article>", f"<html><head>\n<script>x</script><article><p>{P1}</p></article>", f"<head><style>p</style>\n{P1}<p>{P2}"):
+        assert P1 in H.main_text(start), start
+    assert H.blocks("<head><title>T</title> <meta name=a>\n<style>p</style></head>") == []
