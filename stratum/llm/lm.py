@@ -41,6 +41,8 @@ START, END = 0, 1
 PIECE_BYTES = 1 << 19
 #: A task's hashes are combined when so many have gathered.
 FLUSH_TOKENS = 4_000_000
+#: A row of training weighs at most so many times the mean count of a trigram.
+SPLIT = 8
 
 
 @dataclass(frozen=True)
@@ -248,24 +250,27 @@ class Bilinear:
         """Adam on noise-contrastive batches of distinct trigrams, weighted by their counts."""
         shape, k = self.shape, self.shape.symbols
         rng = np.random.default_rng(seed)
+        # Each distinct trigram is a row with its count as weight; large counts are split over several rows, so that a batch's weights stay even.
+        times = np.ceil(counts / (SPLIT * counts.mean())).astype(np.int64)
+        codes, weights = np.repeat(codes, times), np.repeat((counts / times / counts.mean()).astype(np.float32), times)
         steps_each = -(-len(codes) // shape.batch)
-        passes = max(1, -(-shape.least_steps // max(steps_each, 1)))
+        passes = max(1, -(-shape.least_steps // steps_each))
         m, u, t = [np.zeros_like(x) for x in self.values()], [np.zeros_like(x) for x in self.values()], 0
         total = steps_each * passes
         log_noise = np.log(shape.noise * self.unigram).astype(np.float32)
-        # Large counts are split over more draws by sampling in proportion, so that a batch's weights stay even.
-        p = np.cumsum(counts, dtype=float)
         for step in range(total):
-            rows = np.searchsorted(p, rng.random(shape.batch) * p[-1], side="right")
-            code = codes[np.minimum(rows, len(codes) - 1)]
+            if step % steps_each == 0:
+                order = rng.permutation(len(codes))
+            rows = order[step % steps_each :: steps_each]
+            code, share = codes[rows], weights[rows] / weights[rows].size
             s1, s2, w = code // (k * k), code // k % k, code % k
             noise = rng.choice(k, shape.noise, p=self.unigram)
             r1, r2 = self.r[s1], self.r[s2]
             q = r1 @ self.c1 + r2 @ self.c2
             pos = (q * self.v[w]).sum(axis=1) + self.bias[w] - log_noise[w]
             neg = q @ self.v[noise].T + self.bias[noise] - log_noise[noise]
-            gp = (1 / (1 + np.exp(-np.clip(pos, -30, 30))) - 1) / shape.batch
-            gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) / shape.batch
+            gp = (1 / (1 + np.exp(-np.clip(pos, -30, 30))) - 1) * share
+            gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) * share[:, None]
             dq = gp[:, None] * self.v[w] + gn @ self.v[noise]
             dv = _summed(gp[:, None] * q, w, k) + _summed(gn.T @ q, noise, k)
             db = _summed(gp, w, k) + _summed(gn.sum(axis=0), noise, k)

@@ -96,3 +96,12 @@ def test_no_training_documents(spark):
     got = lm.score(docs, model, scratch).collect()
     assert sorted(r.n_tokens for r in got) == [1, 3] and all(r.n_known == 0 and r.score < 0 for r in got)
     assert lm.score(docs.limit(0), model, scratch).count() == 0
+
+
+def test_every_trigram_enters_training():
+    k = SMALL.symbols
+    rare = np.array([s * k * k + 2 * k + 3 for s in range(4, k)])
+    model = lm.Bilinear(SMALL, np.full(k, 1 / k))
+    before = model.r.copy()
+    model.train(np.append(rare, 3 * k * k + 2 * k + 3), np.append(np.ones(len(rare), np.int64), 10**7), 1, 0.02)
+    assert (model.r != before).any(axis=1)[4:].all() and np.isfinite(model.r).all()
