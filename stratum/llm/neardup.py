@@ -7,12 +7,13 @@
    ``bits`` bits are kept, packed into words plane by plane: the number of unequal minima is a bit count
    of XORed words, and the similarity estimated from it, corrected for chance equality, drops pairs
    that lie more than ``sigmas`` standard errors below the threshold.
-3. Links are sought for connected components. In each bucket one hub is compared with the members of other
-   components, first the member that shares most buckets with others (an original among its near
-   copies), then another at random, and components are merged after each round. That is one row for each member,
-   never all pairs. A last pass takes what is left: pairs of one bucket that still are in different
-   components, filtered within the join by size and by the estimate from a longer signature, which is computed
-   only for the texts in question and rules out nearly all pairs below the threshold. Hub rounds don't decide anything, they save work; the
+3. Links are sought for connected components. Each bucket has a hub: first the member that shares most buckets
+   with others (an original among its near copies), then another at random. A round compares each member with one hub,
+   the highest of its buckets' hubs in another component, and merges components: one row for each member, however many
+   buckets it has. A last pass takes what is left: the members of buckets that still hold different components get a
+   longer signature, cut into bands of ``last_rows`` minima that are missed as seldom at the threshold but keep apart
+   what is less similar. Pairs of different components that share such a band are filtered within the join by size and by the
+   longer signature's estimate. Hub rounds don't decide anything, they save work; the
    last pass makes the result that of all candidate pairs.
 4. Every pair that passes the estimate is confirmed on the full sets of both texts.
 
@@ -52,22 +53,32 @@ class Near:
     bits: int = 4
     miss: float = 1e-6
     sigmas: float = 5.0
-    rounds: int = 2
-    last_hashes: int = 1024
+    rounds: int = 3
     seed: int = 11
 
     @property
     def rows(self) -> int:
         return 6 if self.percent >= 85 else 5
 
+    @property
+    def last_rows(self) -> int:
+        return 2 * self.rows
+
+    def _enough(self, rows: int) -> int:
+        return math.ceil(math.log(self.miss) / math.log(1 - (self.percent / 100) ** rows))
+
     @property
     def bands(self) -> int:
-        return math.ceil(math.log(self.miss) / math.log(1 - (self.percent / 100) ** self.rows))
+        return self._enough(self.rows)
 
     @property
     def hashes(self) -> int:
         return self.rows * self.bands
 
+    @property
+    def last_hashes(self) -> int:
+        return self.last_rows * self._enough(self.last_rows)
+
     def least_equal(self, hashes: int) -> float:
         """Least share of equal b-bit minima of a pair worth confirming."""
         chance = 2.0**-self.bits
@@ -76,12 +87,12 @@ class Near:
 
 
 class Hasher:
-    def __init__(self, near: Near, hashes: int) -> None:
+    def __init__(self, near: Near, hashes: int, rows: int) -> None:
         rng = np.random.default_rng(near.seed + hashes)
-        self.near, self.hashes = near, hashes
+        self.near, self.hashes, self.rows = near, hashes, rows
         self.a = (rng.integers(0, 2**32, hashes, dtype=np.uint64) | U(1)).astype(np.uint32)[:, None]
         self.b = rng.integers(0, 2**32, hashes, dtype=np.uint64).astype(np.uint32)[:, None]
-        self.coefficients = rng.integers(0, 2**63, near.rows, dtype=np.uint64) | U(1)
+        self.coefficients = rng.integers(0, 2**63, rows, dtype=np.uint64) | U(1)
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> U(32)).astype(np.uint32)
@@ -92,17 +103,24 @@ class Hasher:
 
     def bands(self, minima: np.ndarray) -> np.ndarray:
         """rows of minima -> int64 bucket hashes, the band's number mixed in."""
-        near = self.near
-        m = minima.reshape(len(minima), near.bands, near.rows).astype(U)
-        return mix((m * self.coefficients).sum(axis=2, dtype=U) + mix(np.arange(1, near.bands + 1, dtype=U))[None, :]).view(np.int64)
+        n = self.hashes // self.rows
+        m = minima.reshape(len(minima), n, self.rows).astype(U)
+        return mix((m * self.coefficients).sum(axis=2, dtype=U) + mix(np.arange(1, n + 1, dtype=U))[None, :]).view(np.int64)
 
     def signatures(self, minima: np.ndarray) -> np.ndarray:
-        """rows of minima -> packed low bits: ``bits`` planes of as many words as the hashes fill."""
+        """rows of minima -> packed low bits: ``bits`` planes of as many words as the hashes fill. The low bits of a minimum are those of
+        a linear function of one shingle, so all bits are mixed first."""
         padded = np.zeros((len(minima), _lanes(self.hashes) * 64), np.uint32)
-        padded[:, : self.hashes] = minima
+        padded[:, : self.hashes] = _mix32(minima)
         return np.hstack([np.packbits((padded >> j) & 1, axis=1).view(np.int64) for j in range(self.near.bits)])
 
 
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> 16)) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> 15)) * np.uint32(0x846CA68B)
+    return x ^ (x >> 16)
+
+
 def _lanes(hashes: int) -> int:
     return -(-hashes // 64)
 
@@ -119,7 +137,7 @@ def sign(docs: DataFrame, near: Near = Near(), text: str = "text", keep: list[st
     schema = packed.drop("text").schema.add("n_shingles", "long").add("fp1", "long").add("fp2", "long").add("sig", ArrayType(LongType())).add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(near, near.hashes)
+        hasher = Hasher(near, near.hashes, near.rows)
         for b in batches:
             texts = b.column("text").to_pylist()
             n, fp1, fp2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), U), np.zeros(len(texts), U)
@@ -150,17 +168,18 @@ def _few_unequal(a: Column, b: Column, near: Near, hashes: int) -> Column:
 
 
 def _long_signatures(texts: DataFrame, near: Near) -> DataFrame:
-    """(cid, long): signatures of ``last_hashes`` minima."""
+    """(cid, long, last): signatures of ``last_hashes`` minima and their bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(near, near.last_hashes)
+        hasher = Hasher(near, near.last_hashes, near.last_rows)
         for b in batches:
             minima = [hasher.minima(shingle_set(t, near.words)) for t in b.column("text").to_pylist()]
             if minima:
-                yield pa.RecordBatch.from_arrays([b.column("cid"), _lists(hasher.signatures(np.stack(minima)))], names=["cid", "long"])
+                both = np.stack(minima)
+                yield pa.RecordBatch.from_arrays([b.column("cid"), _lists(hasher.signatures(both)), _lists(hasher.bands(both))], names=["cid", "long", "last"])
         release()
 
-    return texts.select("cid", "text").mapInArrow(run, "cid long, long array<long>")
+    return texts.select("cid", "text").mapInArrow(run, "cid long, long array<long>, last array<long>")
 
 
 def _sizes_fit(a: Column, b: Column, near: Near) -> Column:
@@ -238,24 +257,27 @@ def clusters(docs: DataFrame, near: Near = Near(), label: str = "neardup", text:
             current = current.join(slim, "cid").withColumns({"comp": F.col("cid"), "rank": F.col("degree")})
         else:
             current = current.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("comp"), F.xxhash64("cid", "bucket", F.lit(k)).alias("rank"))
-        hubs = current.groupBy("bucket").agg(F.max(F.struct("rank", "cid", "comp")).alias("hub"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket", F.col("hub.cid").alias("b"), F.col("hub.comp").alias("cb"))
-        pairs = current.join(hubs, "bucket").where("comp <> cb").select(F.col("cid").alias("a"), "b").distinct()
+        hubs = current.groupBy("bucket").agg(F.max(F.struct("rank", "cid", "comp")).alias("hub"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket", F.col("hub.rank").alias("top"), F.col("hub.cid").alias("b"), F.col("hub.comp").alias("cb"))
+        # One hub for each member and round; what its other hubs would link is found in later rounds or in the last pass.
+        pairs = current.join(hubs, "bucket").where("comp <> cb").groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("top", "b")).alias("h")).select("a", "h.b")
         pairs = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").where(fits).select("a", "b")
         found = scratch.save(_confirm(scratch.save(pairs, f"pairs{k}"), texts, near), f"links{k}")
         links = found if links is None else links.union(found)
         comp = components(links, scratch, f"round{k}")
-    # What is left: pairs of one bucket in different components.
+    # What is left: members of buckets with different components, paired by the bands of their longer signatures.
     current = buckets.select("bucket", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("comp"))
     open_ = current.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-    rest = scratch.save(current.join(open_, "bucket"), "rest-buckets")
-    long = scratch.save(_long_signatures(texts.join(rest.select("cid").distinct(), "cid"), near), "long")
-    rest = scratch.save(rest.join(long, "cid").join(classes.select("cid", F.col("n_shingles").alias("n"), "bands"), "cid"), "rest")
-    a = rest.select("bucket", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("long").alias("sa"), F.col("n").alias("na"), F.col("bands").alias("ba"))
-    b = rest.select(F.col("bucket").alias("bucket2"), F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("long").alias("sb"), F.col("n").alias("nb"), F.col("bands").alias("bb"))
-    # A pair counts in the first bucket that it shares only.
-    common = F.coalesce(*[F.when(F.get("ba", F.lit(k)) == F.get("bb", F.lit(k)), F.get("ba", F.lit(k))) for k in range(near.bands)])
+    rest = scratch.save(current.join(open_, "bucket").select("cid", "comp").distinct(), "rest")
+    long = scratch.save(_long_signatures(texts.join(rest.select("cid"), "cid"), near), "long")
+    spots = long.select("cid", F.explode("last").alias("band")).join(rest, "cid")
+    mixed = spots.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band")
+    spots = scratch.save(spots.join(mixed, "band"), "spots").join(long, "cid").join(classes.select("cid", F.col("n_shingles").alias("n")), "cid")
+    a = spots.select("band", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("long").alias("sa"), F.col("n").alias("na"), F.col("last").alias("la"))
+    b = spots.select(F.col("band").alias("band2"), F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("long").alias("sb"), F.col("n").alias("nb"), F.col("last").alias("lb"))
+    # A pair counts in the least band that it shares only.
+    first = F.array_min(F.array_intersect("la", "lb")) == F.col("band")
     fits = _sizes_fit(F.col("na"), F.col("nb"), near) & _few_unequal(F.col("sa"), F.col("sb"), near, near.last_hashes)
-    pairs = a.join(b, (F.col("bucket") == F.col("bucket2")) & (F.col("ca") < F.col("cb")) & fits & (common == F.col("bucket"))).select("a", "b")
+    pairs = a.join(b, (F.col("band") == F.col("band2")) & (F.col("ca") < F.col("cb")) & fits & first).select("a", "b")
     found = scratch.save(_confirm(scratch.save(pairs, "pairs-rest"), texts, near), "links-rest")
     comp = components(links.union(found), scratch, "all")
 

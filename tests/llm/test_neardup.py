@@ -91,7 +91,7 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
 
 def test_estimate_is_unbiased():
     near, rng = N.Near(words=3, percent=85), np.random.default_rng(4)
-    hasher, errors = N.Hasher(near, near.hashes), []
+    hasher, errors = N.Hasher(near, near.hashes, near.rows), []
     for _ in range(60):
         x = rng.integers(0, 2**63, 1000, dtype=np.uint64)
         sig = hasher.signatures(np.stack([hasher.minima(x[:900]), hasher.minima(x[50:])])).view(np.uint64).reshape(2, near.bits, -1)
@@ -99,3 +99,28 @@ def test_estimate_is_unbiased():
         equal, chance = 1 - unequal / near.hashes, 2.0**-near.bits
         errors.append((equal - chance) / (1 - chance) - 0.85)
     assert abs(np.mean(errors)) < 0.012 and max(map(abs, errors)) < 0.15
+
+
+def test_bits_of_single_shingles_agree_by_chance_only():
+    near = N.Near(words=3, percent=85)
+    hasher, rng, shares = N.Hasher(near, near.last_hashes, near.last_rows), np.random.default_rng(5), []
+    for _ in range(100):
+        x = rng.integers(0, 2**63, 2, dtype=np.uint64)
+        sig = hasher.signatures(np.stack([hasher.minima(x[:1]), hasher.minima(x[1:])])).view(np.uint64).reshape(2, near.bits, -1)
+        shares.append(1 - np.bitwise_count(np.bitwise_or.reduce(sig[0] ^ sig[1], axis=0)).sum() / near.last_hashes)
+    assert 0.04 < np.mean(shares) < 0.09 and max(shares) < 0.3
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """Recall on 400 planted pairs with 85 to 90 % of the union in common."""
+    r, rows = random.Random(6), []
+    for k in range(400):
+        words = [f"p{k}x{r.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        cut = r.randrange(32, 46)  # n - 2 shingles each, cut of them lost at one end and replaced
+        other[-cut // 2 :] = [f"q{k}x{j}" for j in range(len(other[-cut // 2 :]))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    near = N.Near(words=3, percent=85)
+    want = [k for k in range(400) for a, b in [[shingles(t, 3) for _, t in rows[2 * k : 2 * k + 2]]] if 100 * len(a & b) >= 85 * len(a | b)]
+    got = {x.id: x.component for x in N.clusters(spark.createDataFrame(rows, "doc_id long, text string"), near).collect()}
+    assert len(want) > 150 and [k for k in want if got[2 * k + 1] != 2 * k] == []
