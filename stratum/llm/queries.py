@@ -53,7 +53,7 @@ def op6_decontam(spark: SparkSession, sf: str) -> DataFrame:
 def op7_suffix(spark: SparkSession, sf: str) -> DataFrame:
     _bounded(spark)
     cleaned = suffix.remove_repeats(_table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return cleaned.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cleaned.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 def op8_lm(spark: SparkSession, sf: str) -> DataFrame:

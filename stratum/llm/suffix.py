@@ -18,14 +18,13 @@ Repeats. A byte goes if a string of ``length`` bytes that starts elsewhere too c
 3. Different regions of one gram, fetched from the texts, are cut into tokens at content-defined places before x
    and at x, where the last one starts. Tokens are ranked by gram, offset and bytes (with a few bytes beyond, so that none is another's prefix), so the
    suffix array of the ranks is that of the bytes at those places and sets only aligned strings against each other.
-   Neighbours in it with a long enough common prefix are compared byte by byte from x to both sides: if they share ``length`` bytes, what
-   they share goes.
+   Neighbours in it are one run as long as their common prefix has all that a string of ``length`` bytes from before this token needs. A string
+   that starts between the token before and this one stands in another region only if that one is in the same run, so the windows of
+   a run that start there are matched by their hashes, and the outermost matches of each region are compared byte by byte.
 4. Intervals are brought back to all occurrences, united, and cut out of the texts.
 
 Equal texts, regions and grams are combined before each shuffle. A task gets whole gram groups and works on blocks
-of them. If the run of neighbours to compare is long (a passage in very many regions) the group is finished
-by comparing window hashes column by column instead, which is exact too; a group of more than
-``TASK_REGIONS`` regions is never gathered: its window hashes are counted by a distributed aggregate.
+of them. A group of more than ``TASK_REGIONS`` regions is never gathered: its window hashes are counted by a distributed aggregate.
 
 Null text is empty. Texts shorter than ``length`` keep all. Repeated rows are repeats of each other. Periodic texts
 may have an anchor at each period; equal regions within a text are combined where they arise.
@@ -51,7 +50,6 @@ _BYTE = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) | U(1
 _BASE = 0x9E3779B97F4A7C15
 TASK_REGIONS = 15_000
 BLOCK_REGIONS = 2_000
-WALK = 64
 TOKEN_GRAM, TOKEN_MASK = 8, 63
 BROADCAST_KEYS = 200_000
 
@@ -205,99 +203,101 @@ def _regions(text: str | None, r: Repeats) -> dict[tuple[int, int], list[int]]:
 # Regions of one gram against each other.
 
 
-def _windows(regions: list[tuple[int, bytes]], r: Repeats) -> list[tuple[np.ndarray, int]]:
-    """For each region (bytes before x, bytes) the hashes of its windows and the offset of the first before x."""
-    return [(gram_hashes(np.frombuffer(data, np.uint8), r.length), left) for left, data in regions]
-
-
-def _by_windows(regions: list[tuple[int, bytes]], r: Repeats) -> list[tuple[int, int] | None]:
-    """What is shared, from window hashes compared at each offset."""
-    each = _windows(regions, r)
-    h = np.concatenate([x for x, _ in each]) if each else np.zeros(0, U)
-    offset = np.concatenate([np.arange(len(x)) - left for x, left in each]) if each else np.zeros(0, int)
-    key = mix(h + mix(offset.astype(np.int64).view(U)))
-    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    twice, out, at = n[inverse] > 1, [], 0
-    for x, _ in each:
-        hit = offset[at : at + len(x)][twice[at : at + len(x)]]
-        out.append((int(-hit.min()), int(hit.max()) + r.length) if len(hit) else None)
-        at += len(x)
+def _by_bytes(regions: list[tuple[int, bytes]], r: Repeats) -> list[tuple[int, int] | None]:
+    """What is shared, from all windows themselves: the way out where two hashes are equal by chance."""
+    seen: dict[tuple[int, bytes], int] = {}
+    for left, data in regions:
+        for k in range(len(data) - r.length + 1):
+            window = (k - left, data[k : k + r.length])
+            seen[window] = seen.get(window, 0) + 1
+    out = []
+    for left, data in regions:
+        hit = [k - left for k in range(len(data) - r.length + 1) if seen[k - left, data[k : k + r.length]] > 1]
+        out.append((-min(hit), max(hit) + r.length) if hit else None)
     return out
 
 
-def _same(a: bytes, b: bytes) -> int:
-    """Equal bytes at the start."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    x = int.from_bytes(a[:n], "little") ^ int.from_bytes(b[:n], "little")
-    return ((x & -x).bit_length() - 1) >> 3
+def _runs(flat: list[tuple[int, int, bytes]], joined: np.ndarray, r: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens in the order of the suffix array: region, offset in the region, window starts that belong to it (from the token before on), and the
+    number of its run, within which neighbours share all bytes that a repeat over this token needs."""
+    cuts = np.nonzero((gram_hashes(joined, TOKEN_GRAM) & U(TOKEN_MASK)) == 0)[0]
+    size = np.array([len(d) for _, _, d in flat])
+    at = np.cumsum(size) - size
+    left = np.array([x for _, x, _ in flat])
+    lows, highs = np.searchsorted(cuts, at).tolist(), np.searchsorted(cuts, at + left).tolist()
+    relative = (cuts - at[np.minimum(np.searchsorted(at, cuts, side="right") - 1, len(at) - 1)]).tolist()
+    keys: list[bytes] = []
+    region, offset, gap = [], [], []
+    widest: dict[bytes, int] = {}
+    for i, (g, x, data) in enumerate(flat):
+        places, head, last = [*relative[lows[i] : highs[i]], x], g.to_bytes(4, "big"), -1
+        for p, q in zip(places, [*places[1:], len(data)]):
+            place = head + (p - x + (1 << 20)).to_bytes(4, "big")
+            keys.append(place + data[p : q + TOKEN_GRAM])
+            if p - last > widest.get(place, 0):
+                widest[place] = p - last
+            region.append(i)
+            offset.append(p)
+            gap.append(p - last)
+            last = p
+    rank = {k: j for j, k in enumerate(sorted(set(keys)))}
+    order = suffix_array([rank[k] for k in keys])
+    new, before, shared = [], b"", b""
+    for a in order:
+        place, p = keys[a][:8], offset[a]
+        part = flat[region[a]][2][p : p + r.length - widest[place] + 1]
+        new.append(place != before or part != shared or len(part) < r.length - widest[place] + 1)
+        before, shared = place, part
+    order = np.array(order)
+    return np.array(region)[order], np.array(offset)[order], np.array(gap)[order], np.cumsum(new)
 
 
 def shared_by_regions(groups: list[list[tuple[int, bytes]]], r: Repeats, settled: list[list[bool]] | None = None) -> list[list[tuple[int, int] | None]]:
     """For each region of each group how many bytes before x and from x on are in strings that another region of the group has at the same place.
-    ``settled`` regions are only compared with; what is found for them need not be all."""
-    walk = WALK
+    ``settled`` regions are only compared with; nothing is returned for them."""
     flat = [(g, left, data) for g, group in enumerate(groups) for left, data in group]
-    skip = [x for group in settled for x in group] if settled else [False] * len(flat)
     if not flat:
         return [[] for _ in groups]
+    open_ = ~np.array([x for group in settled for x in group], bool) if settled else np.ones(len(flat), bool)
     joined = np.frombuffer(b"".join(d for _, _, d in flat) + bytes(TOKEN_GRAM), np.uint8)
-    cuts = np.nonzero((gram_hashes(joined, TOKEN_GRAM) & U(TOKEN_MASK)) == 0)[0]
-    keys: list[bytes] = []
-    starts: list[tuple[int, int, int]] = []  # of each token: region, offset in the region, bytes to the token before
-    at = 0
-    for i, (g, left, data) in enumerate(flat):
-        lo, hi = np.searchsorted(cuts, (at, at + left))
-        places = sorted({left, *(cuts[lo:hi] - at).tolist()})
-        last = 0
-        for p, q in zip(places, [*places[1:], len(data)]):
-            keys.append(g.to_bytes(4, "big") + (p - left + (1 << 20)).to_bytes(4, "big") + data[p : q + TOKEN_GRAM])
-            starts.append((i, p, p - last))
-            last = p
-        at += len(data)
-    rank = {k: j for j, k in enumerate(sorted(set(keys)))}
-    order = suffix_array([rank[k] for k in keys])
-    common = [0] * (len(order) + 1)  # of order[j - 1] and order[j]
-    for j in range(1, len(order)):
-        a, b = order[j - 1], order[j]
-        if keys[a][:8] == keys[b][:8]:
-            (i, p, _), (k, q, _) = starts[a], starts[b]
-            common[j] = _same(flat[i][2][p:], flat[k][2][q:])
-    reach: list[list[int] | None] = [None] * len(flat)
-    tried: set[tuple[int, int]] = set()
-    cut_off: set[int] = set()
-    for j, a in enumerate(order):
-        i, p, gap = starts[a]
-        g, left, data = flat[i]
-        if skip[i]:
-            continue
-        need = r.length - gap
-        for step in (-1, 1):
-            m, t, steps = len(data), j, 0
-            while True:
-                m = min(m, common[t] if step < 0 else common[t + 1])
-                t += step
-                if m < need or m == 0:
-                    break
-                steps += 1
-                if steps > walk:
-                    cut_off.add(g)
-                    break
-                k = starts[order[t]][0]
-                pair = (i, k) if i < k else (k, i)
-                if pair in tried:
-                    continue
-                tried.add(pair)
-                _, left2, data2 = flat[k]
-                after = _same(data[left:], data2[left2:])
-                ahead = _same(data[:left][::-1], data2[:left2][::-1])
-                if ahead + after >= r.length:
-                    for y in pair:
-                        reach[y] = [max(reach[y][0], ahead), max(reach[y][1], after)] if reach[y] else [ahead, after]
+    region, offset, gap, run = _runs(flat, joined, r)
+    sizes, wanted = np.bincount(run), np.bincount(run, weights=open_[region])
+    use = (sizes[run] > 1) & (wanted[run] > 0)
+    region, offset, gap, run = region[use], offset[use], gap[use], run[use]
+    size, left = np.array([len(d) for _, _, d in flat]), np.array([x for _, x, _ in flat])
+    start = np.cumsum(size) - size
+    first = offset - gap + 1
+    n = np.maximum(np.minimum(offset, size[region] - r.length) - first + 1, 0)
+    use = n > 0
+    region, first, run, n = region[use], first[use], run[use], n[use]
+    reach: list[tuple[int, int] | None] = [None] * len(flat)
+    if len(n):
+        token = np.repeat(np.arange(len(n)), n)
+        s = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + first[token]  # window starts in their regions
+        of = region[token]
+        place = s - left[of]
+        h = gram_hashes(joined, r.length)
+        key = mix(h[start[of] + s] + mix((run[token].astype(np.int64) * 4096 + place + 2048).view(U)))
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        partner = np.full(len(order), -1)
+        partner[order[1:][same]] = order[:-1][same]
+        partner[order[:-1][same]] = order[1:][same]
+        hit = np.flatnonzero((partner >= 0) & open_[of])
+        hit = hit[np.lexsort((place[hit], of[hit]))]
+        heads = np.flatnonzero(np.concatenate([[True], of[hit][1:] != of[hit][:-1]])) if len(hit) else hit
+        doubtful = set()
+        for a, b in zip(hit[heads].tolist(), hit[np.append(heads[1:] - 1, len(hit) - 1)].tolist() if len(hit) else []):
+            i = int(of[a])
+            reach[i] = (int(-place[a]), int(place[b]) + r.length)
+            for k in (a, b):
+                j, mine, theirs = int(of[partner[k]]), int(s[k]), int(s[partner[k]])
+                if flat[i][2][mine : mine + r.length] != flat[j][2][theirs : theirs + r.length]:
+                    doubtful.add(flat[i][0])
     out, at = [], 0
     for g, group in enumerate(groups):
-        out.append(_by_windows(group, r) if g in cut_off else [tuple(x) if x else None for x in reach[at : at + len(group)]])
+        part = _by_bytes(group, r) if len(n) and g in doubtful else reach[at : at + len(group)]
+        out.append([x if o else None for x, o in zip(part, open_[at : at + len(group)])])
         at += len(group)
     return out
 
@@ -388,7 +388,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [_remove(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
         cols = list(zip(*rows)) if rows else [[]] * 4
         digests = [hashlib.sha256(x).hexdigest() for x in cols[3]]
-        yield pa.RecordBatch.from_arrays([b.column("row"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(digests, pa.string()), pa.array(cols[3], pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(digests, pa.string()), pa.array(cols[3], pa.binary()), pa.array([x.decode(errors="replace") for x in cols[3]], pa.string())], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, r: Repeats = Repeats(), text: str = "text") -> DataFrame:
@@ -399,12 +399,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, r: Repeats = Repeats(), te
     # Grams that occur twice: equal grams of one text count where they stand in different regions, too.
     many = all_.groupBy("g").agg(F.sum(F.size("xs")).alias("n")).where("n > 1").select("g")
     # Equal texts give equal rows: each counts for the regions' numbers, one is enough to bring intervals back.
-    rows = all_.join(many, "g").groupBy("g", "rh", "k1", "k2").agg(F.first("xs").alias("xs"), F.sum(F.size("xs")).alias("n"))
+    # The shuffle between join and aggregate lets adaptive execution split the join where a gram is very common.
+    rows = all_.join(many, "g").repartition("g", "rh", "k1", "k2").groupBy("g", "rh", "k1", "k2").agg(F.first("xs").alias("xs"), F.sum(F.size("xs")).alias("n"))
     rows = scratch.save(rows, "candidates")
     scratch.drop("occurrences")
     regions = rows.groupBy("g", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", F.get("xs", F.lit(0)).alias("x"))).alias("one"))
     regions = scratch.save(regions, "regions")
-    several = scratch.save(regions.groupBy("g").agg(F.count("*").alias("d")).where("d > 1"), "several")
+    # A group has something to find if it has different regions and one of them isn't a repeat as a whole.
+    several = scratch.save(regions.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1").select("g", "d"), "several")
     wanted = regions.join(several, "g").select("one.k1", "one.k2", F.struct("g", "rh", (F.col("n") > 1).alias("whole"), "one.x").alias("w"))
     wanted = scratch.save(wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")), "wanted")
     keys = wanted.select("k1", "k2")
@@ -430,11 +432,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, r: Repeats = Repeats(), te
 
 
 def remove_repeats(docs: DataFrame, r: Repeats = Repeats(), label: str = "repeats", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns row (of ``keep``, else of all columns), n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay); a row for each of ``docs``."""
+    """Columns row (of ``keep``, else of all columns), n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and kept_text (the same as text; what isn't UTF-8 any more is replaced); a row for each of ``docs``."""
     scratch = Scratch(docs.sparkSession, label)
     spans = repeated_spans(docs, scratch, r, text)
     t = F.col(f"`{text}`").cast("string")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), t.alias("text"), F.xxhash64(whole(t)).alias("k1"), F.xxhash64(F.lit(7), whole(t)).alias("k2"))
     joined = packed.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
-    schema = packed.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
+    schema = packed.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary").add("kept_text", "string")
     return joined.mapInArrow(_cut, schema)
