@@ -8,17 +8,16 @@ of ``least_words`` words or more (or the whole item, if that is shorter) has ``s
 segments the one whose equal words exceed that share by most is returned.
 
 The masks keep five words each and together meet every run in which four of five words are equal.
-Items of fewer than five words are in almost every text and are not searched for; items
-shorter than a mask are not reached by it.
+Items shorter than the shortest mask are met by a mask that keeps all their words; items of fewer than ``shortest``
+words are ordinary speech, no evidence, and are not searched for (a parameter; 1 searches for all with words).
 
 DataFrame functions only. Positions are exploded and hashed inside one generated stage, which
-carries the word array by reference. The postings of the benchmark (a row per item word and mask)
-are broadcast when they have at most ``BROADCAST_POSTINGS`` rows; beyond, positions are
-shuffled by seed, hits made distinct per text, item and diagonal, and the texts fetched for those alone;
-items are fetched by a key of their words, so their ids may be null.
+carries the word array by reference. A posting of the benchmark is a hash, a key of the item and a place, some 60 bytes whatever the item's length;
+they are broadcast when they have at most ``BROADCAST_POSTINGS`` rows, else joined by a shuffle of hashes. Hits become distinct per
+text, item and diagonal before any word of an item or text joins them, so equal texts are verified once and an item once for each diagonal;
+texts and items are fetched by keys of their words for the hits alone. Ids take no part, so they may be null or repeat.
 
-Null text has no words. A verdict depends on the text alone, so copies, repeated rows and null ids
-need no special case. Words are compared in lower case.
+Null text has no words. A verdict depends on the text alone, so copies and repeated rows all get it. Words are compared in lower case.
 """
 
 from __future__ import annotations
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from stratum.llm.columns import sealed, whole, words
 from stratum.scratch import Scratch, is_small
 
-#: A posting has an item's words besides its hash; some hundred bytes each.
-BROADCAST_POSTINGS = 100_000
+#: Postings are some 60 bytes each, keys of texts some 50.
+BROADCAST_POSTINGS = 200_000
 BROADCAST_TEXTS = 100_000
 FOUND = "struct<score:bigint,start:int,end:int>"
 #: Sums over a segment are counted in these parts of a word.
@@ -44,6 +43,7 @@ class Seeds:
     masks: tuple = ("110111", "111011", "1101011")
     least_words: int = 13
     similarity: float = 0.8
+    shortest: int = 3
 
 
 def _tokens(text: Column) -> Column:
@@ -56,17 +56,32 @@ def _seeds(tokens: Column, at: Column, masks: tuple) -> Column:
 
 
 def _exploded(df: DataFrame, tokens: str, masks: tuple, others: list[str]) -> DataFrame:
-    """A row (others, tokens, at, seed) for each position and mask."""
+    """A row (others, at, seed, mask) for each position and mask."""
     n = F.size(tokens)
     shortest = min(map(len, masks))
     runs = df.where(n >= shortest).select(*others, tokens, F.explode(F.sequence(F.lit(0), n - shortest)).alias("at"))
-    return runs.select(*others, tokens, "at", F.explode(_seeds(F.col(tokens), F.col("at"), masks)).alias("seed")).where(F.col("seed").isNotNull())
+    return runs.select(*others, "at", F.posexplode(_seeds(F.col(tokens), F.col("at"), masks)).alias("mask", "seed")).where(F.col("seed").isNotNull())
 
 
-def postings(benchmark: DataFrame, seeds: Seeds = Seeds(), item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(seed, item_id, item, p): the seeds of the benchmark, with the item's words and the seed's place in them."""
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), _tokens(F.col(f"`{text}`")).alias("item"))
-    return _exploded(items, "item", seeds.masks, ["item_id"]).select("seed", "item_id", "item", F.col("at").alias("p"))
+def _items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, item, item_key): the words of each item and their digest."""
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), sealed(_tokens(F.col(f"`{text}`"))).alias("item"))
+    return items.withColumn("item_key", F.md5(F.concat_ws(" ", "item").cast("binary")))
+
+
+def masks_for(items: DataFrame, seeds: Seeds) -> tuple:
+    """The masks, and one that keeps all words for each length of items that no mask fits into."""
+    least = min(map(len, seeds.masks))
+    lengths = items.where(F.size("item").between(seeds.shortest, least - 1)).select(F.size("item").alias("n")).distinct().collect()  # fewer than a mask's length
+    return (*seeds.masks, *("1" * r.n for r in sorted(lengths)))
+
+
+def postings(items: DataFrame, masks: tuple, seeds: Seeds = Seeds()) -> DataFrame:
+    """(seed, item_key, p): the seeds of the benchmark and their places in its items, each different item once."""
+    distinct = items.where(F.size("item") >= seeds.shortest).groupBy("item_key").agg(F.first("item").alias("item")).withColumn("n", F.size("item"))
+    found = _exploded(distinct, "item", masks, ["item_key", "n"])
+    size = F.get(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask"))
+    return found.where((F.col("mask") < len(seeds.masks)) | (F.col("n") == size)).select("seed", "item_key", F.col("at").alias("p"))
 
 
 def _equal(item: Column, part: Column, diagonal: Column) -> Column:
@@ -105,44 +120,52 @@ def _part(tokens: Column, item: Column, diagonal: Column) -> Column:
     return F.slice(tokens, F.greatest(diagonal, F.lit(0)) + 1, F.greatest(F.size(item) + F.least(diagonal, F.lit(0)), F.lit(0)))
 
 
-def _verified(hits: DataFrame, seeds: Seeds, others: list[str]) -> DataFrame:
-    """From (others, item_id, item, part, diagonal): (others, item_id, n_words, n_equal, similarity, at) of the segments that count as leaks."""
+def _verified(hits: DataFrame, seeds: Seeds) -> DataFrame:
+    """From (key, item_key, item, part, diagonal): (key, item_key, n_words, n_equal, similarity, at) of the segments that count as leaks."""
     least = F.least(F.lit(seeds.least_words), F.size("item"))
     met = hits.withColumn("equal", sealed(_equal(F.col("item"), F.col("part"), F.col("diagonal"))))
     found = met.withColumn("s", sealed(_segment(F.col("equal"), least, seeds.similarity)))
     n = F.col("s.end") - F.col("s.start")
     equal = ((F.col("s.score") + round(seeds.similarity * UNIT) * n.cast("long")) / UNIT).cast("int")
-    rows = found.select(*others, "item_id", n.alias("n_words"), equal.alias("n_equal"), (equal / n).alias("similarity"), (F.col("diagonal") + F.col("s.start")).alias("at"))
+    rows = found.select("key", "item_key", n.alias("n_words"), equal.alias("n_equal"), (equal / n).alias("similarity"), (F.col("diagonal") + F.col("s.start")).alias("at"))
     return rows.where(F.col("similarity") >= seeds.similarity)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), label: str = "decontam", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """Columns ``carry`` (default: row, all columns), item_id, n_words, n_equal, similarity, at (first word): the verified overlaps, repeats included."""
+def _hint(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def _key(text: str) -> Column:
+    return F.md5(whole(F.col(f"`{text}`").cast("string")).cast("binary"))
+
+
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), label: str = "decontam", text: str = "text") -> DataFrame:
+    """(key, item_key, n_words, n_equal, similarity, at): the verified overlaps of each different text, ``key`` being its digest. Written."""
     scratch = Scratch(docs.sparkSession, label)
-    table = scratch.save(postings(benchmark, seeds), "postings")
+    items = _items(benchmark)
+    masks = masks_for(items, seeds)
+    table = scratch.save(postings(items, masks, seeds), "postings")
+    texts = docs.select(_key(text).alias("key"), _tokens(F.col(f"`{text}`")).alias("tokens"))
+    met = _exploded(texts, "tokens", masks, ["key"]).join(_hint(table, BROADCAST_POSTINGS), "seed")
+    met = scratch.save(met.select("key", "item_key", (F.col("at") - F.col("p")).alias("diagonal")).distinct(), "met")
+    wanted = _hint(met.select("key").distinct(), BROADCAST_TEXTS)
+    hit = docs.select(_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(wanted, "key", "left_semi")
+    hit = hit.groupBy("key").agg(F.first("text").alias("text")).select("key", sealed(_tokens(F.col("text"))).alias("tokens"))
+    words_of = items.groupBy("item_key").agg(F.first("item").alias("item")).join(met.select("item_key").distinct(), "item_key", "left_semi")
+    hits = met.join(hit, "key").join(words_of, "item_key")
+    return scratch.save(_verified(hits.select("key", "item_key", "item", _part(F.col("tokens"), F.col("item"), F.col("diagonal")).alias("part"), "diagonal"), seeds), "leaks")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), label: str = "decontam", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """Columns ``carry`` (default: row, all columns), key (digest of the text), item_id, n_words, n_equal, similarity, at (first word): the verified overlaps, repeats included."""
+    found = leaking_texts(docs, benchmark, seeds, label, text).join(_items(benchmark).select("item_key", "item_id"), "item_key").drop("item_key")
     carry = carry or {"row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}
-    names = [f"c_{k}" for k in carry]
-    base = docs.select(*[v.alias(f"c_{k}") for k, v in carry.items()], _tokens(F.col(f"`{text}`")).alias("tokens"))
-    if is_small(table, BROADCAST_POSTINGS):
-        hits = _exploded(base, "tokens", seeds.masks, names).join(F.broadcast(table), "seed")
-        diagonal = F.col("at") - F.col("p")
-        hits = hits.select(*names, "item_id", "item", _part(F.col("tokens"), F.col("item"), diagonal).alias("part"), diagonal.alias("diagonal"))
-    else:
-        texts = docs.select(_tokens(F.col(f"`{text}`")).alias("tokens")).withColumn("key", F.md5(F.concat_ws(" ", "tokens").cast("binary")))
-        narrow = _exploded(texts, "tokens", seeds.masks, ["key"]).select("key", "at", "seed")
-        item_key = F.md5(F.concat_ws(" ", "item").cast("binary")).alias("item_key")
-        met = narrow.join(table.select("seed", "item_id", item_key, "p"), "seed").select("key", "item_id", "item_key", (F.col("at") - F.col("p")).alias("diagonal")).distinct()
-        items = table.select(item_key, "item").distinct()
-        keyed = base.withColumn("key", F.md5(F.concat_ws(" ", "tokens").cast("binary")))
-        hits = keyed.join(met, "key").join(items, "item_key").select(*names, "item_id", "item", _part(F.col("tokens"), F.col("item"), F.col("diagonal")).alias("part"), "diagonal")
-    return _verified(hits, seeds, names).withColumnsRenamed({f"c_{k}": k for k in carry})
+    base = docs.select(*[v.alias(f"c_{k}") for k, v in carry.items()], _key(text).alias("key"))
+    return base.join(_hint(found, BROADCAST_TEXTS), "key").withColumnsRenamed({f"c_{k}": k for k in carry})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), label: str = "clean", text: str = "text") -> DataFrame:
     """The documents without any leak, with their columns."""
-    digest = F.md5(whole(F.col(f"`{text}`")).cast("binary"))
-    bad = leaks(docs, benchmark, seeds, label, text, {"digest": digest}).select("digest").distinct()
-    bad = Scratch(docs.sparkSession, label).save(bad, "bad")
-    right = F.broadcast(bad) if is_small(bad, BROADCAST_TEXTS) else bad
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("digest"))
-    return packed.join(right, "digest", "left_anti").select("row.*")
+    bad = leaking_texts(docs, benchmark, seeds, label, text).select(F.col("key").alias("digest")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(text).alias("digest"))
+    return packed.join(_hint(bad, BROADCAST_TEXTS), "digest", "left_anti").select("row.*")

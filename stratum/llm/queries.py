@@ -43,11 +43,11 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_decontam(spark: SparkSession, sf: str) -> DataFrame:
-    """A row for each document and item that it has leaked words of: the longest segment."""
+    """A row for each document (id and text) and item that it has leaked words of: the segment with most equal words, of several the first."""
     docs, benchmark = _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark")
     found = decontam.leaks(docs, benchmark, carry={"doc_id": F.col("doc_id")})
     best = F.max(F.struct("n_equal", "n_words", "similarity", (-F.col("at")).alias("before")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"), "b.similarity", (-F.col("b.before")).cast("long").alias("first_word"))
+    return found.groupBy("doc_id", "key", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"), "b.similarity", (-F.col("b.before")).cast("long").alias("first_word"))
 
 
 def op7_suffix(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,7 +32,8 @@ def corpus():
     rows.append((111, "\t".join(changed(ITEMS[1], 7))))
     leaked[112] = 3
     rows.append((112, " ".join(prose(5) + ITEMS[3][10:30])))
-    rows += [(120, " ".join(prose(9) + changed(ITEMS[2], 3) + prose(9))), (121, None), (122, ""), (123, "one two"), (124, " ".join(ITEMS[6] + prose(9)))]
+    rows += [(120, " ".join(prose(9) + changed(ITEMS[2], 3) + prose(9))), (121, None), (122, ""), (123, "one two"), (124, " ".join(ITEMS[6] + prose(9))), (125, " ".join(prose(3) + ITEMS[5])), (126, " ".join(prose(9) + ITEMS[5][:4]))]
+    leaked |= {124: 6, 125: 5}
     rows += [(100, rows[40][1]), (None, rows[40][1])]
     return rows, leaked | {None: 0}
 
@@ -98,3 +99,41 @@ def test_items_without_id(spark, monkeypatch, bound):
     found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).select("row.doc_id", "item_id").collect()}
     assert found == {(0, None), (1, None), (2, 7)}
     assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [9]
+
+
+def every_diagonal(rows, items, seeds=decontam.Seeds()):
+    """Pairs of texts and items that overlap enough at some diagonal, seeds or no seeds."""
+    found = set()
+    for d, t in rows:
+        words = (t or "").lower().split()
+        for i, x in items:
+            item = x.split()
+            if len(item) < seeds.shortest:
+                continue
+            for diagonal in range(1 - len(item), len(words)):
+                part = [words[diagonal + k] if 0 <= diagonal + k < len(words) else None for k in range(len(item))]
+                if sum(a == b for a, b in zip(item, part)) >= 2 and passes(item, part, seeds.least_words, seeds.similarity):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_recall_against_all_diagonals(spark):
+    """Everything found is an overlap; of all overlaps nearly all are found, all of those with one word in ten substituted or fewer."""
+    r, items, rows, light = random.Random(23), [], [], set()
+    for n in (3, 5, 6, 9, 13, 17, 24, 40):
+        for subs in (0, 1, 2, n // 10, n // 6, n // 5):
+            for _ in range(3):
+                item = prose(n, r)
+                words = list(item)
+                for i in r.sample(range(n), min(subs, n)):
+                    words[i] = "other"
+                if subs * 10 <= n:
+                    light.add((len(items), len(items)))
+                rows.append((len(items), " ".join(prose(r.randrange(12), r) + words + prose(r.randrange(12), r))))
+                items.append((len(items), " ".join(item)))
+    want = every_diagonal(rows, items)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.row.doc_id, x.item_id) for x in decontam.leaks(docs, bench).collect()}
+    assert found <= want and light <= found
+    assert len(found) >= 0.9 * len(want) and len(want) > 90, (len(found), len(want))
