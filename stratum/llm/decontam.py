@@ -8,7 +8,7 @@ of ``least_words`` words or more (or the whole item, if that is shorter) has ``s
 segments the one whose equal words exceed that share by most is returned.
 
 The masks keep five words each and together meet every run in which four of five words are equal.
-Items shorter than the shortest mask are met by a mask that keeps all their words; items of fewer than ``shortest``
+Items shorter than the shortest mask are met by a mask that keeps all their words and count only where all of them are equal; items of fewer than ``shortest``
 words are ordinary speech, no evidence, and are not searched for (a parameter; 1 searches for all with words).
 
 DataFrame functions only. Positions are exploded and hashed inside one generated stage, which
@@ -127,8 +127,8 @@ def _verified(hits: DataFrame, seeds: Seeds) -> DataFrame:
     found = met.withColumn("s", sealed(_segment(F.col("equal"), least, seeds.similarity)))
     n = F.col("s.end") - F.col("s.start")
     equal = ((F.col("s.score") + round(seeds.similarity * UNIT) * n.cast("long")) / UNIT).cast("int")
-    rows = found.select("key", "item_key", n.alias("n_words"), equal.alias("n_equal"), (equal / n).alias("similarity"), (F.col("diagonal") + F.col("s.start")).alias("at"))
-    return rows.where(F.col("similarity") >= seeds.similarity)
+    rows = found.select("key", "item_key", "item", n.alias("n_words"), equal.alias("n_equal"), (equal / n).alias("similarity"), (F.col("diagonal") + F.col("s.start")).alias("at"))
+    return rows.where((F.col("similarity") >= seeds.similarity) & ((F.col("n_equal") == F.col("n_words")) | (F.size("item") >= min(map(len, seeds.masks))))).drop("item")
 
 
 def _hint(df: DataFrame, rows: int) -> DataFrame:

@@ -112,7 +112,8 @@ def every_diagonal(rows, items, seeds=decontam.Seeds()):
                 continue
             for diagonal in range(1 - len(item), len(words)):
                 part = [words[diagonal + k] if 0 <= diagonal + k < len(words) else None for k in range(len(item))]
-                if sum(a == b for a, b in zip(item, part)) >= 2 and passes(item, part, seeds.least_words, seeds.similarity):
+                # Items too short for a mask count whole only.
+                if sum(a == b for a, b in zip(item, part)) >= 2 and passes(item, part, seeds.least_words, seeds.similarity if len(item) >= 6 else 1.0):
                     found.add((d, i))
                     break
     return found
