@@ -7,11 +7,13 @@ other, or that follow each other within the same parent, are joined by smoothnes
 capacity falls with their distance in the tree. The minimum cut between the terminals labels all
 blocks at once; max-flow (Dinic's) finds it.
 
-Text of scripts, styles, forms, the head and comments is never a block. Character references are decoded,
+Text of scripts, styles, forms, the head and comments is never a block; fallback text (noscript, object), formulas and labels outside forms
+are text like any other. Character references are decoded,
 white space within a block becomes one space, blocks are joined by an empty line. Null html is empty;
 broken markup is read as far as browsers would (open elements are closed by their parents; a tag that
-never ends drops the rest). Each page is handled on its own, whatever its length: scanning is linear, and
-the graph has at most two smoothness edges for each block.
+never ends drops the rest). Each page is handled on its own, whatever its length: each open element knows the nearest block, container and
+list around it and each name its open elements, so that reading is linear in length, however deep the nesting and however many
+end tags have no start; the way between two blocks in the tree is as long as the tags between them. The graph has at most two smoothness edges for each block.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,27 +31,31 @@ from pyspark.sql import functions as F
 
 # Element names by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
+RAW = frozenset("iframe noembed noframes script style template textarea title".split())
 #: What may stand in a head; anything else, text too, ends it.
 HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
-SKIPPED = frozenset("button datalist form head input label math object option select svg textarea".split())
+SKIPPED = frozenset("button datalist form head input option select svg textarea".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body caption head html legend optgroup option tbody td tfoot th thead tr".split())
 CONTAINERS = frozenset("article aside blockquote body details div fieldset figure footer form header html main nav section table td th".split())
+LISTINGS = frozenset("ul ol dl table select".split())
 SELF_CLOSING = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id and role that mark furniture or the article.
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|sidebar|side|aside|widget\w*|related|recommend\w*|"
-    r"share|sharing|social|nav\w*|menu\w*|breadcrumbs?|pag(?:er|ination)|footer|foot|masthead|header|toolbar|comments?|commentlist|respond|repl(?:y|ies)|disqus|skip|copyright|legal|tags?|search)(?=$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|sidebar|aside|widget\w*|related|recommend\w*|"
+    r"share|sharing|social|nav\w*|menu\w*|breadcrumbs?|pag(?:er|ination)|footer|masthead|toolbar|comments?|commentlist|respond|repl(?:y|ies)|disqus|skip|copyright)(?=$|[\s_-]|\d)",
     re.I,
 )
+#: Words that mark furniture outside an article but may well name a part of one.
+FURNITURE_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:banner|notice|alert|side|foot|header|legal|tags?|search)(?=$|[\s_-]|\d)", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post(?:body|content|text)?|entry|content|story|main|body|text|prose|blog)(?=$|[\s_-]|\d)", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_XMP_END = re.compile(r"</xmp(?=[\s/>])", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D\xa0]+")
 
 
@@ -62,6 +68,7 @@ class Weights:
     article_class: float = 1.5
     furniture_element: float = 9.0
     furniture_class: float = 8.0
+    doubtful_class: float = 3.0
     length: float = 0.8
     sentence: float = 0.7
     link_share: float = 3.5
@@ -78,9 +85,14 @@ class _Open:
     good: int
     bad_element: int
     bad_class: int
-    id: int
-    depth: int
-    parent: int
+    doubtful: int
+    # Places in the stack of the nearest elements of a kind, this one included.
+    block: int
+    container: int
+    listing: int
+    wall: int
+    node: tuple  # the container around as (parent's node, depth)
+    holder: int
 
 
 @dataclass
@@ -92,8 +104,12 @@ class Block:
     good: int
     bad_element: int
     bad_class: int
+    doubtful: int
     parent: int
-    path: tuple = field(default=())
+    node: tuple
+
+
+_ROOT = (None, 0)
 
 
 class _Page:
@@ -101,7 +117,8 @@ class _Page:
 
     def __init__(self, html: str) -> None:
         self.html, self.blocks, self.parts, self.linked, self.links = html, [], [], 0, 0
-        self.stack = [_Open("", 0, 0, 0, 0, 0, 0, 0)]
+        self.stack = [_Open("", 0, 0, 0, 0, 0, 0, 0, 0, 0, _ROOT, 0)]
+        self.places: dict[str, list[int]] = {}
         self.skip = 0
         self.ids = 0
         self.read()
@@ -112,10 +129,7 @@ class _Page:
         text = _SPACE.sub(" ", _html.unescape("".join(self.parts))).strip(" ")
         if text:
             top = self.stack[-1]
-            names = [x.name for x in self.stack]
-            holder = next((x for x in reversed(self.stack) if x.name in CONTAINERS or x.name in ("ul", "ol", "dl")), self.stack[0])
-            name = next((n for n in reversed(names) if n in BLOCK), "")
-            self.blocks.append(Block(text, min(self.linked, len(text)), name, top.inside, top.good, top.bad_element, top.bad_class, holder.id, tuple(x.id for x in self.stack if x.name in CONTAINERS)))
+            self.blocks.append(Block(text, min(self.linked, len(text)), self.stack[top.block].name, top.inside, top.good, top.bad_element, top.bad_class, top.doubtful, top.holder, top.node))
         self.parts, self.linked = [], 0
 
     def end_head(self) -> None:
@@ -131,27 +145,23 @@ class _Page:
                 self.linked += len(piece)
 
     def pop_to(self, k: int) -> None:
-        for x in self.stack[k:]:
+        while len(self.stack) > k:
+            x = self.stack.pop()
+            self.places[x.name].pop()
             self.skip -= x.name in SKIPPED
             self.links -= x.name == "a"
-        del self.stack[k:]
+
+    def last(self, *names: str) -> int:
+        """The place in the stack of the innermost open element of these names; 0 if none is open."""
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=0)
 
     def opened(self, name: str, attributes: str) -> None:
         if name in BLOCK:
             self.flush()
-            if name in CLOSES_P:
-                for k in range(len(self.stack) - 1, 0, -1):
-                    if self.stack[k].name == "p":
-                        self.pop_to(k)
-                        break
-                    if self.stack[k].name in BLOCK:
-                        break
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k].name in SELF_CLOSING.get(name, ()):
-                    self.pop_to(k)
-                    break
-                if self.stack[k].name in ("ul", "ol", "dl", "table", "select") or self.stack[k].name in CONTAINERS - {"td", "th"}:
-                    break
+            if name in CLOSES_P and self.stack[at := self.stack[-1].block].name == "p":
+                self.pop_to(at)
+            if name in SELF_CLOSING and (at := self.last(*SELF_CLOSING[name])) > self.stack[-1].listing:
+                self.pop_to(at)
         elif name == "br":
             self.text(" ")
         if name in VOID:
@@ -168,9 +178,21 @@ class _Page:
         main = name in ("article", "main") or "main" in marks.split()
         # The header of an article holds its title; that of a page doesn't.
         furniture = name in ("nav", "footer", "aside", "menu", "dialog", "search") or name == "header" and not top.inside or hidden
-        bad = bool(marks) and not main and bool(FURNITURE.search(marks)) and name not in ("html", "body")
+        marked = bool(marks) and not main and name not in ("html", "body")
+        bad = marked and bool(FURNITURE.search(marks))
+        doubtful = marked and not bad and bool(FURNITURE_OUTSIDE.search(marks))
+        if doubtful and not top.inside:
+            bad, doubtful = True, False
         self.ids += 1
-        self.stack.append(_Open(name, top.inside + main, top.good + bool(marks and not bad and ARTICLE.search(marks)), top.bad_element + furniture, top.bad_class + bad, self.ids, top.depth + 1, top.id))
+        at, holds = len(self.stack), name in CONTAINERS
+        self.stack.append(
+            _Open(
+                name, top.inside + main, top.good + bool(marks and not bad and ARTICLE.search(marks)), top.bad_element + furniture, top.bad_class + bad, top.doubtful + doubtful,
+                at if name in BLOCK else top.block, at if holds else top.container, at if name in LISTINGS or holds and name not in ("td", "th") else top.listing,
+                at if name in ("article", "main", "td", "th", "body") else top.wall, (top.node, top.node[1] + 1) if holds else top.node, self.ids if holds or name in ("ul", "ol", "dl") else top.holder,
+            )
+        )
+        self.places.setdefault(name, []).append(at)
         self.skip += name in SKIPPED
         self.links += name == "a"
 
@@ -179,14 +201,10 @@ class _Page:
             self.flush()
         elif name == "br":
             self.text(" ")
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].name == name:
-                self.pop_to(k)
-                return
-            if name not in BLOCK and self.stack[k].name in CONTAINERS:
-                return
-            if name not in CONTAINERS and self.stack[k].name in ("article", "main", "td", "th", "body"):
-                return
+        at, top = self.last(name), self.stack[-1]
+        # An end tag without a start in reach changes nothing.
+        if at and (name in BLOCK or at > top.container) and (name in CONTAINERS or at > top.wall):
+            self.pop_to(at)
 
     def read(self) -> None:
         h, at, n = self.html, 0, len(self.html)
@@ -223,7 +241,13 @@ class _Page:
                     self.end_head()
                 if c == "/":
                     self.closed(name)
-                elif name in RAW:
+                elif name == "xmp":
+                    end = m.start() if (m := _XMP_END.search(h, at)) else -1
+                    self.opened("pre", attributes)
+                    self.text(_html.escape(h[at : end if end >= 0 else n], quote=False))
+                    self.closed("pre")
+                    at = n if end < 0 or (close := h.find(">", end)) < 0 else close + 1
+                elif name in RAW or name == "noscript" and self.stack[-1].name == "head":
                     end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(h, at)
                     close = h.find(">", end.end()) if end else -1
                     at = n if close < 0 else close + 1
@@ -242,21 +266,27 @@ def score(b: Block, w: Weights = Weights()) -> float:
     s = w.bias + w.length * math.log1p(n / 40) - w.link_share * b.linked / n
     s += w.sentence * min(3, len(re.findall(r"[.!?…。](?:\s|$)", b.text)))
     s += w.in_article * bool(b.inside) + w.article_class * min(2, b.good)
-    s -= w.furniture_element * b.bad_element + w.furniture_class * b.bad_class
+    s -= w.furniture_element * b.bad_element + w.furniture_class * b.bad_class + w.doubtful_class * bool(b.doubtful)
     return s + w.heading * (b.name in ("h1", "h2", "h3", "h4", "h5", "h6")) - w.list_item * (b.name == "li")
 
 
+def _between(a: tuple, b: tuple) -> int:
+    """Containers to leave and enter on the way from one container to another."""
+    n = 0
+    while a is not b:
+        n += 1
+        if a[1] >= b[1]:
+            a = a[0]
+        else:
+            b = b[0]
+    return n
+
+
 def _edges(bs: list[Block], w: Weights) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(bs):
         if i:
-            a = bs[i - 1].path
-            common = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                common += 1
-            out.append((i - 1, i, w.smooth / (1 + len(a) + len(b.path) - 2 * common)))
+            out.append((i - 1, i, w.smooth / (1 + _between(bs[i - 1].node, b.node))))
         if (j := last.get(b.parent, i)) < i - 1:
             out.append((j, i, w.sibling))
         last[b.parent] = i

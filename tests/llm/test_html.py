@@ -1,6 +1,7 @@
 import itertools
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,3 +75,29 @@ def test_head_without_end_tag():
     for start in (f"<head><title>T</title><meta name=a><body><article><p>{P1}</article>", f"<html><head>\n<script>x</script><article><p>{P1}</p></article>", f"<head><style>p</style>\n{P1}<p>{P2}"):
         assert P1 in H.main_text(start), start
     assert H.blocks("<head><title>T</title> <meta name=a>\n<style>p</style></head>") == []
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 30_000, "<b>" * 30_000 + "</i>" * 30_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000, "<b>" * 30_000 + "<li>x" * 30_000, "<p>" + "<b>" * 30_000 + "<hr>" * 30_000, "<table>" * 9_000 + "<td>x" * 9_000])
+def test_deep_nesting_and_stray_ends_are_linear(page):
+    began = time.process_time()
+    H.main_text("<article>" + page)
+    assert time.process_time() - began < 6
+
+
+def test_text_that_is_neither_form_nor_furniture_stays():
+    inner = "<p>Before it all.</p><math><mi>x</mi><mo>=</mo><mn>1</mn></math><object><p>Fallback words.</p></object><noscript>No script here.</noscript><xmp>a <b> c</xmp><label>A label text.</label>"
+    got = H.main_text(f"<body><article><h1>Title</h1>{inner}<form><label>Your name</label></form></article></body>")
+    for x in ("x=1", "Fallback words.", "No script here.", "a <b> c", "A label text."):
+        assert x in got
+    assert "Your name" not in got
+
+
+@pytest.mark.parametrize("name", ["search", "legal", "tags", "notice", "alert", "side"])
+def test_a_class_name_alone_does_not_outvote_an_article(name):
+    sentence = "The council searched the whole valley for nine days before it gave the matter up."
+    text = H.main_text(f'<article><p>First of all there was a long story to tell.</p><p class="{name}">{sentence}</p></article><div class="{name}"><a href="#">{name} here</a></div>')
+    assert sentence in text and f"{name} here" not in text
+
+
+def test_head_noscript_is_dropped():
+    assert H.main_text("<head><noscript><style>x</style></noscript></head><body><article><p>Only this stays, whole and alone.</p></article>") == "Only this stays, whole and alone."
