@@ -1,14 +1,15 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-For every document the rules take counts and from these four rates. A mergeable KLL sketch
-of each rate is built for each (lang, source); merged sketches serve each language and the
+For every document the rules take counts and from these four rates. A mergeable quantile sketch
+of each rate is built for each (lang, source): counts of logarithmic buckets, so that any quantile is known within
+``accuracy`` of its value; merged sketches (summed counts) serve each language and the
 whole corpus. A document fails a rate if it lies beyond a fence, ``q75 + spread * max(q75 -
-q25, least)`` (and likewise below for the mean word length), of its own group. Groups of
+q25, least)`` (and likewise below for the mean word length), of its own group. ``least`` is what a rate varies by at
+least, for groups so even that their quartiles meet. Groups of
 fewer than ``min_group`` documents take the fences of their language, and small languages
-those of the corpus. A rate fails a document only beyond an absolute floor as well, so that
-a group of very even documents doesn't reject its own ordinary ones.
+those of the corpus. There are no other thresholds. Bucket counts are whole numbers, so reruns agree whatever the partitions; a document just on a fence passes.
 
-DataFrame functions only. Sketches have a bounded size and are combined before the shuffle,
+DataFrame functions only. A sketch has at most some thousand buckets and is combined before the shuffle,
 so a source with most of the rows costs no more than any other. The table of fences has a
 row per group; it is broadcast when it has at most ``BROADCAST_GROUPS`` rows, else joined
 on a salted key, the salt spreading a large group over tasks.
@@ -19,13 +20,14 @@ words fails the fixed rule. Repeated rows are judged alike, each row on its own.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm.columns import GAP, sealed, whole, words
-from stratum.scratch import is_small
+from stratum.scratch import Scratch, is_small
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATES = ["word_length", "symbol_rate", "dup_line_rate", "repeat_rate"]
@@ -40,13 +42,20 @@ class Rules:
 
     min_words: int = 50
     max_repeat: int = 50
-    spread: float = 3.0
+    spread: float = 8.0
     min_group: int = 200
-    sketch_k: int = 1024
-    #: A rate's least spread (least) and the value that it must pass besides the fence (floor).
+    accuracy: float = 0.01
+    #: A rate's least spread.
     least: tuple = (("word_length", 0.5), ("symbol_rate", 0.02), ("dup_line_rate", 0.05), ("repeat_rate", 0.05))
-    floor: tuple = (("word_length", 9.0), ("symbol_rate", 0.2), ("dup_line_rate", 0.5), ("repeat_rate", 0.35))
-    least_word_length: float = 2.5
+
+    @property
+    def log_base(self) -> float:
+        """Logarithm of the ratio of a bucket's ends."""
+        return math.log((1 + self.accuracy) / (1 - self.accuracy))
+
+
+#: The bucket of the value 0.
+ZERO = -(1 << 30)
 
 
 def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -86,35 +95,52 @@ def measure(docs: DataFrame, rules: Rules = Rules(), **names: str) -> DataFrame:
     return with_counts(docs, **names).withColumn("q", q.withField("base_failed", failed))
 
 
-def fences(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """A row (lang, source, fence) per group: the group's own fences, or those of the level above.
+def sketches(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(lang, source, rate, bucket, n): of the documents that pass the fixed rule, how many of a group have a rate in a bucket.
 
-    Sketches take the documents that pass the fixed rule; if a level has none, its fences are null and nobody fails them.
+    Bucket k holds values from base ** (k - 1), not included, to base ** k.
     """
     q = F.col("q")
-    group = measured.groupBy("lang", "source").agg(
-        F.count(F.when(~q["base_failed"], 1)).alias("n"),
-        *[F.kll_sketch_agg_double(F.when(~q["base_failed"], q[r]), rules.sketch_k).alias(r) for r in RATES],
-    )
-    merge = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, rules.sketch_k).alias(r) for r in RATES]]
-    by_lang = group.groupBy("lang").agg(*merge)
-    corpus = by_lang.agg(*merge)
+    bucket = lambda x: F.when(x > 0, F.ceil(F.log(x) / F.lit(rules.log_base)).cast("int")).otherwise(ZERO)
+    each = F.array(*[F.struct(F.lit(r).alias("rate"), bucket(q[r]).alias("bucket")) for r in RATES])
+    spots = measured.where(~q["base_failed"]).select("lang", "source", F.explode(each).alias("b"))
+    return spots.groupBy("lang", "source", "b.rate", "b.bucket").agg(F.count("*").alias("n"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str], rules: Rules = Rules()) -> DataFrame:
+    """(keys, n, <rate>_q25, <rate>_q75) from bucket counts: a sketch's quantile is the middle of the bucket that holds its rank."""
+    of = Window.partitionBy(*keys, "rate")
+    merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    upto = merged.withColumns({"upto": F.sum("n").over(of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(of)})
+    at = lambda p: F.min(F.when(F.col("upto") > p * (F.col("all") - 1), F.col("bucket")))
+    value = lambda b: F.when(b > ZERO, F.exp(b * F.lit(rules.log_base)) * (1 - rules.accuracy)).otherwise(0.0)
+    each = upto.groupBy(*keys, "rate").agg(F.max("all").alias("n"), at(0.25).alias("b25"), at(0.75).alias("b75"))
+    one = lambda c, r: F.max(F.when(F.col("rate") == r, c))
+    return each.groupBy(*keys).agg(F.max("n").alias("n"), *[one(value(F.col(f"b{p}")), r).alias(f"{r}_q{p}") for r in RATES for p in (25, 75)])
+
+
+def fences(measured: DataFrame, scratch: Scratch, rules: Rules = Rules()) -> DataFrame:
+    """A row (lang, source, fence) per group: the group's own fences, or those of the level above.
+
+    Groups without a document that passes the fixed rule have no row.
+    """
     least = dict(rules.least)
 
-    def fence(n: Column) -> Column:
-        at = lambda r, p: F.kll_sketch_get_quantile_double(r, F.lit(p))
+    def fence() -> Column:
         sides = []
         for r in RATES:
-            width = rules.spread * F.greatest(at(r, 0.75) - at(r, 0.25), F.lit(least[r]))
-            sides += [(at(r, 0.75) + width).alias(f"{r}_high"), (at(r, 0.25) - width).alias(f"{r}_low")]
-        return F.when(n > 0, F.struct(*sides))
+            width = rules.spread * F.greatest(F.col(f"{r}_q75") - F.col(f"{r}_q25"), F.lit(least[r]))
+            sides += [(F.col(f"{r}_q75") + width).alias(f"{r}_high"), (F.col(f"{r}_q25") - width).alias(f"{r}_low")]
+        return F.struct(*sides)
 
-    own = group.select("lang", "source", "n", fence(F.col("n")).alias("f0"))
-    middle = by_lang.select(F.col("lang").alias("_l"), F.col("n").alias("_n1"), fence(F.col("n")).alias("f1"))
-    top = corpus.select(F.col("n").alias("_n2"), fence(F.col("n")).alias("f2"))
-    # A row per language and a single row: both sides are results of the aggregates above.
-    joined = own.join(middle, own["lang"].eqNullSafe(middle["_l"]), "left").join(F.broadcast(top), F.lit(True), "left")
-    return joined.select("lang", "source", F.when(F.col("n") >= rules.min_group, F.col("f0")).when(F.col("_n1") >= rules.min_group, F.col("f1")).otherwise(F.col("f2")).alias("_fence"))
+    sketch = scratch.save(sketches(measured, rules), "sketches")
+    own = quartiles(sketch, ["lang", "source"], rules).select("lang", "source", "n", fence().alias("f0"))
+    middle = quartiles(sketch, ["lang"], rules).select(F.col("lang").alias("_l"), F.col("n").alias("_n1"), fence().alias("f1"))
+    top = scratch.save(quartiles(sketch, [], rules).select(fence().alias("f2")), "corpus").first()  # a row of eight numbers
+    corpus = F.struct(*[F.lit(x).cast("double").alias(k) for k, x in top.f2.asDict().items()])
+    joined = own.join(middle, own["lang"].eqNullSafe(middle["_l"]), "left")
+    chosen = F.when(F.col("n") >= rules.min_group, F.col("f0")).when(F.col("_n1") >= rules.min_group, F.col("f1")).otherwise(corpus)
+    return scratch.save(joined.select("lang", "source", chosen.alias("_fence")), "fences")
 
 
 def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -126,17 +152,16 @@ def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> Dat
     else:
         salted = measured.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         joined = salted.join(limits.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
-    q, f, floor = F.col("q"), F.col("_fence"), dict(rules.floor)
-    odd = F.lit(False)
+    q, f = F.col("q"), F.col("_fence")
+    odd = q["word_length"] < f["word_length_low"]
     for r in RATES:
-        odd = odd | ((q[r] > f[f"{r}_high"]) & (q[r] > floor[r]))
-    odd = odd | ((q["word_length"] < f["word_length_low"]) & (q["word_length"] < rules.least_word_length))
+        odd = odd | (q[r] > f[f"{r}_high"])
     kept = ~q["base_failed"] & ~F.coalesce(odd, F.lit(False))
     return joined.withColumn("q", q.withField("kept", kept)).drop("_lang", "_source", "_fence")
 
 
-def quality_filter(docs: DataFrame, limits: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
-    """The documents that pass, with their columns. ``limits``: a saved result of :func:`fences`; else taken from ``docs``."""
-    measured = measure(docs, rules)
-    judged = judge(measured, fences(measured, rules) if limits is None else limits, rules)
-    return judged.where(F.col("q")["kept"]).select("row.*")
+def quality_filter(docs: DataFrame, label: str = "quality-filter", rules: Rules = Rules()) -> DataFrame:
+    """The documents that pass, with their columns. Counts are taken once and written with the rows."""
+    scratch = Scratch(docs.sparkSession, label)
+    measured = scratch.save(measure(docs, rules), "measured")
+    return judge(measured, fences(measured, scratch, rules), rules).where(F.col("q")["kept"]).select("row.*")

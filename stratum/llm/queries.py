@@ -74,8 +74,9 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    measured = Scratch(spark, "quality").save(quality.measure(docs).select(F.struct("row.doc_id").alias("row"), "lang", "source", "q"), "measured")
-    judged = quality.judge(measured, quality.fences(measured))
+    scratch = Scratch(spark, "quality")
+    measured = scratch.save(quality.measure(docs).select(F.struct("row.doc_id").alias("row"), "lang", "source", "q"), "measured")
+    judged = quality.judge(measured, quality.fences(measured, scratch))
     return judged.select("row.doc_id", *[f"q.{c}" for c in quality.COUNTS], "q.base_failed", "q.kept")
 
 
