@@ -2,8 +2,8 @@
 
 A table that several later steps read is written once as Parquet and read back, which
 cuts lineage and survives the loss of executors. The folder is the one that the cluster
-names in ``spark.checkpoint.dir``; a temporary folder is used only where that is unset
-(tests on one machine).
+names in ``spark.checkpoint.dir``. Where that is unset a temporary folder serves a session on one machine
+(master ``local``); on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_own: list[tuple[SparkSession, str]] = []
+#: Session, folder and label of each query's tables.
+_own: list[tuple[SparkSession, str, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="stratum-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,7 +41,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/stratum-{label}-{uuid.uuid4().hex}"
-        _own.append((spark, self.root))
+        _own.append((spark, self.root, label))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,9 +57,16 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
 
+def release(spark: SparkSession, labels: set[str]) -> None:
+    """Deletes the tables of earlier queries with these labels, whose results have been written elsewhere."""
+    for entry in [x for x in _own if x[0] is spark and x[2] in labels]:
+        _delete(spark, entry[1])
+        _own.remove(entry)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, root in _own:
+    for spark, root, _ in _own:
         try:
             _delete(spark, root)
         except Exception:  # noqa: BLE001  the session may have ended before
