@@ -1,22 +1,23 @@
 """A log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
-Words map to ``symbols`` symbols: the end of a text, the most frequent words, and classes of all other
+Words map to symbols: the end of a text, the most frequent words, and classes of all other
 words (by the hash of a word's first three bytes, so a class holds words that begin alike and a new word has
-one too). The model is log-bilinear over symbols: the vectors of the two symbols before are combined
+one too). The number of symbols grows with the corpus, with the root of its tokens, from ``least_symbols`` to ``most_symbols``
+(:meth:`Shape.grown`): at the upper end, from a billion tokens on, 2,558 words and 1,536 classes. The model is log-bilinear over symbols: the vectors of the two symbols before are combined
 linearly and scored against every symbol. P(word | context) = P(symbol | context) * P(word | class), the
 latter add-one smoothed within the class with one unit for a word not seen; both parts sum to one, so scores
 are normalised log-probabilities.
 
 What it learns from is gathered from the whole training corpus: counts of all words, sums per class, and
-counts of all symbol trigrams, each combined within tasks before the shuffle. Noise-contrastive
-training runs on the partitions of the trigram counts, a weighted row for each distinct trigram, with noise
-shared by a batch so that everything is matrix products; parameters (some ten thousand numbers) are averaged after each
-round. For scoring the normalised log-probabilities of all symbols after all symbol pairs are one table, computed
-by batched products in each worker.
+counts of all symbol trigrams, each combined within tasks before the shuffle. Distinct trigrams, weighted by their counts, are dealt to shards by a
+hash; their number follows from that of the trigrams. Noise-contrastive
+training runs over each shard in the order of a hash, with noise shared by a batch so that everything is matrix products; the shards' parameters are averaged after each
+round, in two steps and in the order of the shards. So the model is the same however Spark deals out rows. For scoring, the logarithms of
+the normalisers of all symbol pairs are one table, computed by batched products in tasks, at most ``most_symbols`` squared numbers (64 MB).
 
 Counts of the ``frequent`` most frequent words travel with the scoring tasks (a fixed bound). All other
 words, rare ones, are looked up by a join on their hash, each document's repeats combined first; no rare
-word is a hot key. Words are identified by hashes of 57 bits and their class.
+word is a hot key. Words are identified by hashes of 53 bits and 11 bits of their beginning.
 
 Null text is empty: one token, the end. Texts are whole whatever their length. Without training documents
 all counts are 0 and the model is uniform over symbols. Repeated rows count each.
@@ -25,7 +26,7 @@ all counts are 0 and the model is uniform over symbols. Repeated rows count each
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +44,26 @@ PIECE_BYTES = 1 << 19
 FLUSH_TOKENS = 4_000_000
 #: A row of training weighs at most so many times the mean count of a trigram.
 SPLIT = 8
+#: Distinct trigrams of a shard, about, and most shards; a task trains on a chunk of a shard at a time.
+SHARD_ROWS, MAX_SHARDS, CHUNK_ROWS = 1 << 20, 1024, 1 << 20
+#: Averages are taken over groups of shards first.
+AVERAGES = 32
 
 
 @dataclass(frozen=True)
 class Shape:
-    symbols: int = 256
-    classes: int = 96
+    """``symbols`` and ``classes`` are set by the corpus where they are 0."""
+
+    symbols: int = 0
+    classes: int = 0
+    least_symbols: int = 256
+    most_symbols: int = 4096
     frequent: int = 1 << 18
     dim: int = 32
     noise: int = 64
     batch: int = 8192
     rounds: int = 2
-    least_steps: int = 150
+    least_steps: int = 100
     rate: float = 0.02
     seed: int = 5
 
@@ -63,6 +72,15 @@ class Shape:
         """Words that are symbols of their own."""
         return self.symbols - self.classes - 2
 
+    def grown(self, tokens: int) -> Shape:
+        """The shape for a corpus of so many tokens: the next power of two above an eighth of their root; three eighths of the symbols are classes."""
+        if self.symbols:
+            return self
+        n = self.least_symbols
+        while n < self.most_symbols and 64 * n * n < tokens:
+            n *= 2
+        return replace(self, symbols=n, classes=n * 3 // 8)
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -70,8 +88,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = np.random.default_rng(23).integers(0, 2**63, 256, dtype=np.uint64) | U(1)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-#: The low bits of a word's hash are its class; the last value stands for the end of a text.
-CLASS_BITS = 7
+#: The low bits of a word's hash come from its first three bytes, its class from them; the last value stands for the end of a text.
+CLASS_BITS = 11
 END_CLASS = (1 << CLASS_BITS) - 1
 END_HASH = END_CLASS
 _powers = [np.ones(1, U), np.ones(1, U)]
@@ -86,8 +104,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def hash_words(texts: list[str | None], classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order (57 bits and the class, from the first three bytes) and the number of words of each text."""
+def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order (53 bits, and 11 from the first three bytes) and the number of words of each text."""
     raws = [(t or "").encode() for t in texts]
     data = _LOWER[np.frombuffer(b" ".join(raws) + b"   ", np.uint8)]
     space = _SPACE[data]
@@ -100,7 +118,7 @@ def hash_words(texts: list[str | None], classes: int) -> tuple[np.ndarray, np.nd
     np.cumsum(_VALUE[data] * power[: len(data)], out=prefix[1:])
     h = mix((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(U))
     second, third = np.where(stop - start > 1, data[start + 1], 0), np.where(stop - start > 2, data[start + 2], 0)
-    cls = mix((data[start].astype(U) << U(16)) | (second.astype(U) << U(8)) | third.astype(U)) % U(classes)
+    cls = mix((data[start].astype(U) << U(16)) | (second.astype(U) << U(8)) | third.astype(U)) % U(END_CLASS)
     ends = np.cumsum([len(r) + 1 for r in raws])
     counts = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
     return ((h & ~U(END_CLASS)) | cls).view(np.int64), counts
@@ -128,14 +146,14 @@ def _combined(parts: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(values[i : i + 200_000].astype(np.int64)), pa.array(n[i : i + 200_000].astype(np.int64))], names=names)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n) of the words of a task and of the ends of its texts."""
     parts, size, ends = [], 0, 0
     for b in batches:
         texts = b.column("text").to_pylist()
         ends += len(texts)
         for i, j in _pieces(texts):
-            parts.append(hash_words(texts[i:j], shape.classes)[0])
+            parts.append(hash_words(texts[i:j])[0])
             size += len(parts[-1])
         if size > FLUSH_TOKENS:
             yield from _combined(parts, ["h", "n"])
@@ -160,8 +178,8 @@ class Lexicon:
         """Of all texts one after another, each closed by its end: symbols, the two symbols before each, and of the
         words hashes and counts (-1 for a word that isn't among the frequent ones); the first place of each text."""
         shape, m = self.shape, len(self.hashes)
-        h, n = hash_words(texts, shape.classes)
-        symbol = (h & END_CLASS) + (2 + shape.listed)
+        h, n = hash_words(texts)
+        symbol = (h & END_CLASS) % shape.classes + (2 + shape.listed)
         count = np.full(len(h), -1, np.int64)
         if m:
             j = np.minimum(np.searchsorted(self.hashes, h), m - 1)
@@ -191,7 +209,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[p
         texts = b.column("text").to_pylist()
         for i, j in _pieces(texts):
             symbol, context, *_ = lexicon.read(texts[i:j])
-            parts.append((context * lexicon.shape.symbols + symbol).astype(np.int32))
+            parts.append(context * lexicon.shape.symbols + symbol)
             size += len(symbol)
         if size > FLUSH_TOKENS:
             yield from _combined(parts, ["code", "n"])
@@ -234,25 +252,20 @@ class Bilinear:
     def context(self, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
         return self.r[s1] @ self.c1 + self.r[s2] @ self.c2
 
-    def log_table(self) -> np.ndarray:
-        """log10 P(symbol | s1, s2), row s1 * symbols + s2; START is never predicted."""
-        k = self.shape.symbols
-        table = np.empty((k * k, k), np.float32)
-        second = self.r @ self.c2
-        for s1 in range(k):
-            x = ((second + self.r[s1] @ self.c1) @ self.v.T + self.bias).astype(np.float64)
-            x[:, START] = -np.inf
-            x -= x.max(axis=1, keepdims=True)
-            table[s1 * k : (s1 + 1) * k] = (x - np.log(np.exp(x).sum(axis=1, keepdims=True))) / np.log(10)
-        return table
-
-    def train(self, codes: np.ndarray, counts: np.ndarray, seed: int, rate: float) -> None:
-        """Adam on noise-contrastive batches of distinct trigrams, weighted by their counts."""
+    def normalisers(self, s1: int) -> np.ndarray:
+        """log of the sums over all symbols, after s1 and each symbol; START is never predicted."""
+        x = (self.r @ self.c2 + self.r[s1] @ self.c1) @ self.v.T + self.bias
+        x[:, START] = -np.inf
+        most = x.max(axis=1, keepdims=True)
+        return (np.log(np.exp(x - most).sum(axis=1, dtype=np.float64)) + most[:, 0]).astype(np.float32)
+
+    def train(self, codes: np.ndarray, counts: np.ndarray, seed: int, rate: float, mean: float | None = None) -> None:
+        """Adam on noise-contrastive batches of distinct trigrams, weighted by their counts (in units of ``mean``)."""
         shape, k = self.shape, self.shape.symbols
-        rng = np.random.default_rng(seed)
+        rng, mean = np.random.default_rng(seed), mean or counts.mean()
         # Each distinct trigram is a row with its count as weight; large counts are split over several rows, so that a batch's weights stay even.
-        times = np.ceil(counts / (SPLIT * counts.mean())).astype(np.int64)
-        codes, weights = np.repeat(codes, times), np.repeat((counts / times / counts.mean()).astype(np.float32), times)
+        times = np.ceil(counts / (SPLIT * mean)).astype(np.int64)
+        codes, weights = np.repeat(codes, times), np.repeat((counts / times / mean).astype(np.float32), times)
         steps_each = -(-len(codes) // shape.batch)
         passes = max(1, -(-shape.least_steps // steps_each))
         m, u, t = [np.zeros_like(x) for x in self.values()], [np.zeros_like(x) for x in self.values()], 0
@@ -282,6 +295,63 @@ class Bilinear:
                 x -= rate * (1 - step / (total + 1)) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(shard, codes, counts, whether it is the shard's last): rows come with the rows of a shard together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, shard = 0, None
+
+    def joined(last: bool):
+        return shard, *(np.concatenate(x) for x in zip(*held)), last
+
+    for b in batches:
+        shards, codes, counts = (b.column(c).to_numpy() for c in ("shard", "code", "n"))
+        cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+        for i, j in zip(cuts, cuts[1:]):
+            while i < j:
+                if held and (shards[i] != shard or size >= CHUNK_ROWS):
+                    yield joined(shards[i] != shard)
+                    held, size = [], 0
+                shard = int(shards[i])
+                stop = min(j, i + CHUNK_ROWS - size)  # chunks don't depend on batches
+                held.append((codes[i:stop], counts[i:stop]))
+                size, i = size + stop - i, stop
+    if held:
+        yield joined(True)
+
+
+def _trained(batches: Iterator[pa.RecordBatch], shape: Shape, unigram: np.ndarray, values: list[np.ndarray], k: int, mean: float) -> Iterator[pa.RecordBatch]:
+    """(shard, weight, flat): the parameters after training on each shard."""
+    own, weight, part = None, 0.0, 0
+    for shard, codes, counts, last in _chunks(batches):
+        if own is None:
+            own, weight, part = Bilinear(shape, unigram), 0.0, 0
+            own.set([x.copy() for x in values])
+        own.train(codes, counts, shard + 7919 * k + 104_729 * part, shape.rate / (1 + k), mean)
+        weight, part = weight + float(counts.sum()), part + 1
+        if last:
+            flat = np.concatenate([x.ravel() for x in own.values()]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([weight]), pa.array([flat.tobytes()], pa.binary())], names=["shard", "weight", "flat"])
+            own = None
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted sums over the shards of each group; rows come by group and shard."""
+    group, total, weight = None, None, 0.0
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["grp", "weight", "flat"])
+
+    for b in batches:
+        for g, w, flat in zip(*(b.column(c).to_pylist() for c in ("grp", "weight", "flat"))):
+            if g != group:
+                if group is not None:
+                    yield row()
+                group, total, weight = g, 0.0, 0.0
+            total, weight = total + w * np.frombuffer(flat, np.float32).astype(np.float64), weight + w
+    if group is not None:
+        yield row()
+
+
 @dataclass
 class Trained:
     """What scoring needs: parameters, frequent words, sums."""
@@ -296,25 +366,30 @@ class Trained:
     class_tokens: np.ndarray
     class_distinct: np.ndarray
     end_count: int
+    normalisers: np.ndarray
     words: DataFrame
 
     def lexicon(self) -> Lexicon:
         return Lexicon(self.shape, self.hashes, self.counts)
 
     def log_table(self) -> np.ndarray:
-        b = Bilinear(self.shape, self.unigram)
+        """log10 P(symbol | s1, s2), row s1 * symbols + s2; symbols to the third, for small models."""
+        b, k = Bilinear(self.shape, self.unigram), self.shape.symbols
         b.set(self.values)
-        return b.log_table()
+        x = ((b.r @ b.c1)[:, None] + (b.r @ b.c2)[None]).reshape(k * k, -1) @ b.v.T + b.bias
+        x[:, START] = -np.inf
+        return (x - self.normalisers[:, None]) / np.float32(np.log(10))
 
 
 def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape(), text: str = "text") -> Trained:
     """``docs``: the training documents."""
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    words = texts.mapInArrow(lambda b: _counted(b, shape), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    words = texts.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     words = scratch.save(words.withColumn("cls", F.col("h").bitwiseAND(END_CLASS).cast("int")), "words")
-    class_rows = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row per class
+    class_rows = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # 2,048 rows
     tokens, distinct = sum(r.n for r in class_rows), sum(r.v for r in class_rows)
     end_count = sum(r.n for r in class_rows if r.cls == END_CLASS)
+    shape = shape.grown(tokens)
     # The most frequent words, at most ``frequent``: those whose count passes a level, from a histogram of count levels.
     level = F.floor(F.log2("n") * 8)
     room, least = shape.frequent, None
@@ -328,10 +403,11 @@ def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape(), text: str =
     class_tokens, class_distinct = np.zeros(shape.classes), np.zeros(shape.classes)
     for r in class_rows:
         if r.cls != END_CLASS:
-            class_tokens[r.cls], class_distinct[r.cls] = r.n, r.v
+            class_tokens[r.cls % shape.classes] += r.n
+            class_distinct[r.cls % shape.classes] += r.v
     for c, n in zip(top["cls"].to_numpy()[: shape.listed], counts[: shape.listed]):
-        class_tokens[c] -= n
-        class_distinct[c] -= 1
+        class_tokens[c % shape.classes] -= n
+        class_distinct[c % shape.classes] -= 1
     unigram = np.zeros(shape.symbols)
     unigram[END] = end_count
     unigram[2 : 2 + min(shape.listed, len(counts))] = counts[: shape.listed]
@@ -342,30 +418,35 @@ def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape(), text: str =
     grams = texts.mapInArrow(lambda b: _trigrams(b, Lexicon(shape, *shared.value)), "code long, n long")
     grams = scratch.save(grams.groupBy("code").agg(F.sum("n").alias("n")), "trigrams")
     model = Bilinear(shape, unigram)
-    for k in range(shape.rounds):
-        values, rate = model.values(), shape.rate / (1 + k)
-
-        def run(batches: Iterator[pa.RecordBatch], k=k, values=values, rate=rate) -> Iterator[pa.RecordBatch]:
-            got = [(b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches]
-            codes, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
-            if not len(codes):
-                return
-            own = Bilinear(shape, unigram)
-            own.set([x.copy() for x in values])
-            own.train(codes, counts, int(codes[0]) % 1000 + 7919 * k, rate)
-            flat = np.concatenate([x.ravel() for x in own.values()])
-            yield pa.RecordBatch.from_arrays([pa.array([float(counts.sum())]), pa.array([flat.tolist()])], names=["weight", "flat"])
-
-        got = grams.mapInArrow(run, "weight double, flat array<double>").collect()  # a row of parameters per partition
-        if got:
-            total = sum(r.weight for r in got)
-            flat = sum(np.array(r.flat) * (r.weight / total) for r in got)
-            new, at = [], 0
-            for x in model.values():
-                new.append(flat[at : at + x.size].reshape(x.shape))
-                at += x.size
-            model.set([x.astype(np.float32) for x in new])
-    return Trained(shape, model.values(), unigram, hashes, counts, int(tokens), int(distinct), class_tokens, class_distinct, int(end_count), words)
+    size = grams.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first()
+    shards = max(1, min(MAX_SHARDS, -(-size.rows // SHARD_ROWS)))
+    if size.rows:
+        dealt = grams.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int"))
+    for k in range(shape.rounds if size.rows else 0):
+        values, mean = model.values(), size.n / size.rows
+        each = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(1), "code"), "code").select("shard", "code", "n")
+        each = scratch.save(each.mapInArrow(lambda b, k=k, values=values, mean=mean: _trained(b, shape, unigram, values, k, mean), "shard int, weight double, flat binary"), f"trained{k}")
+        grouped = each.withColumn("grp", F.col("shard") % AVERAGES).repartition(AVERAGES, "grp").sortWithinPartitions("grp", "shard").select("grp", "weight", "flat")
+        got = sorted(grouped.mapInArrow(_averaged, "grp int, weight double, flat binary").collect(), key=lambda r: r.grp)  # at most AVERAGES rows
+        total = sum(r.weight for r in got)
+        flat = sum(np.frombuffer(r.flat, np.float64) for r in got) / total
+        new, at = [], 0
+        for x in model.values():
+            new.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+            at += x.size
+        model.set(new)
+    values = model.values()
+
+    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bilinear(shape, unigram)
+        own.set(values)
+        for b in batches:
+            for s1 in b.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([s1]), pa.array([own.normalisers(s1).tobytes()], pa.binary())], names=["s1", "z"])
+
+    rows = docs.sparkSession.range(0, shape.symbols, 1, max(1, shape.symbols // 128)).mapInArrow(normalised, "s1 long, z binary").collect()  # symbols squared numbers
+    z = np.concatenate([np.frombuffer(r.z, np.float32) for r in sorted(rows, key=lambda r: r.s1)])
+    return Trained(shape, values, unigram, hashes, counts, int(tokens), int(distinct), class_tokens, class_distinct, int(end_count), z, words)
 
 
 _tables: dict[str, tuple] = {}
@@ -379,7 +460,7 @@ def score(docs: DataFrame, model: Trained, scratch: Scratch, text: str = "text",
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("model", "double")):
         schema = schema.add(name, kind)
     schema = schema.add("rare", ArrayType(LongType())).add("times", ArrayType(IntegerType()))
-    parts = (model.shape, model.values, model.unigram, model.hashes, model.counts)
+    parts = (model.shape, model.values, model.normalisers, model.hashes, model.counts)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     tag = scratch.root
     log_all = np.log10(model.tokens + model.distinct + 1)
@@ -390,11 +471,9 @@ def score(docs: DataFrame, model: Trained, scratch: Scratch, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tag not in _tables:
             _tables.clear()
-            shape_, values, unigram, hashes, counts = shared.value
-            bilinear = Bilinear(shape_, unigram)
-            bilinear.set(values)
-            _tables[tag] = (bilinear.log_table(), Lexicon(shape_, hashes, counts))
-        table, lexicon = _tables[tag]
+            shape_, (r, v, c1, c2, bias), z, hashes, counts = shared.value
+            _tables[tag] = (r @ c1, r @ c2, v, bias, z, Lexicon(shape_, hashes, counts))
+        before, last, v, bias, z, lexicon = _tables[tag]
         classed_from = 2 + shape.listed
         for b in batches:
             texts, each = b.column("text").to_pylist(), []
@@ -404,7 +483,9 @@ def score(docs: DataFrame, model: Trained, scratch: Scratch, text: str = "text",
                 known, end = counts >= 0, counts == -2
                 logs = np.log10(np.maximum(counts, 0) + 1.0)
                 logs[end] = end_log
-                value, classed = table[context, symbol].astype(np.float64), symbol >= classed_from
+                q = before[context // shape.symbols] + last[context % shape.symbols]
+                value = (np.einsum("ij,ij->i", q, v[symbol]) + bias[symbol] - z[context]) / np.log(10)
+                value, classed = value.astype(np.float64), symbol >= classed_from
                 value[classed] += logs[classed] - log_class[symbol[classed] - classed_from]
                 n = np.diff(np.append(first, len(symbol)))
                 rare = counts == -1

@@ -69,12 +69,12 @@ def test_score_equals_the_model_word_by_word(result):
 
 def test_words_are_hashed_alike_wherever_they_stand():
     texts = [None, "", " a\tB\x0bc  ", "longer Words é😀 a", "a" * 5000 + " b", "\n\r"]
-    h, n = lm.hash_words(texts, 96)
+    h, n = lm.hash_words(texts)
     words = [w for t in texts for w in words_of(t)]
     assert n.tolist() == [len(words_of(t)) for t in texts] and len(h) == len(words)
     seen = {}
     for w, x in zip(words, h.tolist()):
-        assert seen.setdefault(w, x) == x == lm.hash_words([w.decode()], 96)[0][0]
+        assert seen.setdefault(w, x) == x == lm.hash_words([w.decode()])[0][0]
     assert len(set(seen.values())) == len(seen)
 
 
@@ -105,3 +105,32 @@ def test_every_trigram_enters_training():
     before = model.r.copy()
     model.train(np.append(rare, 3 * k * k + 2 * k + 3), np.append(np.ones(len(rare), np.int64), 10**7), 1, 0.02)
     assert (model.r != before).any(axis=1)[4:].all() and np.isfinite(model.r).all()
+
+
+@pytest.fixture(scope="module")
+def shares(spark):
+    """Scores of one corpus, dealt to 4, 7 and 211 partitions, with several shards and chunks."""
+    rows, out = [x for x in corpus(120) if x[1] is None or len(x[1]) < 10_000], []
+    before = lm.SHARD_ROWS, lm.CHUNK_ROWS, spark.conf.get("spark.sql.shuffle.partitions")
+    lm.SHARD_ROWS, lm.CHUNK_ROWS = 500, 200
+    docs = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k long, doc_id long, text string")
+    for n in (4, 7, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        scratch = Scratch(spark, f"lm-{n}")
+        model = lm.train(docs.where(~lm.held_out(docs.doc_id)).repartition(min(n, 16)), scratch, SMALL)
+        out.append({r.row.k: (r.score, r.base_score) for r in lm.score(docs, model, scratch, keep=["k"]).collect()})
+    lm.SHARD_ROWS, lm.CHUNK_ROWS = before[:2]
+    spark.conf.set("spark.sql.shuffle.partitions", before[2])
+    return out
+
+
+def test_scores_do_not_depend_on_partitions(shares):
+    a, *others = shares
+    for b in others:
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
+
+
+def test_symbols_grow_with_the_corpus():
+    grown = [lm.Shape().grown(10**k).symbols for k in range(13)]
+    assert grown == sorted(grown) and grown[0] == 256 and grown[7] == 512 and grown[-1] == 4096
+    assert lm.Shape().grown(10**10).listed == 2558 and SMALL.grown(10**9) == SMALL
