@@ -17,8 +17,9 @@ that a very long word costs linear time. Edges are made distinct before they are
 aggregate combines before its shuffle, and nothing but row counts reaches the driver.
 
 Null text counts as empty and has no spans. Repeated rows are treated one by one (rows are told
-apart by a number of their own, not by a column). Spans never overlap a base span; of added spans
-that would overlap each other the leftmost stays, since candidates are non-overlapping runs of words.
+apart by a number of their own, not by a column). Candidates are addresses in other spelling (a word with @, (at) or [at];
+words with at and dot between them) and runs of up to ``most_words`` words within a run of words with digits, as far as they suit some kind.
+Spans never overlap a base span; of added spans that would overlap each other the leftmost stays, of several from one place the longest.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.columns import sealed, whole
-from stratum.scratch import Scratch, is_small
+from stratum.scratch import Scratch
 
 #: Kinds in order, each with its pattern.
 KINDS = ["email", "ip", "card", "phone"]
@@ -43,11 +44,12 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _WORD = r"(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]++"
 #: Runs of words with a digit, one space between them.
 _CANDIDATE = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20{_WORD})*+"
+#: Addresses in other spelling: a word with @ or (at), or words with at and dot between them.
+_AT, _DOT = r"(?:@|\(at\)|\[at\])", r"(?:dot|\(dot\)|\[dot\])"
+_LETTERS = r"[^\x20\x09-\x0D]"
+_ADDRESS = rf"(?<!{_LETTERS})(?:{_LETTERS}++\x20(?:at|{_AT})\x20{_LETTERS}++(?:\x20{_DOT}\x20{_LETTERS}++)++|{_LETTERS}*?{_AT}{_LETTERS}++)"
 _TRIM = "()[]{}<>.,;:!?\"'"
 SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
-#: Added spans may be broadcast up to so many rows with a span.
-BROADCAST_ROWS = 50_000
-
 
 @dataclass(frozen=True)
 class Bootstrap:
@@ -58,7 +60,10 @@ class Bootstrap:
     smoothing: float = 2.0
     sure: float = 0.75
     accept: float = 0.75
+    #: Characters of text on either side that patterns are taken from; a longer word counts by its part next to the span.
     context: int = 80
+    #: An identifier has at most so many words with digits.
+    most_words: int = 6
 
 
 def _digits(x: Column) -> Column:
@@ -137,11 +142,25 @@ def located(docs: DataFrame, boot: Bootstrap = Bootstrap(), text: str = "text")
     """Columns row, base, seeds and others. Seeds and others have start, end, kind (-1: unknown), text and contexts;
     others are the identifier-like runs that touch no base span."""
     df = with_base(docs, text)
-    df = _matches(df, {"c": _CANDIDATE}, {"c": F.col("t").rlike("[0-9]")})
-    runs = F.transform(_located(F.col("g_c"), F.col("m_c"), -1), lambda s: F.struct((s["start"] + F.char_length(s["text"]) - F.char_length(F.ltrim(s["text"], F.lit(_TRIM)))).alias("start"), s["kind"].alias("kind"), (s["end"] - F.char_length(s["text"]) + F.char_length(F.rtrim(s["text"], F.lit(_TRIM)))).alias("end"), F.btrim(s["text"], F.lit(_TRIM)).alias("text")))
+    at = F.col("t").contains("@") | F.col("t").contains("(at)") | F.col("t").contains("[at]") | F.col("t").contains(" dot ")
+    df = _matches(df, {"c": _CANDIDATE, "e": _ADDRESS}, {"c": F.col("t").rlike("[0-9]"), "e": at})
     b, t = F.col("base"), F.col("t")
-    free = F.filter(runs, lambda s: (F.length(_digits(s["text"])) >= 4) & (F.char_length(s["text"]) <= 64) & ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
-    df = df.withColumn("free", free)
+
+    def trimmed(s):
+        inner, n = F.ltrim(s["text"], F.lit(_TRIM)), F.char_length(s["text"])
+        return F.struct((s["start"] + n - F.char_length(inner)).alias("start"), F.lit(-1).alias("kind"), (s["end"] - n + F.char_length(F.rtrim(s["text"], F.lit(_TRIM)))).alias("end"), F.btrim(s["text"], F.lit(_TRIM)).alias("text"))
+
+    def parts(s):
+        """All runs of up to ``most_words`` words within a run."""
+        ws = F.split(s["text"], " ")
+        ends = F.aggregate(ws, F.array().cast("array<int>"), lambda a, w: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1) + 1, F.lit(0)) + F.char_length(w))))
+        first = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1)
+        piece = lambda i, j: F.struct((s["start"] + first(i)).alias("start"), (s["start"] + F.get(ends, j)).alias("end"), F.substr(s["text"], first(i) + 1, F.get(ends, j) - first(i)).alias("text"))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.transform(F.sequence(i, F.least(i + boot.most_words - 1, F.size(ws) - 1)), lambda j: trimmed(piece(i, j)))))
+
+    runs = F.concat(F.flatten(F.transform(_located(F.col("g_c"), F.col("m_c"), -1), parts)), F.transform(_located(F.col("g_e"), F.col("m_e"), -1), trimmed))
+    apart = lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
+    df = df.withColumn("free", F.filter(runs, lambda s: _suits_any(s["text"]) & apart(s)))
 
     def around(spans):
         return F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"], F.lower(s["text"]).alias("text"), F.array(*_contexts(t, s["start"], s["end"], boot.context)).alias("contexts")))
@@ -149,9 +168,17 @@ def located(docs: DataFrame, boot: Bootstrap = Bootstrap(), text: str = "text")
     return df.select("row", "base", sealed(around(b)).alias("seeds"), sealed(around(F.col("free"))).alias("others"))
 
 
+_SPELLED = r"[a-z0-9](?:@|\x20?(?:\(at\)|\[at\])\x20?)[a-z0-9]|[a-z0-9]\x20at\x20[^\x20]+\x20(?:dot|\(dot\)|\[dot\])\x20[a-z0-9]"
+
+
 def _suits(kind: Column, text: Column) -> Column:
     n = F.length(_digits(text))
-    return F.when(kind == 0, text.rlike(r"@|\(at\)|\[at\]")).when(kind == 1, text.rlike(r"^[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}$")).when(kind == 2, n.between(12, 19) & text.rlike("^[0-9 -]+$")).otherwise(n.between(7, 15) & text.rlike("^[0-9 ().+-]+$"))
+    return F.when(kind == 0, F.lower(text).rlike(_SPELLED)).when(kind == 1, text.rlike(r"^[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}$")).when(kind == 2, n.between(12, 19) & text.rlike("^[0-9 -]+$")).otherwise(n.between(7, 15) & text.rlike("^[0-9 ().+-]+$"))
+
+
+def _suits_any(text: Column) -> Column:
+    """Whether the text could be an identifier of some kind."""
+    return _suits(F.lit(0), text) | _suits(F.lit(1), text) | _suits(F.lit(2), text) | _suits(F.lit(3), text)
 
 
 def bootstrap(found: DataFrame, scratch: Scratch, boot: Bootstrap = Bootstrap()) -> DataFrame:
@@ -177,6 +204,18 @@ def bootstrap(found: DataFrame, scratch: Scratch, boot: Bootstrap = Bootstrap())
     return instances.where(F.col("score") >= boot.accept)
 
 
+def _apart(spans: Column) -> Column:
+    """Of spans that overlap each other the leftmost, and of several from one place the longest."""
+    by_length = F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"], s["text"]))
+
+    def step(a, s):
+        free = s["start"] >= a["at"]
+        one = F.array(F.struct(s["start"], s["kind"], (-s["back"]).alias("end"), s["text"])).cast(SPAN)
+        return F.struct(F.when(free, -s["back"]).otherwise(a["at"]).alias("at"), F.when(free, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(F.sort_array(by_length), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda a: a["out"])
+
+
 def find(docs: DataFrame, label: str = "pii", boot: Bootstrap = Bootstrap(), text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns row (of ``keep``, else of all columns), base and spans (base and added, by start, then kind; ``text`` in added spans is in lower case)."""
     scratch = Scratch(docs.sparkSession, label)
@@ -186,9 +225,8 @@ def find(docs: DataFrame, label: str = "pii", boot: Bootstrap = Bootstrap(), tex
     spots = found.select("rid", F.explode("others").alias("s")).select("rid", "s.start", "s.end", "s.text")
     added = spots.join(accepted.select("text", "kind"), "text").where(_suits(F.col("kind"), F.col("text")))
     added = scratch.save(added.groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end", "text")).alias("added")), "added")
-    right = F.broadcast(added) if is_small(added, BROADCAST_ROWS) else added
-    joined = found.drop("seeds", "others").join(right, "rid", "left")
-    spans = F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
+    joined = found.drop("seeds", "others").join(added, "rid", "left")
+    spans = F.sort_array(F.concat("base", F.coalesce(_apart(F.col("added")), F.array().cast(SPAN))))
     return joined.select("row", "base", sealed(spans).alias("spans"))
 
 

@@ -80,3 +80,23 @@ def test_empty_table_and_repeated_rows(spark):
     assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
     twice = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co"), (None, "c@d.ef")], "doc_id long, text string")
     assert sorted(r.text for r in pii.redact(twice).collect()) == ["<EMAIL>"] * 3
+
+
+def test_addresses_without_digits_and_numbers_beside_numbers(spark):
+    rows = [(i, f"case {i}: you may write to user{chr(97 + i)}@site.org any day") for i in range(20)]
+    rows += [(20 + i, f"some text {i} then please call me at +1 (377) 555-{1000 + i} for more") for i in range(24)]
+    rows += [
+        (100, "or you may write to jo at example dot org any day"),
+        (101, "or you may write to jo(at)localhost any day"),
+        (102, "or you may write to jo@localhost any day"),
+        (103, "then please call me at 377 555 4242 24/7 for more"),
+        (104, "we met at noon dot and dash"),
+        (105, "then please call me at 377 555 4242 " + "9" * 90),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.find(docs).select("row.doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    text = dict(rows)
+    assert {k: text[k][int(got[k].split(":")[1]) : int(got[k].split(":")[2])] for k in (100, 101, 102, 103, 105)} == {
+        100: "jo at example dot org", 101: "jo(at)localhost", 102: "jo@localhost", 103: "377 555 4242", 105: "377 555 4242",
+    }
+    assert got[104] == "" and all(got[k].split(":")[0] == ("email" if k < 103 else "phone") for k in (100, 101, 102, 103, 105))
