@@ -5,15 +5,17 @@ Targets are shares by weight; no target passes ``epochs`` times its source's siz
 cut off there is shared anew by weight until none is above. That is one level L with
 sum(min(cap, L * weight)) = total, found from the sources in order of cap / weight.
 
-Within a source documents come in the order of a hash of their id, so a budget cuts a
+Within a source documents come in the order of a hash of their id and text, so a budget cuts a
 uniform random set. The order is never made in one task: the hash is uniform, so fixed ranges of it
 (buckets) are an even range partition of each source, however large it is. Sums of sizes per bucket,
 then running sums over buckets, then running sums within each bucket give each document the words
 before it. A budget of e whole epochs and a rest takes each document e times and, in that order,
 again until the rest is used; the document at the cut gives just the words that are missing.
 
-Reruns agree: the order depends on ids only (then size, then row). Null source is a source of
-its own and the last; null text has size 0; null ids share a hash. Repeated rows count each.
+Reruns agree: the order depends on ids and texts only, so rows with null or repeated ids spread like others; equal rows
+are neighbours, and which of them the cut meets makes no difference. Null source is a source of
+its own and the last; null text has size 0. Repeated rows count each. Budgets are computed over a row for each source in
+one task, offsets over a row for each bucket.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.columns import words
+from stratum.llm.columns import whole, words
 from stratum.scratch import Scratch, is_small
 
 #: The budgets' table, and that of bucket sums, may be broadcast up to so many rows (under 100 bytes each).
@@ -43,9 +45,10 @@ class Mix:
     epochs: int = 2
 
 
-def random_key(doc_id: Column) -> Column:
-    """60 bits that look random and depend on the id only."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def random_key(doc_id: Column, text: Column) -> Column:
+    """60 bits that look random and depend on the id and the text only."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.md5(whole(text.cast("string")).cast("binary")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def budgets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -80,7 +83,7 @@ def allot(docs: DataFrame, mix: Mix = Mix(), label: str = "mix", doc_id: str = "
     """Columns row (of ``keep``, else of all columns), size, source_size, target, taken; a row for each of ``docs``."""
     scratch = Scratch(docs.sparkSession, label)
     row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
-    measured = docs.select(row.alias("row"), F.col(f"`{source}`").alias("source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"), random_key(F.col(f"`{doc_id}`")).alias("key"), F.col(f"`{doc_id}`").alias("id"))
+    measured = docs.select(row.alias("row"), F.col(f"`{source}`").alias("source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"), random_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"), F.col(f"`{doc_id}`").alias("id"))
     measured = scratch.save(measured, "measured")
     buckets = max(256, measured.count() // BUCKET_ROWS + 1)
     bits = (buckets - 1).bit_length()

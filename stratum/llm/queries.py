@@ -29,12 +29,12 @@ def op3_neardup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
-    """The toxic documents; every document is scored. The chain predicts low quality first."""
+    """Every document with its probabilities and verdict. The chain predicts low quality first."""
     _bounded(spark)
     docs, labels = _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "labels")
     model = toxicity.train(docs, labels, {"low_quality": "1 - quality", "toxic": "toxic"})
     scored = toxicity.score(docs, model, keep=["doc_id"])
-    return scored.where("is_toxic").select("row.doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
+    return scored.select("row.doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
 
 
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:

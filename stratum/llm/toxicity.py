@@ -11,7 +11,7 @@ training texts each category takes those with the largest likelihood ratio again
 root is about in standard errors).
 
 The fit takes at most ``max_rows`` labelled rows, those with the smallest hash of their id, each text
-once: that bound is a parameter, and the sample goes to one task. Scoring covers every row and whole texts, is
+once (of documents with the same id the text with the smallest hash): that bound is a parameter, and the sample goes to one task. Scoring covers every row and whole texts, is
 a map without a shuffle, and ships a model of at most ``max_features`` words.
 
 Null text counts as empty. Rows without a label score as all others; null labels are left out of that
@@ -177,7 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], chain:
     chosen = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), *[F.expr(e).cast("double").alias(f"y{k}") for k, e in enumerate(categories.values())])
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(chain.max_rows)
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("text", *[f"y{k}" for k in range(len(names))])  # max_rows rows
+    # A text for each id before the labels join, so the sample has max_rows rows at most, however often an id occurs.
+    one = texts.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    sample = one.join(F.broadcast(chosen), "id").select("t.text", *[f"y{k}" for k in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b.to_pydict() for b in batches]

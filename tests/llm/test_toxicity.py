@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -61,3 +63,26 @@ def test_no_labels_flags_nothing(spark):
     y = spark.createDataFrame([], "doc_id long, rude int, toxic int")
     assert [r.is_toxic for r in T.score(d, T.train(d, y, CATEGORIES)).collect()] == [False]
     assert T.score(d.limit(0), T.train(d, y, CATEGORIES)).count() == 0
+
+
+def test_prediction_equals_the_chain_by_hand():
+    docs, labels = corpus(500)
+    model = T.fit([d[1] for d in docs], np.array([x[1:] for x in labels], float), list(CATEGORIES))
+    texts = [d[1] for d in docs[:60]] + [None, "", "MORON, scum; trash", "moron moron"]
+    for text, got in zip(texts, T.predict(model, texts)):
+        words, before = set(re.findall(r"[a-z0-9]+", (text or "").lower())), []
+        for k, row in enumerate(model.weights):
+            z = sum(w for x, w in zip(model.words, row) if x in words) + sum(w * p for w, p in zip(row[len(model.words) : -1], before)) + row[-1]
+            p = 1 / (1 + math.exp(-z))
+            assert math.isclose(p, got[k], rel_tol=1e-9, abs_tol=1e-12)
+            c = min(max(p, 1e-3), 1 - 1e-3)
+            before.append(math.log(c / (1 - c)))
+
+
+def test_an_id_that_repeats_counts_once_in_the_fit(spark):
+    docs, labels = corpus(300)
+    d = spark.createDataFrame(docs, "doc_id long, text string, p_toxic string")
+    more = d.unionByName(spark.createDataFrame([(3, f"other words {i} scum", "mine") for i in range(500)], d.schema))
+    y = spark.createDataFrame(labels, "doc_id long, rude int, toxic int")
+    a, b = T.train(d, y, CATEGORIES), T.train(more, y, CATEGORIES)
+    assert len(a.words) > 0 and abs(len(a.words) - len(b.words)) <= 2
