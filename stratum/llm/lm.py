@@ -9,9 +9,9 @@ latter add-one smoothed within the class with one unit for a word not seen; both
 are normalised log-probabilities.
 
 What it learns from is gathered from the whole training corpus: counts of all words, sums per class, and
-counts of all symbol trigrams, each combined within tasks before the shuffle. Distinct trigrams, weighted by their counts, are dealt to shards by a
-hash; their number follows from that of the trigrams. Noise-contrastive
-training runs over each shard in the order of a hash, with noise shared by a batch so that everything is matrix products; the shards' parameters are averaged after each
+counts of all symbol trigrams, each combined within tasks before the shuffle. Trigrams are dealt to shards by a
+hash, as arrays of codes and counts, and each shard's are merged; the number of shards follows from that of the tokens. Noise-contrastive
+training passes over the distinct trigrams of each shard, weighted by their counts, with noise shared by a batch so that everything is matrix products; the shards' parameters are averaged after each
 round, in two steps and in the order of the shards. So the model is the same however Spark deals out rows. For scoring, the logarithms of
 the normalisers of all symbol pairs are one table, computed by batched products in tasks, at most ``most_symbols`` squared numbers (64 MB).
 
@@ -44,8 +44,8 @@ PIECE_BYTES = 1 << 19
 FLUSH_TOKENS = 4_000_000
 #: A row of training weighs at most so many times the mean count of a trigram.
 SPLIT = 8
-#: Distinct trigrams of a shard, about, and most shards; a task trains on a chunk of a shard at a time.
-SHARD_ROWS, MAX_SHARDS, CHUNK_ROWS = 1 << 20, 1024, 1 << 20
+#: Trigrams of a shard, copies included but no more than there can be.
+SHARD_ROWS = 1 << 21
 #: Averages are taken over groups of shards first.
 AVERAGES = 32
 
@@ -64,7 +64,7 @@ class Shape:
     batch: int = 8192
     rounds: int = 2
     least_steps: int = 100
-    rate: float = 0.02
+    rate: float = 0.01
     seed: int = 5
 
     @property
@@ -73,11 +73,11 @@ class Shape:
         return self.symbols - self.classes - 2
 
     def grown(self, tokens: int) -> Shape:
-        """The shape for a corpus of so many tokens: the next power of two above an eighth of their root; three eighths of the symbols are classes."""
+        """The shape for a corpus of so many tokens: the next power of two above a sixteenth of their root; three eighths of the symbols are classes."""
         if self.symbols:
             return self
         n = self.least_symbols
-        while n < self.most_symbols and 64 * n * n < tokens:
+        while n < self.most_symbols and 256 * n * n < tokens:
             n *= 2
         return replace(self, symbols=n, classes=n * 3 // 8)
 
@@ -202,8 +202,23 @@ class Lexicon:
         return flat, s1 * shape.symbols + s2, hashes, counts, first
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
-    """(code, n) of the symbol trigrams of a task."""
+def _blobs(parts: list[np.ndarray], shards: int) -> Iterator[pa.RecordBatch]:
+    """(shard, codes, counts) of trigram codes, combined: a row for each shard."""
+    codes, n = np.unique(np.concatenate(parts), return_counts=True)
+    shard = (mix(codes.view(U)) % U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    codes, n, shard = codes[order], n[order].astype(np.int64), shard[order]
+    cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+    for k in range(0, len(cuts) - 1, 64):
+        some = list(zip(cuts, cuts[1:]))[k : k + 64]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(shard[i]) for i, _ in some], pa.int32()), pa.array([codes[i:j].tobytes() for i, j in some], pa.binary()), pa.array([n[i:j].tobytes() for i, j in some], pa.binary())],
+            names=["shard", "codes", "counts"],
+        )
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, shards: int) -> Iterator[pa.RecordBatch]:
+    """The symbol trigrams of a task, by shard."""
     parts, size = [], 0
     for b in batches:
         texts = b.column("text").to_pylist()
@@ -212,10 +227,41 @@ def _trigrams(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[p
             parts.append(context * lexicon.shape.symbols + symbol)
             size += len(symbol)
         if size > FLUSH_TOKENS:
-            yield from _combined(parts, ["code", "n"])
+            yield from _blobs(parts, shards)
             parts, size = [], 0
     if size:
-        yield from _combined(parts, ["code", "n"])
+        yield from _blobs(parts, shards)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, rows, n, codes, counts): a row for each shard, codes rising. Rows come with those of a shard together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    shard, size = None, 0
+
+    def combine() -> tuple[np.ndarray, np.ndarray]:
+        codes, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        return codes[first], np.add.reduceat(n, first)
+
+    def row():
+        codes, n = combine()
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(codes)]), pa.array([int(n.sum())]), pa.array([codes.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["shard", "rows", "n", "codes", "counts"])
+
+    for b in batches:
+        for s, codes, n in zip(*(b.column(c).to_pylist() for c in ("shard", "codes", "counts"))):
+            if s != shard and held:
+                yield row()
+                held, size = [], 0
+            shard = s
+            held.append((np.frombuffer(codes, np.int64), np.frombuffer(n, np.int64)))
+            size += len(held[-1][0])
+            if size > 4 * SHARD_ROWS:  # what is the same in many tasks takes no room
+                held = [combine()]
+                size = len(held[0][0])
+    if held:
+        yield row()
 
 
 def _summed(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -295,43 +341,15 @@ class Bilinear:
                 x -= rate * (1 - step / (total + 1)) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """(shard, codes, counts, whether it is the shard's last): rows come with the rows of a shard together."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size, shard = 0, None
-
-    def joined(last: bool):
-        return shard, *(np.concatenate(x) for x in zip(*held)), last
-
-    for b in batches:
-        shards, codes, counts = (b.column(c).to_numpy() for c in ("shard", "code", "n"))
-        cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
-        for i, j in zip(cuts, cuts[1:]):
-            while i < j:
-                if held and (shards[i] != shard or size >= CHUNK_ROWS):
-                    yield joined(shards[i] != shard)
-                    held, size = [], 0
-                shard = int(shards[i])
-                stop = min(j, i + CHUNK_ROWS - size)  # chunks don't depend on batches
-                held.append((codes[i:stop], counts[i:stop]))
-                size, i = size + stop - i, stop
-    if held:
-        yield joined(True)
-
-
 def _trained(batches: Iterator[pa.RecordBatch], shape: Shape, unigram: np.ndarray, values: list[np.ndarray], k: int, mean: float) -> Iterator[pa.RecordBatch]:
     """(shard, weight, flat): the parameters after training on each shard."""
-    own, weight, part = None, 0.0, 0
-    for shard, codes, counts, last in _chunks(batches):
-        if own is None:
-            own, weight, part = Bilinear(shape, unigram), 0.0, 0
+    for b in batches:
+        for shard, codes, counts in zip(*(b.column(c).to_pylist() for c in ("shard", "codes", "counts"))):
+            own, n = Bilinear(shape, unigram), np.frombuffer(counts, np.int64)
             own.set([x.copy() for x in values])
-        own.train(codes, counts, shard + 7919 * k + 104_729 * part, shape.rate / (1 + k), mean)
-        weight, part = weight + float(counts.sum()), part + 1
-        if last:
+            own.train(np.frombuffer(codes, np.int64), n, shard + 7919 * k, shape.rate / (1 + k), mean)
             flat = np.concatenate([x.ravel() for x in own.values()]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([weight]), pa.array([flat.tobytes()], pa.binary())], names=["shard", "weight", "flat"])
-            own = None
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(n.sum())]), pa.array([flat.tobytes()], pa.binary())], names=["shard", "weight", "flat"])
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,17 +433,16 @@ def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape(), text: str =
     unigram = (unigram + 0.5) / (unigram + 0.5).sum()
 
     shared = docs.sparkSession.sparkContext.broadcast((hashes, counts))  # at most ``frequent`` pairs of numbers
-    grams = texts.mapInArrow(lambda b: _trigrams(b, Lexicon(shape, *shared.value)), "code long, n long")
-    grams = scratch.save(grams.groupBy("code").agg(F.sum("n").alias("n")), "trigrams")
+    shards = max(1, -(-min(int(tokens), shape.symbols**3) // SHARD_ROWS))
+    grams = texts.mapInArrow(lambda b: _trigrams(b, Lexicon(shape, *shared.value), shards), "shard int, codes binary, counts binary")
+    grams = grams.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merged, "shard int, rows long, n long, codes binary, counts binary")
+    grams = scratch.save(grams, "trigrams")
     model = Bilinear(shape, unigram)
-    size = grams.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first()
-    shards = max(1, min(MAX_SHARDS, -(-size.rows // SHARD_ROWS)))
-    if size.rows:
-        dealt = grams.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int"))
+    size = grams.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first()
     for k in range(shape.rounds if size.rows else 0):
         values, mean = model.values(), size.n / size.rows
-        each = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(1), "code"), "code").select("shard", "code", "n")
-        each = scratch.save(each.mapInArrow(lambda b, k=k, values=values, mean=mean: _trained(b, shape, unigram, values, k, mean), "shard int, weight double, flat binary"), f"trained{k}")
+        each = grams.select("shard", "codes", "counts").mapInArrow(lambda b, k=k, values=values, mean=mean: _trained(b, shape, unigram, values, k, mean), "shard int, weight double, flat binary")
+        each = scratch.save(each, f"trained{k}")
         grouped = each.withColumn("grp", F.col("shard") % AVERAGES).repartition(AVERAGES, "grp").sortWithinPartitions("grp", "shard").select("grp", "weight", "flat")
         got = sorted(grouped.mapInArrow(_averaged, "grp int, weight double, flat binary").collect(), key=lambda r: r.grp)  # at most AVERAGES rows
         total = sum(r.weight for r in got)

@@ -109,18 +109,18 @@ def test_every_trigram_enters_training():
 
 @pytest.fixture(scope="module")
 def shares(spark):
-    """Scores of one corpus, dealt to 4, 7 and 211 partitions, with several shards and chunks."""
+    """Scores of one corpus, dealt to 4, 7 and 211 partitions, with several shards."""
     rows, out = [x for x in corpus(120) if x[1] is None or len(x[1]) < 10_000], []
-    before = lm.SHARD_ROWS, lm.CHUNK_ROWS, spark.conf.get("spark.sql.shuffle.partitions")
-    lm.SHARD_ROWS, lm.CHUNK_ROWS = 500, 200
+    before = lm.SHARD_ROWS, spark.conf.get("spark.sql.shuffle.partitions")
+    lm.SHARD_ROWS = 500
     docs = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k long, doc_id long, text string")
     for n in (4, 7, 211):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
         scratch = Scratch(spark, f"lm-{n}")
         model = lm.train(docs.where(~lm.held_out(docs.doc_id)).repartition(min(n, 16)), scratch, SMALL)
         out.append({r.row.k: (r.score, r.base_score) for r in lm.score(docs, model, scratch, keep=["k"]).collect()})
-    lm.SHARD_ROWS, lm.CHUNK_ROWS = before[:2]
-    spark.conf.set("spark.sql.shuffle.partitions", before[2])
+    lm.SHARD_ROWS = before[0]
+    spark.conf.set("spark.sql.shuffle.partitions", before[1])
     return out
 
 
@@ -132,5 +132,5 @@ def test_scores_do_not_depend_on_partitions(shares):
 
 def test_symbols_grow_with_the_corpus():
     grown = [lm.Shape().grown(10**k).symbols for k in range(13)]
-    assert grown == sorted(grown) and grown[0] == 256 and grown[7] == 512 and grown[-1] == 4096
+    assert grown == sorted(grown) and grown[0] == 256 and grown[7] == 256 and grown[8] == 1024 and grown[-1] == 4096
     assert lm.Shape().grown(10**10).listed == 2558 and SMALL.grown(10**9) == SMALL
