@@ -41,11 +41,11 @@ START, END = 0, 1
 #: Texts are hashed in pieces of about so many bytes, whole texts each.
 PIECE_BYTES = 1 << 19
 #: A task's hashes are combined when so many have gathered.
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 #: A row of training weighs at most so many times the mean count of a trigram.
 SPLIT = 8
 #: Trigrams of a shard, copies included but no more than there can be.
-SHARD_ROWS = 1 << 21
+SHARD_ROWS = 1 << 20
 #: Averages are taken over groups of shards first.
 AVERAGES = 32
 
@@ -60,10 +60,10 @@ class Shape:
     most_symbols: int = 4096
     frequent: int = 1 << 18
     dim: int = 32
-    noise: int = 64
+    noise: int = 48
     batch: int = 8192
     rounds: int = 2
-    least_steps: int = 100
+    least_steps: int = 60
     rate: float = 0.01
     seed: int = 5
 
