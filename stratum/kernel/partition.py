@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 INF = math.inf
+#: Entries of a tiling's table of cells (four bytes each).
+SLOTS = 1 << 24
 
 
 @dataclass
@@ -25,7 +27,38 @@ class Cells:
     disjoint: bool = True
     name: str = "cells"
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_slots"}
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """For tilings: the sorted edges in x and y and the cell between each two of them, so that a point is found by two
+        binary searches. None where the cells overlap or their edges cross too often."""
+        if "_slots" not in self.__dict__:
+            self._slots = None
+            b = self.boxes
+            xs, ys = (np.unique(b[:, [k, k + 2]][np.isfinite(b[:, [k, k + 2]])]) for k in (0, 1))
+            if self.disjoint and (len(xs) + 1) * (len(ys) + 1) <= SLOTS:
+                table = np.full((len(xs) + 1, len(ys) + 1), -1, np.int32)
+                first = lambda edges, v: np.searchsorted(edges, v, side="right")
+                last = lambda edges, v: np.searchsorted(edges, v, side="left")
+                for k, (i, j, m, n) in enumerate(zip(first(xs, b[:, 0]), first(ys, b[:, 1]), last(xs, b[:, 2]), last(ys, b[:, 3]))):
+                    table[i : m + 1, j : n + 1] = k
+                self._slots = xs, ys, table
+        return self._slots
+
     def assign(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if slots := self.slots():
+            xs, ys, table = slots
+            k = table[np.searchsorted(xs, x, side="right"), np.searchsorted(ys, y, side="right")]
+            if len(out := np.flatnonzero(k < 0)):  # outside all cells
+                ids = np.empty(len(k), np.int64)
+                ids[k >= 0] = self.ids[k[k >= 0]]
+                ids[out] = self._nearest(x[out], y[out])
+                return ids
+            return self.ids[k]
+        return self._nearest(x, y)
+
+    def _nearest(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         b = self.boxes
         out = np.empty(len(x), np.int64)
         for i in range(0, len(x), 4096):
@@ -43,6 +76,14 @@ class Cells:
     def overlaps(self, x1, y1, x2, y2) -> list[np.ndarray]:
         """A rectangle without extent is in the cell of its point."""
         b, out = self.boxes, []
+        if slots := self.slots():
+            xs, ys, table = slots
+            i, j = np.searchsorted(xs, x1, side="right"), np.searchsorted(ys, y1, side="right")
+            m, n = np.maximum(i, np.searchsorted(xs, x2, side="left")), np.maximum(j, np.searchsorted(ys, y2, side="left"))
+            for a, c, d, e, one in zip(i.tolist(), j.tolist(), m.tolist(), n.tolist(), table[i, j].tolist()):
+                k = np.array([one]) if a == d and c == e else np.unique(table[a : d + 1, c : e + 1])
+                out.append(self.ids[k[k >= 0]])
+            return out
         for a, c, d, e in zip(x1, y1, x2, y2):
             hit = (a < b[:, 2]) & ((d > b[:, 0]) | (a >= b[:, 0])) & (c < b[:, 3]) & ((e > b[:, 1]) | (c >= b[:, 1]))
             out.append(self.ids[hit])
@@ -220,11 +261,15 @@ def _bulk(measure: str, name: str):
 
 
 class _Node:
-    __slots__ = ("box", "children", "leaf")
+    __slots__ = ("box", "children", "leaf", "origin")
 
     def __init__(self, children: list, leaf: bool) -> None:
         self.children, self.leaf = children, leaf
         self.fit()
+        self.origin = self.centre()
+
+    def centre(self) -> tuple[float, float]:
+        return (self.box[0] + self.box[2]) / 2, (self.box[1] + self.box[3]) / 2
 
     def fit(self) -> None:
         b = np.array([c if self.leaf else c.box for c in self.children])
@@ -239,16 +284,89 @@ def _join(a, b) -> tuple:
     return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
 
 
+def _overlap(a, b) -> float:
+    """Area that two boxes share; half the perimeter of what they share where boxes have no area."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w < 0 or h < 0:
+        return 0.0
+    return w * h if _size(a) > 0 and _size(b) > 0 else w + h
+
+
+def _margin(b) -> float:
+    return b[2] - b[0] + b[3] - b[1]
+
+
+def _revised_subtree(node: _Node, p: tuple) -> _Node:
+    """The child to descend to by the revised R*-tree's rule: of those that hold the point the smallest; else that whose perimeter grows least, unless
+    that costs overlap with its siblings, in which case the one of those next in order that costs least."""
+    inside = [c for c in node.children if c.box[0] <= p[0] and c.box[1] <= p[1] and p[2] <= c.box[2] and p[3] <= c.box[3]]
+    if inside:
+        return min(inside, key=lambda c: (_size(c.box), _margin(c.box)))
+    order = sorted(node.children, key=lambda c: _margin(_join(c.box, p)) - _margin(c.box))
+
+    def cost(c: _Node) -> float:
+        wide = _join(c.box, p)
+        return sum(_overlap(wide, o.box) - _overlap(c.box, o.box) for o in node.children if o is not c)
+
+    if cost(order[0]) <= 0:
+        return order[0]
+    return min(order[:32], key=lambda c: (cost(c), _margin(_join(c.box, p)) - _margin(c.box)))
+
+
+def _revised_split(boxes: list, least: int, origin: tuple) -> tuple[list[int], int]:
+    """(order, place) of the revised R*-tree's split: the axis of least perimeters, then the place of the best goal, weighted towards the side
+    that the node has grown away from since it was made."""
+    k, best = len(boxes), None
+    whole = boxes[0]
+    for b in boxes:
+        whole = _join(whole, b)
+    sides = whole[2] - whole[0], whole[3] - whole[1]
+    most = 2 * sum(sides) - min(sides)
+    for axis in (0, 1):
+        total, splits = 0.0, []
+        for low in (axis, axis + 2):
+            order = sorted(range(k), key=lambda i: (boxes[i][low], boxes[i][axis + 2 if low == axis else axis]))
+            heads, tails = [boxes[order[0]]], [boxes[order[-1]]]
+            for i in order[1:]:
+                heads.append(_join(heads[-1], boxes[i]))
+            for i in reversed(order[:-1]):
+                tails.append(_join(tails[-1], boxes[i]))
+            for c in range(least, k - least + 1):
+                a, b = heads[c - 1], tails[k - c - 1]
+                total += _margin(a) + _margin(b)
+                splits.append((order, c, a, b))
+        if best is None or total < best[0]:
+            best = total, axis, splits
+    _, axis, splits = best
+    asymmetry = 2 * ((whole[axis] + whole[axis + 2]) / 2 - origin[axis]) / (sides[axis] or 1.0)
+    mu = (1 - 2 * least / k) * asymmetry
+    spread, floor = 0.5 * (1 + abs(mu)), math.exp(-4)  # the paper's s = 0.5
+    weight = lambda c: max((math.exp(-(((2 * c / k - 1 - mu) / spread) ** 2)) - floor) / (1 - floor), 1e-3)
+    free = any(_overlap(a, b) == 0 for _, _, a, b in splits)
+
+    def goal(split) -> float:
+        _, c, a, b = split
+        if free:
+            return (_margin(a) + _margin(b) - most) * weight(c) if _overlap(a, b) == 0 else math.inf
+        return _overlap(a, b) / weight(c)
+
+    order, c, _, _ = min(splits, key=goal)
+    return order, c
+
+
 def _insertion(kind: str, name: str):
-    """R-trees built by inserting the sample point by point; their leaves are the cells. ``kind``: linear or quadratic seeds, or rstar (axis splits, and
-    a share of an overfull leaf is inserted anew once)."""
+    """R-trees built by inserting the sample point by point; their leaves are the cells. ``kind``: linear or quadratic seeds, rstar (axis splits, and
+    a share of an overfull leaf is inserted anew once) or rrstar (the revised rules for descent and split, nothing inserted anew)."""
 
     def build(box: tuple, n: int, sample: np.ndarray, capacity: int) -> Cells:
         most = max(4, math.ceil(len(sample) / max(n, 1)) * 4 // 3)
         least = max(1, int(most * 0.4))
 
-        def divide(items: list, boxes: list) -> tuple[list, list]:
+        def divide(items: list, boxes: list, origin: tuple) -> tuple[list, list]:
             k = len(items)
+            if kind == "rrstar":
+                order, c = _revised_split(boxes, least, origin)
+                return [items[i] for i in order[:c]], [items[i] for i in order[c:]]
             if kind == "rstar":
                 best = None
                 for axis in (0, 1):
@@ -302,7 +420,7 @@ def _insertion(kind: str, name: str):
             path, node = [], root
             while not node.leaf:
                 path.append(node)
-                node = min(node.children, key=lambda c: (_size(_join(c.box, p)) - _size(c.box), _size(c.box)))
+                node = _revised_subtree(node, p) if kind == "rrstar" else min(node.children, key=lambda c: (_size(_join(c.box, p)) - _size(c.box), _size(c.box)))
             node.children.append(p)
             node.fit()
             for up in reversed(path):
@@ -322,9 +440,10 @@ def _insertion(kind: str, name: str):
                 return
             while len(node.children) > most:
                 boxes = [c if node.leaf else c.box for c in node.children]
-                a, b = divide(node.children, boxes)
+                a, b = divide(node.children, boxes, node.origin)
                 node.children = a
                 node.fit()
+                node.origin = node.centre()
                 other = _Node(b, node.leaf)
                 if not path:
                     root = _Node([node, other], False)
@@ -355,7 +474,7 @@ def _curve(kind: str):
 
 BUILDERS = {
     "grid": _grid, "str": _str, "rtreegb": _bulk("balance", "rtreegb"), "rstar": _bulk("area", "rstar"), "rrstar": _bulk("perimeter", "rrstar"),
-    "rtreebb": _insertion("linear", "rtreebb"), "rtreebbq": _insertion("quadratic", "rtreebbq"), "rstreebb": _insertion("rstar", "rstreebb"), "rrstreebb": _insertion("rstar", "rrstreebb"),
+    "rtreebb": _insertion("linear", "rtreebb"), "rtreebbq": _insertion("quadratic", "rtreebbq"), "rstreebb": _insertion("rstar", "rstreebb"), "rrstreebb": _insertion("rrstar", "rrstreebb"),
     "kdtree": _kd, "zcurve": _curve("zcurve"), "hilbert": _curve("hilbert"), "quadtree": _quad,
 }
 #: Named combinations: builder and whether rows are replicated to all cells that they touch.

@@ -1,8 +1,9 @@
 """Indexes: data partitioned in space, with metadata that queries prune by.
 
-A built index is a folder: ``data`` holds Parquet partitioned by cell_id, each file sorted along the Z-curve so that row
-groups have narrow bounds; ``meta`` has a row (cell_id, x1, y1, x2, y2, record_count, size, disjoint) per cell, the rectangle being that of the
-rows. The partitioner itself is kept in ``partitioner`` for later batches.
+A built index is a folder. ``data/b=<n>/cell_id=<c>`` holds the Parquet of batch n, each file sorted along the Z-curve so that row
+groups have narrow bounds; ``meta/v=<n>`` has a row (cell_id, x1, y1, x2, y2, record_count, size, disjoint) per cell as of batch n, the rectangle being that of the
+rows and the size that of the files. A change writes its batch first and the metadata of its version last; readers see the newest complete
+version and no batch beyond it, so a failed change leaves nothing behind and is repeated under the same number. The partitioner itself is kept for later batches.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from stratum.functions import curves, rects as R
-from stratum.kernel import partition as P
-from stratum.operators.joins import boxed
+from stratum.kernel import partition as P, sweep
+from stratum.operators.joins import _test, boxed, partition_pairs, spatial_join
 from stratum.operators.select import in_range, is_point
 
 SAMPLE_ROWS = 100_000
@@ -34,21 +35,45 @@ class Index:
     spark: SparkSession
     path: str
 
+    def version(self) -> int:
+        """The newest complete version; -1 if there is none."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta")
+        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hadoop):
+            return -1
+        names = [x.getPath() for x in fs.listStatus(hadoop)]
+        return max((int(x.getName()[2:]) for x in names if x.getName().startswith("v=") and fs.exists(self._child(x, "_SUCCESS"))), default=-1)
+
+    def _child(self, parent, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent, name)
+
     @property
     def meta(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/meta")
+        return self.spark.read.parquet(f"{self.path}/meta/v={self.version():06d}").drop("replaced")
 
     @property
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/data")
+        """All rows with their cell_id, of the cells that the newest version lists."""
+        v = self.version()
+        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data").where(F.col("b") <= v).drop("b").withColumn("cell_id", F.col("cell_id").cast("long"))
+        meta = self.spark.read.parquet(f"{self.path}/meta/v={v:06d}")
+        if not meta.agg(F.max("replaced")).first()[0]:
+            return rows
+        return rows.join(F.broadcast(meta.select("cell_id")), "cell_id", "left_semi")  # a row per cell
 
     def partitioner(self):
-        return pickle.loads(self.spark.read.format("binaryFile").load(f"{self.path}/partitioner").first().content)  # noqa: S301  written by this module
+        files = self.spark.read.format("binaryFile").load(f"{self.path}/partitioner-*").where(F.substring_index("path", "-", -1).cast("int") <= self.version())
+        return pickle.loads(files.orderBy(F.substring_index("path", "-", -1).cast("int").desc()).first().content)  # noqa: S301  written by this module
 
     @property
     def disjoint(self) -> bool:
         return bool(self.meta.agg(F.max("disjoint")).first()[0])
 
+    def tiles(self) -> DataFrame:
+        """(cell_id, cx1, cy1, cx2, cy2): the partitioner's own rectangles, which tile the plane if the index is disjoint."""
+        p = self.partitioner()
+        return self.spark.createDataFrame([(int(i), *map(float, b)) for i, b in zip(p.ids, p.boxes)], "cell_id long, cx1 double, cy1 double, cx2 double, cy2 double")
+
 
 def sample_points(df: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[tuple, int, np.ndarray]:
     """(rectangle around all, number of rows, centres of a bounded sample)."""
@@ -77,29 +102,49 @@ def assign(df: DataFrame, partitioner, disjoint: bool) -> DataFrame:
     return out.select(*df.columns, F.explode("cells").alias("cell_id"))
 
 
-def _write(df: DataFrame, path: str, box: tuple, mode: str) -> None:
-
+def _write(df: DataFrame, path: str, box: tuple, batch: int) -> None:
+    """Writes a batch; an earlier attempt at it goes."""
     x, y = (F.col("x"), F.col("y")) if is_point(df) else R.centre(R.rect())
     z = curves.z_order(curves.scaled(x, box[0], box[2], 16), curves.scaled(y, box[1], box[3], 16))
-    df.withColumn("_z", z).repartition("cell_id").sortWithinPartitions("cell_id", "_z").drop("_z").write.mode(mode).partitionBy("cell_id").parquet(f"{path}/data")
+    df.withColumn("_z", z).repartition("cell_id").sortWithinPartitions("cell_id", "_z").drop("_z").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/data/b={batch}")
+
+
+def _merged() -> list:
+    return [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("record_count").alias("record_count"), F.sum("size").alias("size")]
+
+
+def _stats(spark: SparkSession, path: str, disjoint: bool, batch: int) -> DataFrame:
+    """A row per cell of one batch: reads that batch's files alone. Each file is counted with its size once."""
+    rows = boxed(spark.read.option("basePath", f"{path}/data/b={batch}").parquet(f"{path}/data/b={batch}").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_bytes")))
+    files = rows.groupBy(F.col("cell_id").cast("long").alias("cell_id"), "_file").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("record_count"), F.max("_bytes").alias("size"))
+    return files.groupBy("cell_id").agg(*_merged()).withColumn("disjoint", F.lit(disjoint))
 
 
-def _stats(spark: SparkSession, path: str, disjoint: bool) -> DataFrame:
-    rows = boxed(spark.read.parquet(f"{path}/data"))
-    return rows.groupBy(F.col("cell_id").cast("long").alias("cell_id")).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("record_count"), F.sum(F.lit(32)).alias("size")).withColumn("disjoint", F.lit(disjoint))
+def _publish(meta: DataFrame, path: str, version: int, replaced: bool = False) -> None:
+    meta.withColumn("replaced", F.lit(replaced)).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta/v={version:06d}")
+
+
+def _create(df: DataFrame, path: str, partitioner, replicate: bool, box: tuple) -> Index:
+    spark = df.sparkSession
+    for old in ("meta", "data"):
+        _remove(spark, f"{path}/{old}")
+    _write(assign(df, partitioner, replicate), path, box, 0)
+    _save_bytes(spark, f"{path}/partitioner-0", pickle.dumps(partitioner))
+    _publish(_stats(spark, path, replicate, 0), path, 0)
+    return Index(spark, path)
 
 
 def build_index(df: DataFrame, path: str, kind: str = "str", rows_per_cell: int = CELL_ROWS, disjoint: bool | None = None) -> Index:
     """Partitions and writes ``df``. ``kind``: a named combination (which says whether rows are replicated) or a builder's name."""
-    spark = df.sparkSession
     name, named = P.NAMED.get(kind, (kind, False))
     box, n, sample = sample_points(df, INSERTION_ROWS if "bb" in name else SAMPLE_ROWS)
     partitioner = P.build(name, box, -(-n // rows_per_cell) or 1, sample)
-    replicate = (named if disjoint is None else disjoint) and partitioner.disjoint
-    _write(assign(df, partitioner, replicate), path, box, "overwrite")
-    _stats(spark, path, replicate).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    _save_bytes(spark, f"{path}/partitioner", pickle.dumps(partitioner))
-    return Index(spark, path)
+    return _create(df, path, partitioner, (named if disjoint is None else disjoint) and partitioner.disjoint, box)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def _save_bytes(spark: SparkSession, path: str, data: bytes) -> None:
@@ -109,15 +154,18 @@ def _save_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     stream.close()
 
 
+def like(index: Index) -> P.Cells:
+    """The cells of an index as a partitioner: its tiles if they are disjoint, else the rectangles around its rows."""
+    if index.disjoint:
+        return index.partitioner()
+    meta = index.meta.orderBy("cell_id").toPandas()  # a row per cell
+    return P.Cells(meta[["x1", "y1", "x2", "y2"]].to_numpy(float), meta["cell_id"].to_numpy(np.int64), False)
+
+
 def repartition_like(df: DataFrame, index: Index, path: str) -> Index:
-    """Partitions ``df`` by the cells of another index."""
-    meta = index.meta.toPandas()  # a row per cell
-    cells = P.Cells(meta[["x1", "y1", "x2", "y2"]].to_numpy(float), meta["cell_id"].to_numpy(np.int64), False)
-    box = (meta.x1.min(), meta.y1.min(), meta.x2.max(), meta.y2.max())
-    _write(assign(df, cells, False), path, box, "overwrite")
-    _stats(df.sparkSession, path, False).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    _save_bytes(df.sparkSession, f"{path}/partitioner", pickle.dumps(cells))
-    return Index(df.sparkSession, path)
+    """Partitions ``df`` by the cells of another index; replicated if those are disjoint."""
+    box = tuple(map(float, index.meta.agg(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).first()))
+    return _create(df, path, like(index), index.disjoint, box)
 
 
 def prune(index: Index, box: tuple, keep: Callable[[DataFrame], DataFrame] | None = None) -> list[int]:
@@ -133,10 +181,37 @@ def range_index(index: Index, box: tuple) -> DataFrame:
     rows = rows.where(in_range(rows, R.Rect(*box)))
     if not index.disjoint or is_point(rows):
         return rows.drop("cell_id")
-    partitioner = index.partitioner()
-    borders = index.spark.createDataFrame([(int(i), *map(float, b)) for i, b in zip(partitioner.ids, partitioner.boxes)], "cell_id long, cx1 double, cy1 double, cx2 double, cy2 double")
     px, py = R.reference_point(R.rect(), R.Rect(*box))
-    return rows.withColumn("cell_id", F.col("cell_id").cast("long")).join(F.broadcast(borders), "cell_id").where(R.has_point(R.Rect("cx1", "cy1", "cx2", "cy2"), px, py)).drop("cell_id", "cx1", "cy1", "cx2", "cy2")
+    return rows.join(F.broadcast(index.tiles()), "cell_id").where(R.has_point(R.Rect("cx1", "cy1", "cx2", "cy2"), px, py)).drop("cell_id", "cx1", "cy1", "cx2", "cy2")
+
+
+def skyline_cells(index: Index, direction: str = "max-max") -> DataFrame:
+    """The metadata of the cells that can hold a point of the skyline: no other cell's rectangle lies beyond theirs wholly. Each rectangle around
+    rows has a row on each of its sides, so it dominates all that its worse corners do."""
+    sx, sy = (1 if d == "max" else -1 for d in direction.split("-"))
+    cells = index.meta.toPandas()  # a row per cell
+    far = np.stack([np.where(sx > 0, cells.x2, -cells.x1), np.where(sy > 0, cells.y2, -cells.y1)], axis=1)
+    near = np.stack([np.where(sx > 0, cells.x1, -cells.x2), np.where(sy > 0, cells.y1, -cells.y2)], axis=1)
+    # A row on the far side in x is at least as high as the near side in y, and the other way round.
+    sure = np.vstack([np.stack([far[:, 0], near[:, 1]], axis=1), np.stack([near[:, 0], far[:, 1]], axis=1)])
+    keep = [not ((sure >= f).all(axis=1) & (sure > f).any(axis=1)).any() for f in far]
+    return index.meta.where(F.col("cell_id").isin([int(c) for c, k in zip(cells.cell_id, keep) if k]))
+
+
+def skyline_index(index: Index, direction: str = "max-max") -> DataFrame:
+    """Skyline of an indexed set of points that reads only the cells which can hold some of it."""
+    from stratum.operators.extremes import skyline
+
+    cells = [r[0] for r in skyline_cells(index, direction).select("cell_id").collect()]
+    return skyline(index.rows.where(F.col("cell_id").isin(cells)), direction)
+
+
+def hull_index(index: Index) -> DataFrame:
+    """Convex hull of an indexed set of points: a corner of the hull is on the skyline of one of the four directions, so the cells of those are enough."""
+    from stratum.operators.extremes import convex_hull
+
+    cells = {r[0] for a in ("max", "min") for b in ("max", "min") for r in skyline_cells(index, f"{a}-{b}").select("cell_id").collect()}
+    return convex_hull(index.rows.where(F.col("cell_id").isin(sorted(cells))))
 
 
 def knn_index(index: Index, x: float, y: float, k: int, metric: str = "max", tie: str = "id") -> DataFrame:
@@ -157,13 +232,21 @@ def knn_index(index: Index, x: float, y: float, k: int, metric: str = "max", tie
     return knn(rows, x, y, k, metric, tie)
 
 
-def insert(index: Index, batch: DataFrame) -> None:
-    """Appends a batch by the index's own cells and renews the metadata."""
-    disjoint = index.disjoint
-    meta = index.meta.agg(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).first()
-    _write(assign(batch, index.partitioner(), disjoint), index.path, tuple(meta), "append")
-    stats = _stats(index.spark, index.path, disjoint).toPandas()
-    index.spark.createDataFrame(stats).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/meta")
+def insert(index: Index, batch: DataFrame, version: int | None = None) -> int:
+    """Adds a batch by the index's own cells and publishes the next version, which it returns. Only the batch is read; its statistics are merged
+    with those of the cells. ``version``: a number above all earlier ones; if it has been published already, nothing happens."""
+    current = index.version()
+    version = current + 1 if version is None else version
+    if version <= current:
+        return current
+    meta, disjoint = index.meta, index.disjoint
+    box = meta.agg(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).first()
+    replaced = bool(index.spark.read.parquet(f"{index.path}/meta/v={current:06d}").agg(F.max("replaced")).first()[0])
+    placed = assign(batch, index.partitioner(), disjoint)
+    _write(placed, index.path, tuple(box), version)
+    both = meta.unionByName(_stats(index.spark, index.path, disjoint, version)).groupBy("cell_id").agg(*_merged(), F.max("disjoint").alias("disjoint"))
+    _publish(both, index.path, version, replaced)
+    return version
 
 
 def overfull(index: Index, rows_per_cell: int = CELL_ROWS) -> list[int]:
@@ -177,23 +260,53 @@ def costliest(index: Index, query: float, n: int) -> list[int]:
     return [r[0] for r in index.meta.orderBy(cost.desc(), "cell_id").limit(n).select("cell_id").collect()]
 
 
-def reorganize(index: Index, cells: list[int], path: str, kind: str = "str", rows_per_cell: int = CELL_ROWS) -> Index:
-    """A new index at ``path`` in which the given cells are cut anew; their parts take ids after the greatest one."""
-    spark, rows = index.spark, index.rows.withColumn("cell_id", F.col("cell_id").cast("long"))
-    old = rows.where(~F.col("cell_id").isin(cells))
-    top = (index.meta.agg(F.max("cell_id")).first()[0] or 0) + 1
-    again = rows.where(F.col("cell_id").isin(cells)).drop("cell_id")
+def smallest_groups(index: Index, rows_per_cell: int = CELL_ROWS) -> list[list[int]]:
+    """Groups of overlapping cells whose common rewriting pays: cells whose rectangles overlap, joined where the group's rows fit fewer cells than it has."""
+    meta = index.meta.orderBy("cell_id").toPandas()  # a row per cell
+    b, n, root = meta[["x1", "y1", "x2", "y2"]].to_numpy(float), meta.record_count.to_numpy(), list(range(len(meta)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(meta)):
+        for j in np.flatnonzero((b[:, 0] < b[i, 2]) & (b[i, 0] < b[:, 2]) & (b[:, 1] < b[i, 3]) & (b[i, 1] < b[:, 3])).tolist():
+            root[find(j)] = find(i)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(meta)):
+        groups.setdefault(find(i), []).append(i)
+    return [[int(meta.cell_id[i]) for i in g] for g in groups.values() if len(g) > -(-int(n[g].sum()) // rows_per_cell)]
+
+
+def reorganize(index: Index, cells: list[int], path: str | None = None, kind: str = "str", rows_per_cell: int = CELL_ROWS) -> Index:
+    """Cuts the given cells anew; their parts take ids after the greatest one. Without ``path`` only the rows of those cells are read and
+    written: the next version lists the new cells in place of the old ones, whose files readers pass over. With ``path`` the result is a new index there."""
+    spark = index.spark
+    if path is not None:
+        rows = index.rows
+        meta = index.meta.toPandas()
+        copy = P.Cells(meta[["x1", "y1", "x2", "y2"]].to_numpy(float), meta["cell_id"].to_numpy(np.int64), False)
+        box = tuple(map(float, (meta.x1.min(), meta.y1.min(), meta.x2.max(), meta.y2.max())))
+        for old in ("meta", "data"):
+            _remove(spark, f"{path}/{old}")
+        _write(rows, path, box, 0)
+        _save_bytes(spark, f"{path}/partitioner-0", pickle.dumps(copy))
+        _publish(_stats(spark, path, False, 0), path, 0)
+        return reorganize(Index(spark, path), cells, None, kind, rows_per_cell)
+    version, meta = index.version() + 1, index.meta
+    top = (meta.agg(F.max("cell_id")).first()[0] or 0) + 1
+    again = index.rows.where(F.col("cell_id").isin(cells)).drop("cell_id")
     box, n, sample = sample_points(again)
     partitioner = P.build(P.NAMED.get(kind, (kind, False))[0], box, -(-n // rows_per_cell) or 1, sample)
-    placed = assign(again, partitioner, False)
-    ids = {int(i): k for k, i in enumerate(partitioner.ids)}
-    renumbered = placed.withColumn("cell_id", F.lit(top) + F.create_map(*[F.lit(v) for kv in ids.items() for v in kv])[F.col("cell_id")])
-    whole = index.meta.agg(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).first()
-    _write(old.unionByName(renumbered), path, tuple(whole), "overwrite")
-    _stats(spark, path, False).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    meta = spark.read.parquet(f"{path}/meta").toPandas()
-    _save_bytes(spark, f"{path}/partitioner", pickle.dumps(P.Cells(meta[["x1", "y1", "x2", "y2"]].to_numpy(float), meta["cell_id"].to_numpy(np.int64), False)))
-    return Index(spark, path)
+    placed = assign(again, partitioner, False).withColumn("cell_id", F.col("cell_id") + top)
+    whole = meta.agg(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).first()
+    _write(placed, index.path, tuple(whole), version)
+    new = meta.where(~F.col("cell_id").isin(cells)).unionByName(_stats(spark, index.path, False, version)).toPandas()  # a row per cell
+    _save_bytes(spark, f"{index.path}/partitioner-{version}", pickle.dumps(P.Cells(new[["x1", "y1", "x2", "y2"]].to_numpy(float), new["cell_id"].to_numpy(np.int64), False)))
+    _publish(spark.createDataFrame(new), index.path, version, True)
+    return index
 
 
 def quality(index: Index, query: float = 0.1) -> float:
@@ -202,3 +315,100 @@ def quality(index: Index, query: float = 0.1) -> float:
     box = m.agg(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).first()
     space = max((box[2] - box[0]) * (box[3] - box[1]), 1e-12)
     return m.agg(F.sum((R.width(R.rect()) + query) * (R.height(R.rect()) + query) * F.col("size"))).first()[0] / space
+
+
+# Joins of indexes.
+
+
+def join_indexes(a: Index, b: Index, keep_left: list[str], keep_right: list[str], refine: Column | None = None) -> DataFrame:
+    """Pairs of rows of two indexes whose rectangles overlap. Partitions without an overlapping one on the other side aren't read; the rest
+    meet on a grid, so that two full cells cost no nested loop. Where an index is replicated a pair counts in the tile of its reference point only."""
+    pairs = partition_pairs(a.meta, b.meta)
+    sides = []
+    for index, p in ((a, "l"), (b, "r")):
+        cells = [r[0] for r in pairs.select(f"{p}_cell_id").distinct().collect()]  # a row per cell
+        rows = index.rows.where(F.col("cell_id").isin(cells))
+        sides.append(rows.join(F.broadcast(index.tiles()), "cell_id") if index.disjoint and not is_point(rows) else rows)
+    point = R.reference_point(R.rect("l_"), R.rect("r_"))
+    test, more = refine, [["cell_id", "cx1", "cy1", "cx2", "cy2"] if "cx1" in s.columns else [] for s in sides]
+    for p, cols in zip(("l_", "r_"), more):
+        if cols:
+            inside = R.has_point(R.Rect(f"{p}cx1", f"{p}cy1", f"{p}cx2", f"{p}cy2"), *point)
+            test = inside if test is None else test & inside
+    joined = spatial_join(*sides, list(dict.fromkeys([*keep_left, *more[0]])), list(dict.fromkeys([*keep_right, *more[1]])), test, "grid")
+    return joined.select(*[f"l_{c}" for c in keep_left], *[f"r_{c}" for c in keep_right])
+
+
+def _swept(schema_left: list[str], schema_right: list[str]):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        i, j = sweep.pairs(left[[f"l_{c}" for c in R.BOX]].to_numpy(float), right[[f"r_{c}" for c in R.BOX]].to_numpy(float))
+        return pd.concat([left[schema_left].iloc[i].reset_index(drop=True), right[schema_right].iloc[j].reset_index(drop=True)], axis=1)
+
+    return run
+
+
+def partition_join(left: DataFrame, right: DataFrame, keep_left: list[str], keep_right: list[str], kind: str = "str+", rows_per_cell: int = 20_000, local: str = "sweep", cells: P.Cells | None = None) -> DataFrame:
+    """Join of two sets by the cells of any disjoint partitioner, which is built from a sample of both: rows go to all cells that they touch, and a pair
+    counts in the cell of its reference point. ``local``: "sweep" sorts the rows of a cell and sweeps them in one task (cells are of bounded size by the
+    partitioner); "hash" leaves each cell to Spark's join, which splits skewed ones. ``cells``: a partitioner that is there already (repartition join)."""
+    spark = left.sparkSession
+    a, b = boxed(left.select(*dict.fromkeys([*keep_left, *_geometry(left)]))), boxed(right.select(*dict.fromkeys([*keep_right, *_geometry(right)])))
+    if cells is None:
+        box, n, sample = sample_points(a.select(*R.BOX).unionByName(b.select(*R.BOX)))
+        cells = P.build(P.NAMED.get(kind, (kind, True))[0], box, -(-n // rows_per_cell) or 1, sample)
+    if not cells.disjoint:
+        raise ValueError(f"{kind} is no disjoint partitioner")
+    tiles = spark.createDataFrame([(int(i), *map(float, x)) for i, x in zip(cells.ids, cells.boxes)], "l_cell_id long, cx1 double, cy1 double, cx2 double, cy2 double")
+    named = lambda df, p: assign(df, cells, True).select(*[F.col(c).alias(f"{p}{c}") for c in [*df.columns, "cell_id"]])
+    a, b = named(a, "l_"), named(b, "r_")
+    test = _test(is_point(left), is_point(right), None)
+    if local == "sweep":
+        ca, cb = a.columns, [c for c in b.columns if c != "r_cell_id"]
+        schema = StructType([*a.schema.fields, *[f for f in b.schema.fields if f.name in cb]])
+        met = a.groupBy("l_cell_id").cogroup(b.groupBy("r_cell_id")).applyInPandas(_swept(ca, cb), schema)
+    else:
+        met = a.join(b, F.col("l_cell_id") == F.col("r_cell_id"))
+    px, py = R.reference_point(R.rect("l_"), R.rect("r_"))
+    met = met.where(test).join(F.broadcast(tiles), "l_cell_id").where(R.has_point(R.Rect("cx1", "cy1", "cx2", "cy2"), px, py))
+    return met.select(*[f"l_{c}" for c in keep_left], *[f"r_{c}" for c in keep_right])
+
+
+def _geometry(df: DataFrame) -> list[str]:
+    return ["x", "y"] if is_point(df) else list(R.BOX)
+
+
+def repartition_join(index: Index, other: DataFrame, keep_left: list[str], keep_right: list[str]) -> DataFrame:
+    """Join of an index with a set that has none: the set is dealt to the index's cells, whose rows stay where they are. A row of an index without replication
+    stands in one cell, so its pairs do too; otherwise the reference point decides."""
+    if index.disjoint:
+        return partition_join(index.rows.drop("cell_id").dropDuplicates(keep_left), other, keep_left, keep_right, cells=index.partitioner())
+    rows = index.rows
+    a = boxed(rows.select(*dict.fromkeys([*keep_left, *_geometry(rows), "cell_id"])))
+    b = boxed(other.select(*dict.fromkeys([*keep_right, *_geometry(other)])))
+    b = assign(b, like(index), True)
+    a, b = (df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns]) for df, p in ((a, "l_"), (b, "r_")))
+    met = a.join(b, (F.col("l_cell_id") == F.col("r_cell_id")) & _test(is_point(rows), is_point(other), None))
+    return met.select(*[f"l_{c}" for c in keep_left], *[f"r_{c}" for c in keep_right])
+
+
+def choose_join(a: Index, b: Index) -> str:
+    """"direct" or "repartition", whichever reads and writes fewer cells: a direct join reads both sides of each pair of partitions; repartitioning
+    reads the smaller side, writes it, reads it again (three times its cells) and reads the other side once."""
+    direct = 2 * partition_pairs(a.meta, b.meta).count()
+    less, more = sorted((a.meta.count(), b.meta.count()))
+    return "direct" if direct <= 3 * less + more else "repartition"
+
+
+def auto_join(a: Index, b: Index, keep_left: list[str], keep_right: list[str]) -> DataFrame:
+    """By the cheaper way; results are the same."""
+    if choose_join(a, b) == "direct":
+        return join_indexes(a, b, keep_left, keep_right)
+    if a.meta.count() >= b.meta.count():
+        return repartition_join(a, b.rows.drop("cell_id").dropDuplicates(keep_right) if b.disjoint else b.rows.drop("cell_id"), keep_left, keep_right)
+    turned = repartition_join(b, a.rows.drop("cell_id").dropDuplicates(keep_left) if a.disjoint else a.rows.drop("cell_id"), keep_right, keep_left)
+    return _turned(turned, keep_left, keep_right)
+
+
+def _turned(df: DataFrame, keep_left: list[str], keep_right: list[str]) -> DataFrame:
+    """Swaps the sides' names."""
+    return df.select(*[F.col(f"r_{c}").alias(f"l_{c}") for c in keep_left], *[F.col(f"l_{c}").alias(f"r_{c}") for c in keep_right])

@@ -14,12 +14,20 @@ _COMMON = "_id long, _version int, _changeset long, _uid long, _user string, _vi
 NODE = f"{_COMMON}, _lon double, _lat double, tag {_TAG}"
 WAY = f"{_COMMON}, nd array<struct<_ref:long>>, tag {_TAG}"
 RELATION = f"{_COMMON}, member array<struct<_type:string,_ref:long,_role:string>>, tag {_TAG}"
-#: Tags of the thematic extracts.
+#: Keys and values of the thematic extracts.
 THEMES = {
-    "buildings": (["building"], None), "roads": (["highway"], None), "lakes": (["natural", "waterway"], ["water", "bay", "wetland", "river", "coastline", "stream"]),
-    "parks": (["leisure", "boundary", "landuse", "natural"], ["park", "protected_area", "nature_reserve", "forest", "wood", "garden"]), "cemetery": (["landuse"], ["cemetery"]),
-    "sports": (["leisure", "landuse"], ["sports_centre", "stadium", "track", "pitch", "golf_course", "water_park", "swimming_pool", "recreation_ground", "piste"]), "postal": (["admin_level"], ["8"]), "pois": (["amenity", "shop", "tourism", "historic"], None),
-}
+    "buildings": (["amenity", "building"], ["yes"]),
+    "lakes": (["natural", "waterway"], ["bay", "wetland", "water", "coastline", "riverbank", "dock", "boatyard"]),
+    "parks": (
+        ["leisure", "boundary", "landuse", "natural"],
+        ["wood", "tree_row", "grassland", "park", "golf_course", "national_park", "garden", "nature_reserve", "forest", "grass", "tree", "orchard", "farmland", "protected_area"],
+    ),
+    "cemetery": (["landuse"], ["cemetery"]),
+    "sports": (["leisure", "landuse"], ["sports_centre", "stadium", "track", "pitch", "golf_course", "water_park", "swimming_pool", "recreation_ground", "piste"]),
+    "roads": (["highway"], None),
+    "postal": (["admin_level"], ["8"]),
+    "pois": (["amenity", "shop", "tourism", "historic"], None),
+}
 
 
 def _tags() -> Column:
@@ -128,6 +136,12 @@ def theme(df: DataFrame, name: str, substring: bool = False) -> DataFrame:
     return df.where(has_tag(F.col("tags"), keys, values, substring))
 
 
+def without_partner(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of the right side that no row of the left one refers to: a right outer join, of which the unmatched half stays."""
+    keys = left.select(F.col(left_key).alias("_key")).where("_key IS NOT NULL").distinct()
+    return keys.join(right, F.col("_key") == F.col(right_key), "right").where("_key IS NULL").drop("_key")
+
+
 def edges_with_nodes(edges: DataFrame, nodes_: DataFrame) -> DataFrame:
     """Edges (edge_id, node1, node2, ...) with the places of both ends."""
     at = lambda k: nodes_.select(F.col("id").alias(f"node{k}"), F.col("lon").alias(f"lon{k}"), F.col("lat").alias(f"lat{k}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +13,29 @@ from stratum.operators.index import Index, insert
 def stream_into(index: Index, stream: DataFrame, checkpoint: str, trigger_once: bool = True):
     """Starts a query that inserts the stream's rows; with ``trigger_once`` it ends when what is there has been taken.
 
-    A batch that is run again after a failure is recognised by its number, which is kept with the metadata's folder.
+    A batch is one version of the index, by its number: if it is run again after a failure it is written over what the failed attempt left, or,
+    if its version has been published, passed over. Nothing else may insert into the index meanwhile.
     """
-    done = f"{index.path}/batches"
+    first = index.version() + 1
+    marks = f"{index.path}/stream-{abs(hash_of(checkpoint)):x}"
+    hadoop = index.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marks)
+    fs = hadoop.getFileSystem(index.spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hadoop):  # an earlier start of the same stream: its numbers go on
+        first = int(index.spark.read.text(marks).first()[0])
+    else:
+        index.spark.createDataFrame([(str(first),)], "value string").coalesce(1).write.mode("overwrite").text(marks)
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{done}/{number}")
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop) and batch.limit(1).count():
-            insert(index, batch)
-            fs.create(hadoop, True).close()
+        insert(index, batch, first + number)
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if trigger_once else writer).start()
 
 
+def hash_of(text: str) -> int:
+    return zlib.crc32(text.encode())
+
+
 def windowed_counts(stream: DataFrame, time: str, cell: float, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(window, cx, cy, value): counts per time window and square cell, with a watermark; works on a batch, too."""
     w = F.window(time, width)
