@@ -46,6 +46,14 @@ def z_decode(z: Column) -> tuple[Column, Column]:
     return _gather(F.shiftrightunsigned(z, 1)), _gather(z)
 
 
+def z_range_box(first: Column, last: Column) -> Column:
+    """Struct (x1, y1, x2, y2), whole numbers, both ends included: the rectangle of the least aligned block of the curve that holds all places from ``first`` to ``last``."""
+    differ = first.bitwiseXOR(last).cast("long")
+    below = F.when(differ == 0, F.lit(0).cast("long")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(differ))).cast("long") - 1)
+    (x1, y1), (x2, y2) = z_decode(first.bitwiseAND(F.bitwise_not(below))), z_decode(first.bitwiseOR(below))
+    return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+
 def scaled(v: Column, low: float, high: float, bits: int) -> Column:
     """A coordinate as a whole number of ``bits`` bits, clamped."""
     top = (1 << bits) - 1

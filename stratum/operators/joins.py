@@ -131,20 +131,6 @@ def partition_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return spatial_join(left.select(*cols), right.select(*cols), ["cell_id"], ["cell_id"])
 
 
-def index_join(left: DataFrame, right: DataFrame, left_meta: DataFrame, right_meta: DataFrame, keep_left: list[str], keep_right: list[str], refine: Column | None = None) -> DataFrame:
-    """Join of two indexed data sets (rows with cell_id): pairs of overlapping partitions first, then the rows of each pair.
-
-    For indexes without replication, in which each row stands in one partition. The metadata's rectangles must
-    cover their rows, as those of a built index do.
-    """
-    pairs = partition_pairs(left_meta, right_meta)
-    a, left_point = _sides(left, "l_", list(dict.fromkeys([*keep_left, "cell_id"])))
-    b, right_point = _sides(right, "r_", list(dict.fromkeys([*keep_right, "cell_id"])))
-    out = [f"l_{c}" for c in keep_left] + [f"r_{c}" for c in keep_right]
-    joined = a.join(pairs, "l_cell_id").join(b, ["r_cell_id"]).where(_test(left_point, right_point, refine))
-    return joined.select(*out)
-
-
 def lookup_join(df: DataFrame, categories: DataFrame, on: str, rows: int = 100_000) -> DataFrame:
     """Adds the columns of a lookup table; broadcast if it has at most ``rows`` rows."""
     return df.join(F.broadcast(categories) if is_small(categories, rows) else categories, on)

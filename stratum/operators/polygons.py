@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import rects as R
 from stratum.kernel import overlay, shapes as S
+from stratum.operators import geometry
 from stratum.operators.joins import self_join
 from stratum.scratch import Scratch
 
@@ -20,12 +21,7 @@ BATCH = 500
 
 def with_boxes(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Adds the rectangle of each geometry; rows without one go."""
-
-    @F.udf("struct<x1:double,y1:double,x2:double,y2:double>")
-    def envelope(data):
-        return None if data is None else S.envelope(S.parse_wkb(bytes(data)))
-
-    return df.withColumn("_e", envelope(geom)).select(*[c for c in df.columns if c not in R.BOX], "_e.*").where("x1 IS NOT NULL")
+    return df.withColumn("_e", geometry.envelope(F.col(geom))).select(*[c for c in df.columns if c not in R.BOX], "_e.*").where("x1 IS NOT NULL")
 
 
 def _united(key_schema: str, keys: list[str]):

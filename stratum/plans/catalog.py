@@ -43,6 +43,11 @@ def rects_supp(spark: SparkSession, sf: str) -> DataFrame:
     return _rects(spark.read.parquet(f"{sf}/supplier.parquet"), "s_suppkey", 20 + F.col("s_suppkey") % 100)
 
 
+def rects_cust(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide enough to overlap each other."""
+    return _rects(spark.read.parquet(f"{sf}/customer.parquet"), "c_custkey", 100 + F.col("c_custkey") % 100)
+
+
 def raster_events(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     return e.select((F.col("event_id") * 37 % 360 - 180).cast("double").alias("x"), (F.col("event_id") * 91 % 180 - 90).cast("double").alias("y"), "value", "ts", F.to_date("ts").alias("day"), "event_id")
@@ -55,6 +60,8 @@ rects_part AS (SELECT p_partkey AS id, (p_partkey * 7919 % 10007)::DOUBLE AS x1,
   (p_partkey * 7919 % 10007)::DOUBLE + p_size AS x2, (p_partkey * 104729 % 10007)::DOUBLE + p_size AS y2 FROM part),
 rects_supp AS (SELECT s_suppkey AS id, (s_suppkey * 7919 % 10007)::DOUBLE AS x1, (s_suppkey * 104729 % 10007)::DOUBLE AS y1,
   (s_suppkey * 7919 % 10007)::DOUBLE + 20 + s_suppkey % 100 AS x2, (s_suppkey * 104729 % 10007)::DOUBLE + 20 + s_suppkey % 100 AS y2 FROM supplier),
+rects_cust AS (SELECT c_custkey AS id, (c_custkey * 7919 % 10007)::DOUBLE AS x1, (c_custkey * 104729 % 10007)::DOUBLE AS y1,
+  (c_custkey * 7919 % 10007)::DOUBLE + 100 + c_custkey % 100 AS x2, (c_custkey * 104729 % 10007)::DOUBLE + 100 + c_custkey % 100 AS y2 FROM customer),
 raster AS (SELECT (event_id * 37 % 360 - 180)::DOUBLE AS x, (event_id * 91 % 180 - 90)::DOUBLE AS y, value, ts, ts::DATE AS day, event_id FROM events)
 """
 
@@ -119,11 +126,11 @@ def _join_index(spark, sf):
     s = Scratch(spark, "join-index")
     a = index.build_index(rects_part(spark, sf), s.path("a"), "str", 500)
     b = index.build_index(rects_supp(spark, sf), s.path("b"), "rtree", 50)
-    return joins.index_join(a.rows, b.rows, a.meta, b.meta, ["id"], ["id"])
+    return index.join_indexes(a, b, ["id"], ["id"])
 
 
 def _join_self(spark, sf):
-    return joins.self_join(rects_part(spark, sf), unordered=True, strategy="grid")
+    return joins.self_join(rects_cust(spark, sf), unordered=True, strategy="grid")
 
 
 def _join_lookup(spark, sf):
@@ -170,7 +177,7 @@ def _closest(spark, sf):
 
 
 def _farthest(spark, sf):
-    return extremes.farthest_pair(pts_cust(spark, sf)).select(F.round("distance", 6).alias("distance"))
+    return extremes.farthest_pair(pts_cust(spark, sf)).withColumn("distance", F.round("distance", 6))
 
 
 def _delaunay(spark, sf):
@@ -237,9 +244,16 @@ def _mercator(spark, sf):
 
 
 def _partition_stats(kind):
+    """For each row how many cells it stands in, whether the metadata of its cell hold it and count its rows, and whether the cell is a part of the data only."""
+
     def run(spark, sf):
         ix = index.build_index(pts_orders(spark, sf), Scratch(spark, f"stats-{kind}").path("index"), kind, 2_000)
-        return ix.meta.agg(F.sum("record_count").alias("rows"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+        meta = ix.meta.withColumnsRenamed({c: f"m_{c}" for c in R.BOX})
+        counted = ix.rows.groupBy("cell_id").agg(F.count("*").alias("n"))
+        total = meta.agg(F.sum("record_count").alias("total"))
+        rows = ix.rows.join(meta, "cell_id").join(counted, "cell_id").join(F.broadcast(total))
+        inside = (F.col("x") >= F.col("m_x1")) & (F.col("x") <= F.col("m_x2")) & (F.col("y") >= F.col("m_y1")) & (F.col("y") <= F.col("m_y2")) & (F.col("n") == F.col("record_count")) & (F.col("size") > 0)
+        return rows.groupBy("id").agg(F.count("*").alias("copies"), F.min(inside).alias("inside"), F.min(2 * F.col("n") < F.col("total")).alias("part"))
 
     return run
 
@@ -268,9 +282,8 @@ def _first_last(spark, sf):
 
 
 def _dangling(spark, sf):
-    """Right outer join, then those without a partner."""
-    c, o = spark.read.parquet(f"{sf}/customer.parquet"), spark.read.parquet(f"{sf}/orders.parquet")
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "right").where("o_orderkey IS NULL").select("c_custkey")
+    """Customers whose number no supplier has."""
+    return osm.without_partner(spark.read.parquet(f"{sf}/supplier.parquet"), spark.read.parquet(f"{sf}/customer.parquet"), "s_suppkey", "c_custkey").select("c_custkey")
 
 
 def _sample(spark, sf):
@@ -290,7 +303,7 @@ def _dedup(spark, sf):
 
 
 def _union_all(spark, sf):
-    return pts_orders(spark, sf).unionByName(pts_cust(spark, sf)).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return pts_orders(spark, sf).unionByName(pts_cust(spark, sf))
 
 
 def _generated(spark, sf):
@@ -318,7 +331,7 @@ QUERIES: dict[str, Query] = {
 }
 
 _MEETS = "a.x2 > b.x1 AND b.x2 > a.x1 AND a.y2 > b.y1 AND b.y2 > a.y1"
-_STATS = "SELECT count(*)::BIGINT AS rows, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM pts_orders"
+_STATS = "SELECT id, 1::BIGINT AS copies, true AS inside, true AS part FROM pts_orders"
 
 
 def _skyline_sql(dx: str, dy: str) -> str:
@@ -343,7 +356,7 @@ SQL: dict[str, str] = {
     "join_points": "SELECT a.id AS l_id, b.id AS r_id FROM pts_cust a JOIN rects_part b ON a.x >= b.x1 AND a.x < b.x2 AND a.y >= b.y1 AND a.y < b.y2",
     "join_broadcast": f"SELECT a.id AS l_id, b.id AS r_id FROM rects_part a JOIN rects_supp b ON {_MEETS}",
     "join_index": f"SELECT a.id AS l_id, b.id AS r_id FROM rects_part a JOIN rects_supp b ON {_MEETS}",
-    "join_self": f"SELECT a.id AS l_id, b.id AS r_id FROM rects_part a JOIN rects_part b ON a.id < b.id AND {_MEETS}",
+    "join_self": f"SELECT a.id AS l_id, b.id AS r_id FROM rects_cust a JOIN rects_cust b ON a.id < b.id AND {_MEETS}",
     "join_lookup": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "mbr": "SELECT c_nationkey, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS record_count FROM pts_cust JOIN customer ON id = c_custkey GROUP BY c_nationkey",
     "min_max": "SELECT month(ts)::INT AS month, min(value) AS min, max(value) AS max FROM raster GROUP BY 1",
@@ -351,11 +364,12 @@ SQL: dict[str, str] = {
     "prefix_sums": "SELECT i::INT AS cx, j::INT AS cy, (SELECT count(*) FROM (SELECT least(greatest(floor((x + 1000) / 687.5), 0), 15) AS cx, least(greatest(floor(y / 625.4375), 0), 15) AS cy FROM pts_cust) h WHERE h.cx <= i AND h.cy <= j)::BIGINT AS total FROM range(16) a(i), range(16) b(j)",
     "grid_cells": "SELECT (r * 20 + c + 1)::BIGINT AS cell, count(*) AS n, sum(id)::BIGINT AS ids FROM rects_part, range(20) a(c), range(10) b(r) WHERE c BETWEEN least(floor(x1 / 505), 19) AND least(greatest(floor(x1 / 505), ceil(x2 / 505) - 1), 19) AND r BETWEEN least(floor(y1 / 1010), 9) AND least(greatest(floor(y1 / 1010), ceil(y2 / 1010) - 1), 9) GROUP BY 1",
     **{f"skyline_{a}_{b}": _skyline_sql(a, b) for a in ("max", "min") for b in ("max", "min")},
-    # A point is a corner if no triangle of others holds it: it has a line through it with all others strictly on one side, so two neighbours exist by orientation.
-    "convex_hull": """SELECT DISTINCT p.x, p.y FROM (SELECT * FROM pts_cust WHERE id <= 100) p JOIN (SELECT * FROM pts_cust WHERE id <= 100) q ON p.id <> q.id
-        WHERE NOT EXISTS (SELECT 1 FROM pts_cust r WHERE r.id <= 100 AND r.id <> p.id AND r.id <> q.id AND (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0)""",
+    # A point is a corner if all others lie within less than half a turn around it: the widest gap between their directions is more than half a turn.
+    "convex_hull": """, p AS (SELECT DISTINCT x, y FROM pts_cust), d AS (SELECT p.x, p.y, atan2(q.y - p.y, q.x - p.x) AS a FROM p JOIN p q ON p.x <> q.x OR p.y <> q.y),
+        g AS (SELECT x, y, a, lead(a) OVER w - a AS gap, first_value(a) OVER w + 2 * pi() - last_value(a) OVER (PARTITION BY x, y ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS turn FROM d WINDOW w AS (PARTITION BY x, y ORDER BY a))
+        SELECT x, y FROM g GROUP BY x, y HAVING greatest(max(coalesce(gap, 0)), max(turn)) > pi() + 1e-9""",
     "closest_pair": "SELECT a.id AS id1, b.id AS id2, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM pts_cust a JOIN pts_cust b ON a.id < b.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1, 2 LIMIT 1",
-    "farthest_pair": "SELECT round(sqrt(max((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS distance FROM pts_cust a JOIN pts_cust b ON a.id < b.id",
+    "farthest_pair": "SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM pts_cust a JOIN pts_cust b ON a.x < b.x OR a.x = b.x AND a.y < b.y ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 DESC, 1, 2, 3, 4 LIMIT 1",
     "plot_points": "SELECT least(greatest(floor(x / 500000 * 200), 0), 199)::INT AS px, (99 - least(greatest(floor(y / 100003 * 100), 0), 99))::INT AS py, count(*) AS value FROM pts_orders WHERE x <= 500000 GROUP BY 1, 2",
     "heat_map": """SELECT (px + dx)::INT AS px, (py + dy)::INT AS py, sum(n)::DOUBLE AS value FROM
         (SELECT least(greatest(floor((x + 1000) / 11000 * 100), 0), 99) AS px, 99 - least(greatest(floor(y / 10007 * 100), 0), 99) AS py, count(*) AS n FROM pts_cust GROUP BY 1, 2),
@@ -374,19 +388,23 @@ SQL: dict[str, str] = {
     "index_insert": "SELECT * FROM pts_orders WHERE x >= 100000 AND x < 200000 AND y >= 20000 AND y < 70000",
     **{f"index_{k}": _STATS for k in [*P.NAMED, "rrstar", "rtreegb", "rtreebb", "rtreebbq", "rstreebb", "rrstreebb"]},
     "osm_segments": f"SELECT * FROM (SELECT l_orderkey AS way_id, {PLACE} AS position, l_partkey::DOUBLE AS x1, l_suppkey::DOUBLE AS y1, lead(l_partkey::DOUBLE) OVER w AS x2, lead(l_suppkey::DOUBLE) OVER w AS y2 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {PLACE})) WHERE x2 IS NOT NULL",
-    "osm_first_last": f"SELECT l_orderkey, arg_min(l_partkey, {PLACE}) AS first_node, arg_max(l_partkey, {PLACE}) AS last_node, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1",
-    "osm_dangling": "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL",
+    "osm_first_last": f"SELECT l_orderkey, arg_min(l_partkey, {PLACE}) AS first_node, arg_max(l_partkey, {PLACE}) AS last_node, count(*) AS n FROM lineitem GROUP BY 1",
+    "osm_dangling": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "head": "SELECT * FROM pts_orders ORDER BY id LIMIT 25",
     "tail": "SELECT * FROM pts_orders ORDER BY id DESC LIMIT 25",
     "dedup_points": "SELECT DISTINCT floor(x / 500)::BIGINT AS x, floor(y / 500)::BIGINT AS y FROM pts_cust",
-    "union_all": "SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT id FROM pts_orders UNION ALL SELECT id FROM pts_cust)",
+    "union_all": "SELECT id, x, y FROM pts_orders UNION ALL SELECT id, x, y FROM pts_cust",
     "windowed_counts": "SELECT day, floor(x / 90)::BIGINT AS cx, floor(y / 90)::BIGINT AS cy, count(*) AS value FROM raster GROUP BY 1, 2, 3",
 }
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from stratum.plans import wide
+
+    return QUERIES | wide.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: (SQL_VIEWS.rstrip() + v if v.startswith(",") else SQL_VIEWS + v) for k, v in SQL.items()}
+    from stratum.plans import wide
+
+    return {k: (SQL_VIEWS.rstrip() + v if v.startswith(",") else SQL_VIEWS + v) for k, v in (SQL | wide.SQL).items()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.tags import format_tags, parse_tags
 from stratum.kernel import shapes as S
+from stratum.operators import geometry
 
 #: Columns of each layout, in order; d double, l long, s string, t tags, g geometry.
 LAYOUTS = {
@@ -126,7 +127,7 @@ def read(spark: SparkSession, path: str | list[str], layout: str | Layout | None
 
 
 def wkb_to_wkt(data) -> Column:
-    return F.udf(lambda g: None if g is None else S.to_wkt(S.parse_wkb(bytes(g))), "string")(data)
+    return geometry.to_wkt(data)
 
 
 def to_lines(df: DataFrame, layout: str) -> DataFrame:
