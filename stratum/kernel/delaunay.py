@@ -167,3 +167,22 @@ def merge(points: np.ndarray, borders: list[tuple[int, int]]) -> list[tuple[int,
             if e in apex and e not in barrier:
                 work.append(e)
     return [t for t in triangles if t not in gone]
+
+
+def settle(points: np.ndarray, borders: list[tuple[int, int]], box: tuple[float, float, float, float]) -> tuple[list, set[int], list[tuple[int, int]]]:
+    """What is left of several cells, put together: (triangles that no point outside the box can undo, sites that have others yet, directed edges with a
+    settled triangle on their left and none on their right)."""
+    x1, y1, x2, y2 = box
+    safe, open_ = [], []
+    for t in merge(points, borders):
+        x, y, r = circumcircle(*(points[i] for i in t))
+        r *= 1 + 1e-9
+        (safe if x - r >= x1 and x + r <= x2 and y - r >= y1 and y + r <= y2 else open_).append(t)
+    around = lambda t: ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))
+    settled = {*borders, *(e for t in safe for e in around(t))}
+    edges = settled | {e for t in open_ for e in around(t)}
+    rest = {i for t in open_ for i in t}
+    rest |= {i for u, v in edges if (v, u) not in edges for i in (u, v)} if not all(map(np.isinf, box)) else set()
+    seen = {i for e in edges for i in e}
+    rest |= set(range(len(points))) - seen if not all(map(np.isinf, box)) else set()
+    return safe, rest, [(u, v) for u, v in settled if (v, u) not in settled]

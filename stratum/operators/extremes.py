@@ -85,8 +85,9 @@ def farthest_pair(df: DataFrame) -> DataFrame:
 def closest_pair(df: DataFrame, tie: str = "id", sample_rows: int = 2_000) -> DataFrame:
     """(id1, id2, distance), id1 < id2; of equal distances the least ids. Empty for fewer than two points.
 
-    The nearest distance within a sample bounds the answer, so it is the side of cells that leave few candidates:
-    points of one or of neighbouring cells. If duplicates make it 0, equal points are the answer.
+    Any distance found bounds the answer and can be the side of square cells. The first bound comes from a sample; then neighbours by x
+    within each cell give the next, until it is no less than half the side: from there on no cell can hold more than nine points, whatever
+    their number and distribution. Candidates are points of one or of neighbouring cells. If duplicates make the bound 0, equal points are the answer.
     """
     pts = df.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(tie).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     probe = pts.orderBy(F.xxhash64("id")).limit(sample_rows).toPandas()  # sample_rows rows
@@ -94,6 +95,15 @@ def closest_pair(df: DataFrame, tie: str = "id", sample_rows: int = 2_000) -> Da
     empty = pts.select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(0.0).alias("distance")).limit(0)
     if bound is None:
         return empty
+    while bound > 0:
+        cells = [F.floor(F.col(c) / bound).cast("long") for c in ("x", "y")]
+        near = Window.partitionBy(*cells).orderBy("x", "y")
+        ahead = pts.select("x", "y", F.lead("x").over(near).alias("nx"), F.lead("y").over(near).alias("ny"))
+        least = ahead.agg(F.min(R.distance("x", "y", "nx", "ny"))).first()[0]
+        if least is None or least >= bound / 2:
+            bound = bound if least is None else min(bound, least)
+            break
+        bound = least
     if bound == 0:
         least = pts.groupBy("x", "y").agg(F.min("id").alias("id1"), F.count("*").alias("n")).where("n > 1")
         second = pts.join(least, ["x", "y"]).where("id > id1").groupBy("id1").agg(F.min("id").alias("id2"))

@@ -54,31 +54,33 @@ def knn(df: DataFrame, x: float, y: float, k: int, metric: str = "max", tie: str
 def knn_join(queries: DataFrame, df: DataFrame, k: int, cell: float, tie: str = "id", queries_id: str = "qid") -> DataFrame:
     """For each query point (qid, x, y) its ``k`` nearest points: qid, rank, distance and the row's columns, prefixed p_.
 
-    Points and queries meet on square cells of side ``cell``. A query takes ever larger rings of cells until the
-    k-th distance found lies within the part of the plane that it has seen; that loop is on query ids and counts, the data stay
-    in place. Queries that reach the edge of the data with fewer than ``k`` points take all there are.
+    Points and queries meet on square cells, at first of side ``cell``: a query looks into its own cell and the eight around it. It is settled when the
+    k-th distance found lies within the part of the plane that it has seen, or when that part holds all data; the others go on with cells twice as wide.
+    So a query far from all data meets nine cells a round like any other. The loop is on query ids and counts, the data stay in place.
     """
-    cx, cy = F.floor(F.col("x") / cell).cast("long"), F.floor(F.col("y") / cell).cast("long")
-    data = df.select(*[F.col(c).alias(f"p_{c}") for c in df.columns], cx.alias("cx"), cy.alias("cy"))
-    ask = queries.select(F.col(queries_id).alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), cx.alias("qcx"), cy.alias("qcy"))
-    bounds = data.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    data = df.select(*[F.col(c).alias(f"p_{c}") for c in df.columns])
+    ask = queries.select(F.col(queries_id).alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    low_x, high_x, low_y, high_y = data.agg(F.min("p_x"), F.max("p_x"), F.min("p_y"), F.max("p_y")).first()
     order = Window.partitionBy("qid").orderBy("distance", f"p_{tie}")
-    done, ring, scratch = None, 1, Scratch(df.sparkSession, "knn")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    done, turn, side, scratch = None, 0, float(cell), Scratch(df.sparkSession, "knn")
     while True:
-        cells = ask.select("*", F.explode(F.sequence(F.col("qcx") - ring, F.col("qcx") + ring)).alias("cx")).select("*", F.explode(F.sequence(F.col("qcy") - ring, F.col("qcy") + ring)).alias("cy"))
-        met = cells.join(data, ["cx", "cy"]).withColumn("distance", R.distance("qx", "qy", "p_x", "p_y"))
-        top = scratch.save(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"top{ring}")
-        edge = F.least(F.col("qx") - (F.col("qcx") - ring) * cell, (F.col("qcx") + ring + 1) * cell - F.col("qx"), F.col("qy") - (F.col("qcy") - ring) * cell, (F.col("qcy") + ring + 1) * cell - F.col("qy"))
-        seen_all = F.lit(True) if bounds[0] is None else (F.col("qcx") - ring <= bounds[0]) & (F.col("qcx") + ring >= bounds[1]) & (F.col("qcy") - ring <= bounds[2]) & (F.col("qcy") + ring >= bounds[3])
+        at = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: E731, B023
+        cells = ask.select("*", around.alias("o")).select("qid", "qx", "qy", (at("qx") + F.col("o.i")).alias("cx"), (at("qy") + F.col("o.j")).alias("cy"))
+        met = cells.join(data.withColumns({"cx": at("p_x"), "cy": at("p_y")}), ["cx", "cy"]).withColumn("distance", R.distance("qx", "qy", "p_x", "p_y"))
+        top = scratch.save(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"top{turn}")
+        x1, x2, y1, y2 = (at("qx") - 1) * side, (at("qx") + 2) * side, (at("qy") - 1) * side, (at("qy") + 2) * side
+        edge = F.least(F.col("qx") - x1, x2 - F.col("qx"), F.col("qy") - y1, y2 - F.col("qy"))
+        seen_all = F.lit(True) if low_x is None else (x1 <= low_x) & (x2 > high_x) & (y1 <= low_y) & (y2 > high_y)
         state = ask.withColumn("edge", edge).join(top.groupBy("qid").agg(F.max("rank").alias("n"), F.max("distance").alias("far")), "qid", "left")
         settled = state.where(seen_all | ((F.col("n") == k) & (F.col("far") <= F.col("edge")))).select("qid")
-        settled = scratch.save(settled, f"settled{ring}")
-        part = top.join(settled, "qid").drop("qx", "qy", "qcx", "qcy", "cx", "cy")
+        settled = scratch.save(settled, f"settled{turn}")
+        part = top.join(settled, "qid").drop("qx", "qy", "cx", "cy")
         done = part if done is None else done.unionByName(part)
-        ask = scratch.save(ask.join(settled, "qid", "left_anti"), f"ask{ring}")
+        ask = scratch.save(ask.join(settled, "qid", "left_anti"), f"ask{turn}")
         if ask.limit(1).count() == 0:
             return done
-        ring *= 2
+        side, turn = side * 2, turn + 1
 
 
 def sample(df: DataFrame, ratio: float, seed: int = 1, centroid: bool = False) -> DataFrame:

@@ -1,8 +1,9 @@
 """Delaunay triangulation and Voronoi regions over distributed points.
 
 Points are cut into cells; each is triangulated in its own task. Triangles whose circumcircle lies in the cell are final. Sites with any
-other triangle, far fewer than all, are triangulated together in one task, and of that result the triangles outside
-the final ones are added.
+other triangle, those near a cell's border, go on to blocks of ``MERGED`` by ``MERGED`` cells, where they are triangulated together; of that result the triangles outside
+the final ones are added, those whose circumcircle lies in the block are final in turn, and so on with larger blocks. A block's task has the
+sites along the borders of its parts only, so it grows with the root of the number of points.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from stratum.kernel import delaunay as D
 from stratum.operators.select import dedup_points
 from stratum.scratch import Scratch
 
+#: Cells a side that are merged at once.
+MERGED = 4
 TRIANGLE = "ax double, ay double, bx double, by double, cx double, cy double"
 
 
@@ -45,20 +48,34 @@ def delaunay(df: DataFrame, tolerance: float = 0.0, cell_points: int = 5_000) ->
         out += [(1, *p[k], 0.0, 0.0, 0.0, 0.0) for k in sorted(rest)]
         edges = {e: True for t in safe for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))}
         out += [(2, *p[u], *p[v], 0.0, 0.0) for u, v in edges if (v, u) not in edges]
-        return pd.DataFrame(out, columns=["kind", "ax", "ay", "bx", "by", "cx", "cy"])
+        return pd.DataFrame(out, columns=["kind", "ax", "ay", "bx", "by", "cx", "cy"]).assign(i=i, j=j)
 
-    parts = scratch.save(celled.groupBy("i", "j").applyInPandas(local, f"kind int, {TRIANGLE}"), "parts")
+    parts = scratch.save(celled.groupBy("i", "j").applyInPandas(local, f"kind int, {TRIANGLE}, i int, j int"), "parts")
 
-    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["kind", "ax", "ay", "bx", "by"])])
-        p = rows[rows.kind == 1][["ax", "ay"]].to_numpy(float)
-        at = {tuple(v): k for k, v in enumerate(p.tolist())}
-        borders = [(at[a, b], at[c, d]) for a, b, c, d in rows[rows.kind == 2][["ax", "ay", "bx", "by"]].to_numpy(float).tolist() if (a, b) in at and (c, d) in at]
-        out = [(*p[a], *p[b], *p[c]) for a, b, c in D.merge(p, borders)] if len(p) else []
-        yield pd.DataFrame(out, columns=["ax", "ay", "bx", "by", "cx", "cy"])
+    def block(of: int):
+        """Merges what is left of blocks of ``of`` cells a side."""
 
-    rest = parts.where("kind > 0").coalesce(1).mapInPandas(final, TRIANGLE)
-    every = parts.where("kind = 0").drop("kind").unionByName(rest)
+        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+            i, j = key
+            p = rows[rows.kind == 1][["ax", "ay"]].drop_duplicates().to_numpy(float)
+            at = {tuple(v): k for k, v in enumerate(p.tolist())}
+            borders = [(at[a, b], at[c, d]) for a, b, c, d in rows[rows.kind == 2][["ax", "ay", "bx", "by"]].to_numpy(float).tolist() if (a, b) in at and (c, d) in at]
+            low = lambda k, origin, size: -np.inf if k == 0 else origin + k * of * size
+            high = lambda k, origin, size: np.inf if (k + 1) * of >= side else origin + (k + 1) * of * size
+            safe, left, edges = D.settle(p, borders, (low(i, x1, w), low(j, y1, h), high(i, x1, w), high(j, y1, h))) if len(p) else ([], (), [])
+            out = [(0, *p[a], *p[b], *p[c]) for a, b, c in safe]
+            out += [(1, *p[k], 0.0, 0.0, 0.0, 0.0) for k in sorted(left)]
+            out += [(2, *p[u], *p[v], 0.0, 0.0) for u, v in edges]
+            return pd.DataFrame(out, columns=["kind", "ax", "ay", "bx", "by", "cx", "cy"]).assign(i=i, j=j)
+
+        return run
+
+    every, of = parts.where("kind = 0").drop("kind", "i", "j"), 1
+    while parts.where("kind = 1").limit(1).count():
+        of *= MERGED
+        up = parts.where("kind > 0").withColumns({c: F.floor(F.col(c) / MERGED).cast("int") for c in ("i", "j")})
+        parts = scratch.save(up.groupBy("i", "j").applyInPandas(block(of), f"kind int, {TRIANGLE}, i int, j int"), f"parts{of}")
+        every = every.unionByName(parts.where("kind = 0").drop("kind", "i", "j"))
     c = [F.struct(F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y")) for k in "abc"]
     turns = F.array(F.array(c[0], c[1], c[2]), F.array(c[1], c[2], c[0]), F.array(c[2], c[0], c[1]))
     t = F.array_min(turns)

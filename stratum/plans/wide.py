@@ -351,7 +351,18 @@ def _rollups(level):
     return run
 
 
+def _delaunay_size(spark, sf):
+    t = C._delaunay(spark, sf)
+    double = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
+    return t.agg(F.count("*").alias("triangles"), F.round(F.sum(double / 2), 0).alias("area"), F.min(double > 0).alias("turned"))
+
+
+def _voronoi_size(spark, sf):
+    return C._voronoi(spark, sf).agg(F.count("*").alias("regions"), F.sum(F.when(F.col("closed"), 0).otherwise(1)).alias("open"), F.sum("corners").alias("corners"))
+
+
 QUERIES = {
+    "delaunay_size": _delaunay_size, "voronoi_size": _voronoi_size,
     "range_polygons": _range_polygons, "join_polygons": _join_polygons(False), "join_polygons_filter": _join_polygons(True), "geometry_functions": _geometry_functions, "simplify": _simplify, "exit_points": _exit_points,
     "plot_segments": _plot_segments, "plot_polygons": _plot_polygons,
     "join_index_disjoint": _join_index_disjoint, "join_str_cells": _join_cells("str+", "sweep"), "join_quad_cells": _join_cells("quadtree", "hash"), "join_grid_cells": _join_cells("grid", "sweep"), "join_points_cells": _join_points_cells,
@@ -382,7 +393,15 @@ def _hilbert_sql() -> str:
 
 
 _SCALED = "least(greatest(trunc((x - (SELECT min(x) FROM pts_cust)) / (SELECT max(x) - min(x) FROM pts_cust) * 32767), 0), 32767)::BIGINT", "least(greatest(trunc((y - (SELECT min(y) FROM pts_cust)) / (SELECT max(y) - min(y) FROM pts_cust) * 32767), 0), 32767)::BIGINT"
+#: Corners of the hull in order, with the next one.
+_RING = C.SQL["convex_hull"].replace("SELECT x, y FROM g", ", h AS (SELECT x, y FROM g") + """), m AS (SELECT avg(x) AS mx, avg(y) AS my FROM h),
+ring AS (SELECT x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM h, m WINDOW w AS (ORDER BY atan2(y - my, x - mx))),
+k AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT x, y FROM pts_cust)) AS n, count(*) AS h, sum(x * ny - nx * y) / 2 AS a FROM ring)
+"""
 SQL = {
+    # Euler: n points, h of them on the hull, have 2n - 2 - h triangles that fill the hull, and 3 corners each.
+    "delaunay_size": _RING + "SELECT (2 * n - 2 - h)::BIGINT AS triangles, round(a, 0) AS area, true AS turned FROM k",
+    "voronoi_size": _RING + "SELECT n AS regions, h::BIGINT AS open, (3 * (2 * n - 2 - h))::BIGINT AS corners FROM k",
     "range_polygons": _DIAMONDS + "SELECT id FROM dp WHERE abs(cx - 5000) + abs(cy - 5000) <= r + 2500",
     "join_polygons": _DIAMONDS + "SELECT a.id AS l_id, b.id AS r_id FROM dp a JOIN ds b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) <= a.r + b.r",
     "join_polygons_filter": _DIAMONDS + "SELECT a.id AS l_id, b.id AS r_id FROM dp a JOIN ds b ON abs(a.cx - b.cx) < a.r + b.r AND abs(a.cy - b.cy) < a.r + b.r",

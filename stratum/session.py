@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,6 +23,11 @@ def get_session(app: str = "stratum", master: str | None = None, shuffle_partiti
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # Python workers import this package by name, wherever the session was started.
+    home = str(Path(__file__).resolve().parents[1])
+    settings["spark.executorEnv.PYTHONPATH"] = os.pathsep.join(dict.fromkeys([home, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
+    if (master or "").startswith("local"):
+        os.environ["PYTHONPATH"] = settings["spark.executorEnv.PYTHONPATH"]
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.functions import curves, rects as R, tags, values
-from stratum.kernel import delaunay as D, hull as H, overlay as O, partition as P, shapes as S
-from stratum.operators import aggregates, extremes, index, joins, polygons, raster, render, select
+from stratum.kernel import delaunay as D, hull as H, overlay as O, partition as P, shapes as S, sweep
+from stratum.operators import aggregates, extremes, index, joins, polygons, raster, render, select, triangulation
 from stratum.plans import catalog
 from stratum.sources import generate, hdf4, osm, text
 
@@ -213,3 +213,80 @@ def test_hull_of_all_customers(spark):
     for i, a in enumerate(corners):
         b, c = corners[(i + 1) % len(corners)], corners[(i + 2) % len(corners)]
         assert turn(a, b, c) > 0 and all(turn(a, b, p) >= 0 for p in pts)
+
+
+def test_triangulations_of_cells_merge_into_one(spark):
+    for n, size in ((1500, 30), (1500, 400), (40, 5), (7, 2)):
+        p = np.random.default_rng(n).random((n, 2)).round(6)
+        df = spark.createDataFrame([(float(a), float(b)) for a, b in p], "x double, y double")
+
+        def least_first(t, p=p):
+            v = [tuple(map(float, p[i])) for i in t]
+            k = v.index(min(v))
+            return tuple(c for q in v[k:] + v[:k] for c in q)
+
+        assert {tuple(r) for r in triangulation.delaunay(df, cell_points=size).collect()} == {least_first(t) for t in D.triangulate(p)}
+
+
+def test_closest_pair_of_a_cluster(spark):
+    r = np.random.default_rng(3)
+    p = np.vstack([r.random((500, 2)), 0.5 + r.random((700, 2)) * 1e-5])
+    got = extremes.closest_pair(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "id long, x double, y double"), sample_rows=20).first()
+    assert abs(got.distance / min(np.hypot(*(p[i + 1 :] - p[i]).T).min() for i in range(len(p) - 1)) - 1) < 1e-12
+
+
+def test_plane_sweep_equals_all_pairs(monkeypatch):
+    r = np.random.default_rng(8)
+    boxes = lambda n: np.hstack([c := r.integers(0, 60, (n, 2)).astype(float), c + r.integers(0, 9, (n, 2))])
+    monkeypatch.setattr(sweep, "CHUNK", 50)
+    a, b = boxes(120), boxes(150)
+    meets = lambda p, q: p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]
+    assert sorted(zip(*map(np.ndarray.tolist, sweep.pairs(a, b)))) == [(i, j) for i in range(120) for j in range(150) if meets(a[i], b[j])]
+    got = [tuple(sorted(x)) for x in zip(*map(np.ndarray.tolist, sweep.self_pairs(a)))]
+    assert sorted(got) == [(i, j) for i in range(120) for j in range(i + 1, 120) if meets(a[i], a[j])]
+    assert len(sweep.pairs(a[:0], b)[0]) == 0
+
+
+def test_revised_trees_differ_and_hold_all_points():
+    pts = np.random.default_rng(1).random((600, 2))
+    trees = {k: P.build(k, (0, 0, 1, 1), 20, pts).boxes for k in ("rstreebb", "rrstreebb", "rtreebb", "rtreebbq")}
+    assert trees["rstreebb"].shape != trees["rrstreebb"].shape or not np.array_equal(trees["rstreebb"], trees["rrstreebb"])
+    for b in trees.values():
+        assert all(((b[:, 0] <= x) & (x <= b[:, 2]) & (b[:, 1] <= y) & (y <= b[:, 3])).any() for x, y in pts)
+    area = {k: ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])).sum() for k, b in trees.items()}
+    assert area["rrstreebb"] < area["rtreebb"]
+
+
+def test_tables_of_cells_equal_comparison_with_each():
+    r = np.random.default_rng(2)
+    for kind in ("grid", "str", "kdtree", "quadtree", "rstar"):
+        c = P.build(kind, (0, 0, 1, 1), 60, r.random((500, 2)))
+        x, y = r.random(800) * 1.2 - 0.1, r.random(800) * 1.2 - 0.1
+        w, h = np.where(r.random(800) < 0.3, 0, r.random(800) * 0.2), r.random(800) * 0.1
+        fast = c.assign(x, y), [sorted(v) for v in c.overlaps(x, y, x + w, y + h)]
+        assert c.slots() is not None
+        c._slots = None
+        assert np.array_equal(fast[0], c.assign(x, y)) and fast[1] == [sorted(v) for v in c.overlaps(x, y, x + w, y + h)]
+
+
+def test_failed_and_repeated_insertions(spark, tmp_path):
+    pts = generate.generate(spark, 300, (0.0, 0.0, 100.0, 100.0), "uniform", 3)
+    ix = index.build_index(pts.where("id < 200"), str(tmp_path / "a"), "quadtree", 50)
+    # A batch that was written but never published isn't seen, and is written over.
+    index._write(index.assign(pts.where("id >= 200"), ix.partitioner(), ix.disjoint), ix.path, (0.0, 0.0, 100.0, 100.0), 1)
+    assert ix.rows.count() == 200 and ix.version() == 0
+    for _ in range(2):
+        assert index.insert(ix, pts.where("id >= 200"), 1) == 1
+    assert ix.rows.count() == 300 and ix.meta.agg(F.sum("record_count")).first()[0] == 300
+    cells = [r.cell_id for r in ix.meta.orderBy("cell_id").limit(2).collect()]
+    index.reorganize(ix, cells, None, "str", 20)
+    assert sorted(r.id for r in ix.rows.collect()) == list(range(300)) and not {r.cell_id for r in ix.meta.collect()} & set(cells)
+    assert index.smallest_groups(ix, 10_000) == [] or all(len(g) > 1 for g in index.smallest_groups(ix, 10_000))
+
+
+def test_far_queries_and_few_neighbours(spark):
+    pts = spark.createDataFrame([(i, float(i), 0.0) for i in range(5)], "id long, x double, y double")
+    ask = spark.createDataFrame([(1, 1e6, -1e6), (2, 0.2, 0.1)], "qid long, x double, y double")
+    got = {(r.qid, r["rank"]): r.p_id for r in select.knn_join(ask, pts, 3, 0.5).collect()}
+    assert got == {(1, 1): 4, (1, 2): 3, (1, 3): 2, (2, 1): 0, (2, 2): 1, (2, 3): 2}
+    assert select.knn_join(ask, pts, 9, 0.5).count() == 10
