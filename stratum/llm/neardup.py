@@ -282,7 +282,8 @@ def clusters(docs: DataFrame, near: Near = Near(), label: str = "neardup", text:
     comp = components(links.union(found), scratch, "all")
 
     known = classes.select("cid", "fp1", "fp2", "n_shingles", "id").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
-    least = known.groupBy("comp").agg(F.min("id").alias("component"))
+    # Written first: a join with an aggregate of the same shuffle can't be split where a component is large.
+    least = scratch.save(known.groupBy("comp").agg(F.min("id").alias("component")), "least")
     known = scratch.save(known.join(least, "comp").select("fp1", "fp2", "n_shingles", "cid", "comp", "component"), "known")
     out = signed.drop("sig", "bands", "key").join(known, ["fp1", "fp2", "n_shingles"], "left")
     return out.select("row", "id", "n_shingles", F.col("cid").alias("class"), "comp", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), "rid")
@@ -294,5 +295,6 @@ def deduplicate(docs: DataFrame, near: Near = Near(), label: str = "dedup", text
     scratch = Scratch(docs.sparkSession, label)
     narrow = scratch.save(found.where("n_shingles > 0").select("id", "comp", "rid"), "narrow")
     first = narrow.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("f")).select("comp", F.col("f.rid").alias("kept"))
+    first = scratch.save(first, "first")
     gone = scratch.save(narrow.join(first, "comp").where("rid <> kept").select("rid"), "gone")
     return found.join(_hint(gone), "rid", "left_anti").select("row.*")

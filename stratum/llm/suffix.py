@@ -398,6 +398,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, r: Repeats = Repeats(), te
     all_ = scratch.save(keyed.mapInArrow(lambda b: _find(b, r), OCCURRENCES), "occurrences")
     # Grams that occur twice: equal grams of one text count where they stand in different regions, too.
     many = all_.groupBy("g").agg(F.sum(F.size("xs")).alias("n")).where("n > 1").select("g")
+    many = scratch.save(many, "many")
     # Equal texts give equal rows: each counts for the regions' numbers, one is enough to bring intervals back.
     # The shuffle between join and aggregate lets adaptive execution split the join where a gram is very common.
     rows = all_.join(many, "g").repartition("g", "rh", "k1", "k2").groupBy("g", "rh", "k1", "k2").agg(F.first("xs").alias("xs"), F.sum(F.size("xs")).alias("n"))
