@@ -43,12 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.columns import whole
-from stratum.llm.shingles import U, mix
+from stratum.llm.shingles import U, mix, release
 from stratum.scratch import Scratch, is_small
 
 _BYTE = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) | U(1)
 _BASE = 0x9E3779B97F4A7C15
 TASK_REGIONS = 15_000
+#: Positions hashed at once.
+HASHED = 1 << 18
 BLOCK_REGIONS = 2_000
 TOKEN_GRAM, TOKEN_MASK = 8, 63
 BROADCAST_KEYS = 200_000
@@ -147,10 +149,9 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, U)
-    powers, x, size = {}, _BYTE[data], 1
+    x, size = _BYTE[data], 1
     total, done = None, 0
     while True:  # substrings of length 1, 2, 4, ..., put together by the bits of gram
-        powers[size] = x
         if gram & size:
             part = x[done : done + n]
             total = part.copy() if total is None else total * U(pow(_BASE, size, 1 << 64)) + part
@@ -161,6 +162,15 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
         size *= 2
 
 
+def _chunked_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """:func:`gram_hashes` of a long array, a piece at a time: besides the result some 10 MB."""
+    n = max(len(data) - gram + 1, 0)
+    out = np.empty(n, U)
+    for i in range(0, n, HASHED):
+        out[i : i + HASHED] = gram_hashes(data[i : i + HASHED + gram - 1], gram)
+    return out
+
+
 def _sliding(x: np.ndarray, w: int, pick: np.ufunc, fill: int) -> np.ndarray:
     """pick over each ``w`` consecutive values."""
     n = len(x)
@@ -220,7 +230,7 @@ def _by_bytes(regions: list[tuple[int, bytes]], r: Repeats) -> list[tuple[int, i
 def _runs(flat: list[tuple[int, int, bytes]], joined: np.ndarray, r: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens in the order of the suffix array: region, offset in the region, window starts that belong to it (from the token before on), and the
     number of its run, within which neighbours share all bytes that a repeat over this token needs."""
-    cuts = np.nonzero((gram_hashes(joined, TOKEN_GRAM) & U(TOKEN_MASK)) == 0)[0]
+    cuts = np.nonzero((_chunked_hashes(joined, TOKEN_GRAM) & U(TOKEN_MASK)) == 0)[0]
     size = np.array([len(d) for _, _, d in flat])
     at = np.cumsum(size) - size
     left = np.array([x for _, x, _ in flat])
@@ -276,8 +286,9 @@ def shared_by_regions(groups: list[list[tuple[int, bytes]]], r: Repeats, settled
         s = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + first[token]  # window starts in their regions
         of = region[token]
         place = s - left[of]
-        h = gram_hashes(joined, r.length)
+        h = _chunked_hashes(joined, r.length)
         key = mix(h[start[of] + s] + mix((run[token].astype(np.int64) * 4096 + place + 2048).view(U)))
+        del h, token
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         partner = np.full(len(order), -1)
@@ -313,6 +324,7 @@ def _find(batches: Iterator[pa.RecordBatch], r: Repeats) -> Iterator[pa.RecordBa
         cols = list(zip(*rows)) if rows else [[]] * 5
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["k1", "k2", "g", "rh", "xs"])
+    release()
 
 
 def _cut_regions(batches: Iterator[pa.RecordBatch], r: Repeats) -> Iterator[pa.RecordBatch]:
@@ -350,6 +362,7 @@ def _compare(batches: Iterator[pa.RecordBatch], r: Repeats) -> Iterator[pa.Recor
             size += 1
     if groups:
         yield results()
+    release()
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], r: Repeats) -> Iterator[pa.RecordBatch]:
