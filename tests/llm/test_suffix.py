@@ -116,3 +116,37 @@ def test_production_length_and_empty(spark):
     got = [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.remove_repeats(docs).orderBy(F.col("row.doc_id")).collect()]
     assert got == brute(texts, 400)
     assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_join_of_a_region_in_very_many_texts_is_split(spark):
+    """The join that brings intervals to texts reads both sides from a shuffle, so that adaptive execution can deal a common region to several tasks."""
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = text(40)
+    texts = ["y" * 20 + passage * 2 + str(i) for i in range(6000)] + [x for x in (text(120) for _ in range(800)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.shuffle.partitions": "31",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in held}
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = store.executionsCount()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = S.remove_repeats(docs, SHORT).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        runs = store.executionsList(known, 1000)
+        plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [x[1:] for x in sorted(rows)] == brute(texts, SHORT.length)
+    spans = [p for p in plans if "collect_set" in p and "Generate" in p]
+    assert spans and all("skew=true" in p.split("Initial Plan")[0] for p in spans)
