@@ -220,41 +220,41 @@ def _bulk(measure: str, name: str):
         least = max(1, int(most * 0.4))
         out = []
 
-        def cost(p, kind):
-            w, h = p.max(axis=0) - p.min(axis=0)
-            return w * h if kind == "area" else w + h
-
-        def split(pts, edge):
-            if len(pts) <= most:
-                out.append(edge)
-                return
+        def place(orders: tuple) -> tuple[int, int] | None:
+            """(axis, place) of the split; ``orders`` has the points sorted by x and by y, each as columns x and y."""
             best = None
             for axis in (0, 1):
-                p = pts[np.lexsort((pts[:, 1 - axis], pts[:, axis]))]
-                lo, hi = np.minimum.accumulate(p, axis=0), np.maximum.accumulate(p, axis=0)
-                lo2, hi2 = np.minimum.accumulate(p[::-1], axis=0)[::-1], np.maximum.accumulate(p[::-1], axis=0)[::-1]
-                step = max(1, len(p) // 256)
-                places = [k for k in range(least, len(p) - least + 1, step) if p[k - 1, axis] < p[k, axis]]
-                if not places:
+                p, q = orders[axis][axis], orders[axis][1 - axis]
+                k = np.arange(least, len(p) - least + 1, max(1, len(p) // 256))
+                k = k[p[k - 1] < p[k]]
+                if not len(k):
                     continue
-                k = np.array(places)
-                d1, d2 = hi[k - 1] - lo[k - 1], hi2[k] - lo2[k]
+                at = np.concatenate([[0], k])
+                low, high = np.minimum.reduceat(q, at), np.maximum.reduceat(q, at)
+                before = np.maximum.accumulate(high)[:-1] - np.minimum.accumulate(low)[:-1]
+                after = (np.maximum.accumulate(high[::-1])[::-1] - np.minimum.accumulate(low[::-1])[::-1])[1:]
+                d1, d2 = (np.stack(d if axis == 0 else d[::-1], axis=1) for d in ((p[k - 1] - p[0], before), (p[-1] - p[k], after)))
                 perimeter = d1.sum(axis=1) + d2.sum(axis=1)
                 value = perimeter if measure == "perimeter" else d1.prod(axis=1) + d2.prod(axis=1) if measure == "area" else np.abs(k - len(p) / 2)
-                j = int(value.argmin())
-                found = (float(perimeter.sum()), axis, p, int(k[j]))
+                found = (float(perimeter.sum()), axis, int(k[int(value.argmin())]))
                 best = found if best is None or found[0] < best[0] else best
-            if best is None:
+            return best and best[1:]
+
+        # A stack in place of recursion: a split may cut off a few points only, so the depth can be near the number of cells. Parts are copies, so no point is held twice.
+        work = [(tuple(tuple(np.ascontiguousarray(c) for c in sample[np.lexsort((sample[:, 1 - a], sample[:, a]))].T) for a in (0, 1)), (-INF, -INF, INF, INF))]
+        while work:
+            orders, edge = work.pop()
+            found = place(orders) if len(orders[0][0]) > most else None
+            if found is None:
                 out.append(edge)
-                return
-            _, axis, p, k = best
-            at = float(p[k, axis])
+                continue
+            axis, k = found
+            at = float(orders[axis][axis][k])
             low, high = list(edge), list(edge)
             low[axis + 2] = high[axis] = at
-            split(p[:k], tuple(low))
-            split(p[k:], tuple(high))
-
-        split(sample, (-INF, -INF, INF, INF)) if len(sample) else out.append((-INF, -INF, INF, INF))
+            below = [o[axis] < at for o in orders]
+            work.append((tuple(tuple(c[~m] for c in o) for o, m in zip(orders, below)), tuple(high)))
+            work.append((tuple(tuple(c[m] for c in o) for o, m in zip(orders, below)), tuple(low)))
         return _tiles(out, name)
 
     return build
