@@ -53,18 +53,18 @@ def _test(left_point: bool, right_point: bool, refine: Column | None) -> Column:
 
 
 def choose_cell(left: DataFrame, right: DataFrame) -> tuple[float, float, float]:
-    """(x0, y0, side) of the finest cells: the side is that of the typical rectangle or of a cell with a few rows, if that is larger."""
+    """(x0, y0, side) of the finest cells: the side is that of the typical rectangle, or of all if none is twice as large, or of a cell with a few rows, if that is larger."""
     stats = []
     for df, p in ((left, "l_"), (right, "r_")):
         w, h = F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1")
-        stats.append(df.agg(F.count("*"), F.min(f"{p}x1"), F.min(f"{p}y1"), F.max(f"{p}x2"), F.max(f"{p}y2"), F.percentile_approx(F.greatest(w, h), 0.5, 1000)).first())
+        stats.append(df.agg(F.count("*"), F.min(f"{p}x1"), F.min(f"{p}y1"), F.max(f"{p}x2"), F.max(f"{p}y2"), F.percentile_approx(F.greatest(w, h), 0.5, 1000), F.max(F.greatest(w, h))).first())
     stats = [s for s in stats if s[0]]
     if not stats:
         return 0.0, 0.0, 1.0
     x1, y1 = min(s[1] for s in stats), min(s[2] for s in stats)
     x2, y2 = max(s[3] for s in stats), max(s[4] for s in stats)
     rows = max(s[0] for s in stats)
-    side = max(max(s[5] for s in stats), math.sqrt(max((x2 - x1) * (y2 - y1), 1e-12) / max(rows, 1)) * 2)
+    side = max(max(min(2 * s[5], s[6]) for s in stats), math.sqrt(max((x2 - x1) * (y2 - y1), 1e-12) / max(rows, 1)) * 2)
     return x1, y1, side if side > 0 else 1.0
 
 
@@ -85,31 +85,34 @@ def spatial_join(left: DataFrame, right: DataFrame, keep_left: list[str] | None
         return a.join(F.broadcast(b), test).select(*out) if small_right else b.join(F.broadcast(a), test).select(*out)
     x0, y0, side = cell or choose_cell(a, b)
 
-    def at(v: Column, low: float, level: Column) -> Column:
-        return F.floor((v - low) / (F.lit(side) * F.pow(F.lit(float(LEVEL_STEP)), level))).cast("long")
+    def width(level: Column) -> Column:
+        return F.lit(side) * F.pow(F.lit(float(LEVEL_STEP)), level)
+
+    def at(v: Column, low: float, width: Column) -> Column:
+        return F.floor((v - low) / width).cast("long")
 
     def level_of(p: str) -> Column:
         extent = F.greatest(F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1"))
         level = F.greatest(F.ceil(F.log(F.greatest(extent / side, F.lit(1e-9))) / math.log(LEVEL_STEP)), F.lit(0))
         return F.least(level, F.lit(levels - 1)).cast("int")
 
-    def cells(df: DataFrame, p: str, level: Column) -> DataFrame:
-        """A row for each cell of ``level`` that the rectangle touches; the same rounding as for the reference point."""
+    def cells(df: DataFrame, p: str, width: Column) -> DataFrame:
+        """A row for each cell of a level that the rectangle touches; the same rounding as for the reference point."""
         x1, y1, x2, y2 = (F.col(f"{p}{c}") for c in R.BOX)
-        df = df.withColumn(f"{p}cx", F.explode(F.sequence(at(x1, x0, level), at(x2, x0, level))))
-        return df.withColumn(f"{p}cy", F.explode(F.sequence(at(y1, y0, level), at(y2, y0, level))))
+        df = df.withColumn(f"{p}cx", F.explode(F.sequence(at(x1, x0, width), at(x2, x0, width))))
+        return df.withColumn(f"{p}cy", F.explode(F.sequence(at(y1, y0, width), at(y2, y0, width))))
 
     # A pair meets on the coarser of its rows' levels: each row goes to its own level and up to all coarser ones.
     def spread(df: DataFrame, p: str) -> DataFrame:
         df = df.withColumn(f"{p}own", level_of(p))
         df = df.withColumn(f"{p}level", F.explode(F.sequence(F.col(f"{p}own"), F.lit(levels - 1))))
-        return cells(df, p, F.col(f"{p}level"))
+        return cells(df.withColumn(f"{p}width", width(F.col(f"{p}level"))), p, F.col(f"{p}width"))
 
     a, b = _with_levels(spread(a, "l_"), "l_", level_of, b, "r_"), _with_levels(spread(b, "r_"), "r_", level_of, a, "l_")
     px, py = R.reference_point(R.rect("l_"), R.rect("r_"))
     same = (F.col("l_level") == F.col("r_level")) & (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy"))
-    once = (F.col("l_level") == F.greatest("l_own", "r_own")) & (at(px, x0, F.col("l_level")) == F.col("l_cx")) & (at(py, y0, F.col("l_level")) == F.col("l_cy"))
-    return a.join(b, same & once & test).select(*out)
+    once = (F.col("l_level") == F.greatest("l_own", "r_own")) & (at(px, x0, F.col("l_width")) == F.col("l_cx")) & (at(py, y0, F.col("l_width")) == F.col("l_cy"))
+    return a.join(b, same & test & once).select(*out)
 
 
 def _with_levels(spread: DataFrame, p: str, level_of, other: DataFrame, q: str) -> DataFrame:
