@@ -13,13 +13,14 @@ from stratum.functions import curves, rects as R, tags as T
 from stratum.kernel import shapes as S
 from stratum.operators import geometry as G, index, joins, polygons, raster, select
 from stratum.plans import catalog as C
-from stratum.scratch import Scratch
+from stratum.scratch import Scratch, spread
 from stratum.sources import files, osm, text
 
 # Diamonds: squares on their corners. Two of them meet if their centres' distances in x and y together are at most their radii.
 
 
 def _diamonds(df: DataFrame, key: str, radius) -> DataFrame:
+    df, radius = spread(df.select(key, radius.alias("radius")), key), F.col("radius")
     x, y = F.col(key) * 7919 % 10007, F.col(key) * 104729 % 10007
     point = lambda a, b: F.concat(a.cast("string"), F.lit(" "), b.cast("string"))
     ring = F.concat_ws(", ", point(x - radius, y), point(x, y - radius), point(x + radius, y), point(x, y + radius), point(x - radius, y))
@@ -311,6 +312,7 @@ def _osm_edges(spark, sf):
 
 
 def _boxes(df, x, y, w, h):
+    df = spread(df, df.columns[0])
     point = lambda a, b: F.concat(a.cast("string"), F.lit(" "), b.cast("string"))
     ring = F.concat_ws(", ", point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h), point(x, y))
     return df.select("*", G.from_wkt(F.concat(F.lit("POLYGON (("), ring, F.lit("))"))).alias("geom"))

@@ -1,10 +1,14 @@
 """Steps that must grow no faster than their input."""
 
+import random
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from stratum.kernel import partition as P
+from stratum.kernel import partition as P, plain, shapes as S
+from stratum.operators import geometry as G
+from stratum.plans import wide
 
 
 def test_bulk_splits_that_cut_off_few_points_need_little_memory():
@@ -15,3 +19,32 @@ def test_bulk_splits_that_cut_off_few_points_need_little_memory():
     tracemalloc.stop()
     assert peak < 30 * pts.nbytes
     assert np.bincount(np.searchsorted(cells.ids, cells.assign(pts[:, 0], pts[:, 1]))).max() <= 10
+
+
+def _ring(r, corners):
+    x, y = r.randrange(12), r.randrange(12)
+    pts = [(float(x + r.randrange(7)), float(y + r.randrange(7))) for _ in range(corners)]
+    return "POLYGON", [[*pts, pts[0]]]
+
+
+def test_plain_polygons_together_are_as_one_by_one():
+    r = random.Random(1)
+    for n, m in ((3, 3), (4, 4), (5, 3)):
+        a, b = [_ring(r, n) for _ in range(2000)], [_ring(r, m) for _ in range(2000)]
+        (at, c), (_, d) = (next(plain.rings([S.to_wkb(g) for g in x])) for x in (a, b))
+        assert len(at) == 2000 and plain.meet(c, d).tolist() == [S.intersects(x, y) for x, y in zip(a, b)]
+        assert plain.areas(c).tolist() == [S.area(x) for x in a] and plain.texts(c) == [S.to_wkt(x) for x in a]
+        assert [plain.wkb_of(S.to_wkt(x)) for x in a] == [S.to_wkb(x) for x in a]
+    assert plain.wkb_of("POLYGON ((0 0, 1 1),(2 2, 3 3))") is None and plain.wkb_of("POLYGON EMPTY") is None
+
+
+def test_join_of_polygons_that_touch_in_a_corner(spark):
+    """Exact tests are closed, so rectangles with a common edge are candidates; those of the filter alone aren't."""
+    rows = [(1, "POLYGON ((0 0, 2 2, 4 0, 2 -2, 0 0))"), (2, "POLYGON ((4 0, 6 2, 8 0, 6 -2, 4 0))"), (3, "LINESTRING (8 0, 9 5)"), (4, None)]
+    df = G.with_boxes(spark.createDataFrame(rows, "id long, wkt string").select("id", G.from_wkt("wkt").alias("geom")))
+    pairs = lambda *a: sorted(map(tuple, G.join_geometries(df, df, ["id"], ["id"], *a, strategy="grid").where("l_id < r_id").collect()))
+    assert pairs() == [(1, 2), (2, 3)] and pairs(True) == []
+
+
+def test_geometries_of_a_narrow_table_are_made_in_many_tasks(spark):
+    assert wide.diamonds_part(spark, "/root/testdata/sf0.01").select(F.spark_partition_id()).distinct().count() > 1
