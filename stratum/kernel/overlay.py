@@ -1,8 +1,8 @@
 """Union of polygons by arranging their edges.
 
 All edges are split where they cross or touch each other; a piece is on the boundary of the union if the
-polygons cover just one of its sides. Boundary pieces are joined to rings, the covered side left. Coordinates are rationals
-while crossings are computed, so the arrangement is exact; results are doubles.
+polygons cover just one of its sides. Boundary pieces are joined to rings, the covered side left. Coordinates are whole multiples of a common
+power of two, and rationals at crossings, so the arrangement is exact; results are doubles.
 """
 
 from __future__ import annotations
@@ -21,10 +21,28 @@ def _rings(polygon: tuple) -> list[list]:
         if len(pts) > 1 and pts[0] == pts[-1]:
             pts = pts[:-1]
         if len(pts) > 2:
-            out.append([(Fraction(x), Fraction(y)) for x, y in pts])
+            out.append(pts)
     return out
 
 
+def _whole(polygons: list[list]) -> tuple[list[list], int]:
+    """Coordinates times the least power of two that makes all of them even whole numbers (so that middles are whole too), and that power."""
+    ratios = {v: float(v).as_integer_ratio() for rings in polygons for r in rings for p in r for v in p}
+    scale = 2 * max((q for _, q in ratios.values()), default=1)
+    whole = {v: n * (scale // q) for v, (n, q) in ratios.items()}
+    return [[[(whole[x], whole[y]) for x, y in r] for r in rings] for rings in polygons], scale
+
+
+def _ratio(n, q):
+    """n / q, whole if it can be."""
+    v = Fraction(n, q)
+    return v.numerator if v.denominator == 1 else v
+
+
+def _half(v):
+    return v >> 1 if isinstance(v, int) and not v & 1 else Fraction(v) / 2
+
+
 def _cross(ax, ay, bx, by):
     return ax * by - ay * bx
 
@@ -40,15 +58,19 @@ def _cuts(s: tuple, t: tuple) -> list:
             return []
         n = r[0] * r[0] + r[1] * r[1]
         return [p for p in (c, d) if 0 <= (p[0] - a[0]) * r[0] + (p[1] - a[1]) * r[1] <= n]
-    u, v = _cross(*w, *q) / den, _cross(*w, *r) / den
-    return [(a[0] + u * r[0], a[1] + u * r[1])] if 0 <= u <= 1 and 0 <= v <= 1 else []
+    u, v = _cross(*w, *q), _cross(*w, *r)
+    if den < 0:
+        den, u, v = -den, -u, -v
+    if not (0 <= u <= den and 0 <= v <= den):
+        return []
+    return [a if u == 0 else b if u == den else (_ratio(a[0] * den + u * r[0], den), _ratio(a[1] * den + u * r[1], den))]
 
 
 def _inside(p: tuple, rings: list) -> bool:
     hit = False
     for r in rings:
         for a, b in zip(r, [*r[1:], r[0]]):
-            if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]:
+            if (a[1] > p[1]) != (b[1] > p[1]) and _cross(b[0] - a[0], b[1] - a[1], p[0] - a[0], p[1] - a[1]) * (1 if b[1] > a[1] else -1) > 0:
                 hit = not hit
     return hit
 
@@ -73,12 +95,14 @@ def _pieces(polygons: list[list]) -> set:
     return out
 
 
-def _sides(piece: tuple, polygons: list) -> tuple[bool, bool]:
-    """Whether the polygons cover the left and the right of a piece."""
+def _sides(piece: tuple, polygons: list[tuple]) -> tuple[bool, bool]:
+    """Whether the polygons, each with its rectangle, cover the left and the right of a piece."""
     (a, b) = piece
-    mid = ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
+    mid = _half(a[0] + b[0]), _half(a[1] + b[1])
     left = right = False
-    for rings in polygons:
+    for rings, (x1, y1, x2, y2) in polygons:
+        if not (x1 <= mid[0] <= x2 and y1 <= mid[1] <= y2):
+            continue
         on = False
         base = _inside(mid, rings)
         for r in rings:
@@ -107,13 +131,15 @@ def _sides(piece: tuple, polygons: list) -> tuple[bool, bool]:
 def union(geometries: list[tuple]) -> tuple:
     """The union of all polygons in them, as POLYGON or MULTIPOLYGON."""
     polygons = [r for g in geometries for s in flatten(g) if s[0] == "POLYGON" and (r := _rings(s))]
+    polygons, scale = _whole(polygons)
+    boxed = [(rings, (min(xs := [p[0] for r in rings for p in r]), min(ys := [p[1] for r in rings for p in r]), max(xs), max(ys))) for rings in polygons]
     outgoing = defaultdict(list)
     for a, b in _pieces(polygons):
-        left, right = _sides((a, b), polygons)
+        left, right = _sides((a, b), boxed)
         if left != right:
             p, q = (a, b) if left else (b, a)
             outgoing[p].append(q)
-    rings = _chain(outgoing)
+    rings = _chain(outgoing, scale)
     shells, holes = [], []
     for r in rings:
         s = sum(_cross(*p, *q) for p, q in zip(r, [*r[1:], r[0]]))
@@ -126,7 +152,7 @@ def union(geometries: list[tuple]) -> tuple:
             if _inside(probe, [part[0]]):
                 part.append(h)
                 break
-    close = lambda r: [(float(x), float(y)) for x, y in [*r, r[0]]]
+    close = lambda r: [(_float(x, scale), _float(y, scale)) for x, y in [*r, r[0]]]
     out = sorted([close(r) for r in part] for part in parts)
     return ("POLYGON", out[0]) if len(out) == 1 else ("MULTIPOLYGON", out)
 
@@ -134,11 +160,14 @@ def union(geometries: list[tuple]) -> tuple:
 def _just_inside(ring: list) -> tuple:
     """A point of a hole's edge moved a little to its left, where the union lies."""
     a, b = ring[0], ring[1]
-    mid = ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
-    return mid
+    return _half(a[0] + b[0]), _half(a[1] + b[1])
+
+
+def _float(v, scale: int) -> float:
+    return v / scale if isinstance(v, int) else float(v / scale)
 
 
-def _chain(outgoing: dict) -> list[list]:
+def _chain(outgoing: dict, scale: int) -> list[list]:
     """Rings of directed pieces; at a point where several leave, the one that turns most to the right, so rings that only touch stay apart."""
     rings = []
     starts = sorted(outgoing)
@@ -149,8 +178,9 @@ def _chain(outgoing: dict) -> list[list]:
                 ring.append(q)
                 options = outgoing[q]
                 if len(options) > 1:
-                    back = math.atan2(float(p[1] - q[1]), float(p[0] - q[0]))
-                    options.sort(key=lambda o: (math.atan2(float(o[1] - q[1]), float(o[0] - q[0])) - back) % (2 * math.pi))
+                    angle = lambda o, q=q: math.atan2(_float(o[1] - q[1], scale), _float(o[0] - q[0], scale))
+                    back = angle(p)
+                    options.sort(key=lambda o: (angle(o) - back) % (2 * math.pi))
                 p, q = q, options.pop()
             rings.append(_straight(ring))
     return [r for r in rings if len(r) > 2]

@@ -14,7 +14,7 @@ from stratum.functions import rects as R
 from stratum.kernel import overlay, shapes as S
 from stratum.operators import geometry
 from stratum.operators.joins import self_join
-from stratum.scratch import Scratch
+from stratum.scratch import Scratch, spread
 
 BATCH = 500
 
@@ -54,28 +54,28 @@ def groups(df: DataFrame, key: str = "id") -> DataFrame:
 
 def union(df: DataFrame, key: str = "id", cell: float | None = None) -> DataFrame:
     """(label, geom): one geometry for each connected group of polygons."""
-    b = with_boxes(df)
+    b = Scratch(df.sparkSession, "union").save(with_boxes(df), "boxes")  # read by each step of the groups
     placed = b.join(groups(b, key).withColumnRenamed("id", key), key)
     if cell:
         x, y = R.centre(R.rect())
         run, schema = _united("label long, cx long, cy long", ["label", "cx", "cy"])
-        placed = placed.select("label", F.floor(x / cell).alias("cx"), F.floor(y / cell).alias("cy"), "geom").groupBy("label", "cx", "cy").applyInPandas(run, schema)
+        placed = placed.select("label", F.floor(x / cell).alias("cx"), F.floor(y / cell).alias("cy"), "geom").transform(spread, "label", "cx", "cy").groupBy("label", "cx", "cy").applyInPandas(run, schema)
     run, schema = _united("label long", ["label"])
-    return placed.select("label", "geom").groupBy("label").applyInPandas(run, schema)
+    return spread(placed.select("label", "geom"), "label").groupBy("label").applyInPandas(run, schema)
 
 
 def union_by(df: DataFrame, category: str) -> DataFrame:
     """(category, geom): one geometry per category."""
     kind = df.schema[category].dataType.simpleString()
     run, schema = _united(f"`{category}` {kind}", [category])
-    return df.where("geom IS NOT NULL").select(category, "geom").groupBy(category).applyInPandas(run, schema)
+    return spread(df.where("geom IS NOT NULL").select(category, "geom"), category).groupBy(category).applyInPandas(run, schema)
 
 
 def union_boundaries(df: DataFrame, cell: float, key: str = "id") -> DataFrame:
     """(cx, cy, x1, y1, x2, y2): the boundary lines of the union of all polygons, clipped to cells: each cell unites the polygons that touch it."""
     b = with_boxes(df)
     f = lambda c: F.floor(F.col(c) / cell).cast("long")
-    spread = b.select("geom", F.explode(F.sequence(f("x1"), f("x2"))).alias("cx"), f("y1").alias("r1"), f("y2").alias("r2")).select("geom", "cx", F.explode(F.sequence("r1", "r2")).alias("cy"))
+    placed = b.select("geom", F.explode(F.sequence(f("x1"), f("x2"))).alias("cx"), f("y1").alias("r1"), f("y2").alias("r2")).select("geom", "cx", F.explode(F.sequence("r1", "r2")).alias("cy"))
 
     def lines(key, rows: pd.DataFrame) -> pd.DataFrame:
         cx, cy = key
@@ -86,7 +86,7 @@ def union_boundaries(df: DataFrame, cell: float, key: str = "id") -> DataFrame:
                 out += [(cx, cy, *c) for a, q in zip(ring, ring[1:]) if (c := clip(a, q, box))]
         return pd.DataFrame(out, columns=["cx", "cy", "x1", "y1", "x2", "y2"])
 
-    return spread.groupBy("cx", "cy").applyInPandas(lines, "cx long, cy long, x1 double, y1 double, x2 double, y2 double")
+    return spread(placed, "cx", "cy").groupBy("cx", "cy").applyInPandas(lines, "cx long, cy long, x1 double, y1 double, x2 double, y2 double")
 
 
 def clip(a: tuple, b: tuple, box: tuple) -> tuple | None:
