@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from stratum.functions import curves, rects as R
-from stratum.kernel import partition as P, sweep
+from stratum.kernel import hull as H, partition as P, sweep
 from stratum.operators.joins import _test, boxed, partition_pairs, spatial_join
 from stratum.operators.select import in_range, is_point
+from stratum.scratch import Scratch, spread
 
 SAMPLE_ROWS = 100_000
 #: Trees built point by point take a smaller sample.
@@ -88,7 +89,9 @@ def sample_points(df: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[tuple, int, n
 
 def assign(df: DataFrame, partitioner, disjoint: bool) -> DataFrame:
     """``df`` with a cell_id: one per row, or a row for each cell that it touches. Rows without geometry go."""
-    keep = boxed(df).where("x1 IS NOT NULL AND y1 IS NOT NULL")
+    if isinstance(partitioner, P.Cells):
+        partitioner.prepare()
+    keep = spread(boxed(df).where("x1 IS NOT NULL AND y1 IS NOT NULL"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,11 +137,44 @@ def _create(df: DataFrame, path: str, partitioner, replicate: bool, box: tuple)
     return Index(spark, path)
 
 
+def curve_ranges(df: DataFrame, kind: str, box: tuple, n: int, cells: int) -> P.Curve:
+    """Ranges of a curve with equal shares of all rows, not of a sample: rows are counted by the upper half of their place on the curve, of which there are
+    32,768, and within the blocks that hold an end of a range by its lower half."""
+    curve = P.Curve(box, np.zeros(0, np.int64), kind, kind)
+    ranks = np.unique([n * k // cells for k in range(1, cells)]).astype(np.int64)
+    if not n or not len(ranks):
+        return curve
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v, m = np.unique(curve.values(b.x.to_numpy(float), b.y.to_numpy(float)), return_counts=True)
+            yield pd.DataFrame({"high": v >> 15, "low": v & 32767, "m": m})
+
+    x, y = R.centre(R.rect())
+    scratch = Scratch(df.sparkSession, "curve")
+    counted = scratch.save(boxed(df).where("x1 IS NOT NULL AND y1 IS NOT NULL").select(x.alias("x"), y.alias("y")).mapInPandas(places, "high long, low long, m long").groupBy("high", "low").agg(F.sum("m").alias("m")), "places")
+    blocks = counted.groupBy("high").agg(F.sum("m").alias("m")).orderBy("high").toPandas()  # at most 32,768 rows
+    ends = blocks.m.cumsum().to_numpy()
+    block = np.searchsorted(ends, ranks, side="right")
+    wanted = {int(blocks.high[i]): ranks[block == i] - (ends[i] - blocks.m[i]) for i in np.unique(block).tolist()}
+
+    def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("low")
+        at = np.searchsorted(rows.m.cumsum().to_numpy(), wanted[int(key[0])], side="right")
+        return pd.DataFrame({"v": (int(key[0]) << 15) + rows.low.to_numpy()[np.unique(at)]})
+
+    held = df.sparkSession.createDataFrame([(h,) for h in wanted], "high long")
+    splits = counted.join(F.broadcast(held), "high").groupBy("high").applyInPandas(pick, "v long").toPandas().v  # fewer than cells
+    scratch.drop("places")
+    return P.Curve(box, np.unique(splits.to_numpy(np.int64)), kind, kind)
+
+
 def build_index(df: DataFrame, path: str, kind: str = "str", rows_per_cell: int = CELL_ROWS, disjoint: bool | None = None) -> Index:
     """Partitions and writes ``df``. ``kind``: a named combination (which says whether rows are replicated) or a builder's name."""
     name, named = P.NAMED.get(kind, (kind, False))
     box, n, sample = sample_points(df, INSERTION_ROWS if "bb" in name else SAMPLE_ROWS)
-    partitioner = P.build(name, box, -(-n // rows_per_cell) or 1, sample)
+    cells = -(-n // rows_per_cell) or 1
+    partitioner = curve_ranges(df, name, box, n, cells) if name in ("zcurve", "hilbert") else P.build(name, box, cells, sample)
     return _create(df, path, partitioner, (named if disjoint is None else disjoint) and partitioner.disjoint, box)
 
 
@@ -194,7 +230,10 @@ def skyline_cells(index: Index, direction: str = "max-max") -> DataFrame:
     near = np.stack([np.where(sx > 0, cells.x1, -cells.x2), np.where(sy > 0, cells.y1, -cells.y2)], axis=1)
     # A row on the far side in x is at least as high as the near side in y, and the other way round.
     sure = np.vstack([np.stack([far[:, 0], near[:, 1]], axis=1), np.stack([near[:, 0], far[:, 1]], axis=1)])
-    keep = [not ((sure >= f).all(axis=1) & (sure > f).any(axis=1)).any() for f in far]
+    best = H.skyline(sure)[::-1]  # by x upwards, y downwards: of those no less in x than a cell the first is the highest
+    at = np.searchsorted(best[:, 0], far[:, 0], side="left")
+    there = best[np.minimum(at, len(best) - 1)]
+    keep = ~((at < len(best)) & (there[:, 1] >= far[:, 1]) & (there > far).any(axis=1))
     return index.meta.where(F.col("cell_id").isin([int(c) for c, k in zip(cells.cell_id, keep) if k]))
 
 
