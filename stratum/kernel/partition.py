@@ -15,7 +15,58 @@ import numpy as np
 
 INF = math.inf
 #: Entries of a tiling's table of cells (four bytes each).
-SLOTS = 1 << 24
+SLOTS = 1 << 20
+#: Cells in a leaf of the tree over a tiling with more edges, and numbers that a comparison of points with all cells holds at a time.
+LEAF, CHUNK = 8, 1 << 18
+
+
+class _Tree:
+    """Finds cells of a tiling by halving the plane: nodes as arrays, so that points go down level by level, all at once."""
+
+    def __init__(self, b: np.ndarray) -> None:
+        self.axis, self.at, self.low, leaves = [0], [0.0], [-1], {}
+        work = [(0, np.arange(len(b)))]
+        while work:
+            node, k = work.pop()
+            best = None
+            for axis in (0, 1) if len(k) > LEAF else ():
+                edges = b[k][:, [axis, axis + 2]]
+                inner = np.unique(edges[np.isfinite(edges)])
+                if len(inner):
+                    low, high = np.sort(edges[:, 0]), np.sort(edges[:, 1])
+                    # Cells that begin before an edge go down on its left, those that end beyond it on its right.
+                    larger = np.maximum(np.searchsorted(low, inner, "left"), len(k) - np.searchsorted(high, inner, "right"))
+                    j = int(larger.argmin())
+                    best = min(best or (len(k), 0, 0.0), (int(larger[j]), axis, float(inner[j])))
+            if best is None or best[0] >= len(k):
+                leaves[node] = k
+                continue
+            _, axis, at = best
+            self.axis[node], self.at[node], self.low[node] = axis, at, len(self.at)
+            for part in (k[b[k, axis] < at], k[b[k, axis + 2] > at]):
+                work.append((len(self.at), part))
+                self.axis.append(0), self.at.append(0.0), self.low.append(-1)
+        self.axis, self.at, self.low = np.array(self.axis), np.array(self.at), np.array(self.low)
+        self.cells = np.full((len(self.at), max((len(k) for k in leaves.values()), default=1) or 1), -1, np.int32)
+        for node, k in leaves.items():
+            self.cells[node, : len(k)] = k
+
+    def pairs(self, x1, y1, x2, y2) -> tuple[np.ndarray, np.ndarray]:
+        """(places of rectangles, cells that may touch them)."""
+        row, node, low, high = np.arange(len(x1)), np.zeros(len(x1), np.int64), np.stack([x1, y1]), np.stack([x2, y2])
+        done = []
+        while len(row):
+            leaf = self.low[node] < 0
+            done.append((row[leaf], node[leaf]))
+            row, node = row[~leaf], node[~leaf]
+            a, at = self.axis[node], self.at[node]
+            left = low[a, row] < at
+            right = ~left | (high[a, row] > at)
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([self.low[node[left]], self.low[node[right]] + 1])
+        row, node = (np.concatenate(v) if done else np.zeros(0, np.int64) for v in zip(*done)) if done else (row, node)
+        cells = self.cells[node]
+        i, j = np.nonzero(cells >= 0)
+        return row[i], cells[i, j]
 
 
 @dataclass
@@ -46,6 +97,22 @@ class Cells:
                 self._slots = xs, ys, table
         return self._slots
 
+    def prepare(self) -> None:
+        """Builds the tree where it will be needed, so that it travels with the partitioner and isn't built in each task."""
+        if self.disjoint and self.slots() is None and "_tree" not in self.__dict__:
+            self._tree = _Tree(self.boxes)
+
+    def touching(self, x1, y1, x2, y2) -> tuple[np.ndarray, np.ndarray]:
+        """(places of rectangles, cells that they touch) of disjoint cells, by places."""
+        if "_tree" not in self.__dict__:
+            self._tree = _Tree(self.boxes)
+        x1, y1, x2, y2 = (np.asarray(v, float) for v in (x1, y1, x2, y2))
+        row, k = self._tree.pairs(x1, y1, x2, y2)
+        a, c, d, e, b = x1[row], y1[row], x2[row], y2[row], self.boxes[k]
+        hit = (a < b[:, 2]) & ((d > b[:, 0]) | (a >= b[:, 0])) & (c < b[:, 3]) & ((e > b[:, 1]) | (c >= b[:, 1]))
+        both = np.unique(np.stack([row[hit], k[hit]], axis=1), axis=0)
+        return both[:, 0], both[:, 1]
+
     def assign(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if slots := self.slots():
             xs, ys, table = slots
@@ -56,13 +123,21 @@ class Cells:
                 ids[out] = self._nearest(x[out], y[out])
                 return ids
             return self.ids[k]
+        if self.disjoint and len(x):
+            row, k = self.touching(x, y, x, y)
+            ids, out = np.empty(len(x), np.int64), np.ones(len(x), bool)
+            ids[row], out[row] = self.ids[k], False
+            if out.any():
+                ids[out] = self._nearest(x[out], y[out])
+            return ids
         return self._nearest(x, y)
 
     def _nearest(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         b = self.boxes
         out = np.empty(len(x), np.int64)
-        for i in range(0, len(x), 4096):
-            px, py = x[i : i + 4096, None], y[i : i + 4096, None]
+        step = max(1, CHUNK // max(len(b), 1))
+        for i in range(0, len(x), step):
+            px, py = x[i : i + step, None], y[i : i + step, None]
             inside = (px >= b[:, 0]) & (px < b[:, 2]) & (py >= b[:, 1]) & (py < b[:, 3])
             size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
             finite = np.where(np.isfinite(size), size, 1e300)
@@ -70,7 +145,7 @@ class Cells:
                 grown = (np.maximum(b[:, 2], px) - np.minimum(b[:, 0], px)) * (np.maximum(b[:, 3], py) - np.minimum(b[:, 1], py))
             cost = np.where(inside, -1.0, np.where(np.isfinite(grown), grown - finite, 1e300))
             best = cost.min(axis=1, keepdims=True)
-            out[i : i + 4096] = np.argmin(np.where(cost == best, finite, np.inf), axis=1)
+            out[i : i + step] = np.argmin(np.where(cost == best, finite, np.inf), axis=1)
         return self.ids[out]
 
     def overlaps(self, x1, y1, x2, y2) -> list[np.ndarray]:
@@ -84,6 +159,9 @@ class Cells:
                 k = np.array([one]) if a == d and c == e else np.unique(table[a : d + 1, c : e + 1])
                 out.append(self.ids[k[k >= 0]])
             return out
+        if self.disjoint and len(x1):
+            row, k = self.touching(x1, y1, x2, y2)
+            return np.split(self.ids[k], np.searchsorted(row, np.arange(1, len(x1))))
         for a, c, d, e in zip(x1, y1, x2, y2):
             hit = (a < b[:, 2]) & ((d > b[:, 0]) | (a >= b[:, 0])) & (c < b[:, 3]) & ((e > b[:, 1]) | (c >= b[:, 1]))
             out.append(self.ids[hit])

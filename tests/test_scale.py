@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stratum.kernel import overlay, partition as P, plain, shapes as S
-from stratum.operators import geometry as G, polygons
+from stratum.operators import geometry as G, index, polygons
 from stratum.plans import wide
 
 
@@ -64,3 +64,43 @@ def test_union_is_exact_and_quick_for_many_boxes():
 def test_unions_of_groups_are_dealt_to_many_tasks(spark):
     df = spark.range(40).select((F.col("id") % 20).alias("k"), G.from_wkt(F.lit("POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))")).alias("geom"))
     assert polygons.union_by(df, "k").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_curve_ranges_hold_equal_shares_of_all_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SAMPLE_ROWS", 200)
+    r = np.random.default_rng(4)
+    x, y = r.random(3000) ** 3 * 100, r.random(3000) * 50
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    for kind in ("zcurve", "hilbert"):
+        got = index.build_index(df, str(tmp_path / kind), kind, 30).partitioner()
+        v = np.sort(got.values(x, y))
+        assert got.splits.tolist() == np.unique([v[3000 * k // 100] for k in range(1, 100)]).tolist()
+
+
+def test_cells_of_a_large_tiling_are_found_without_a_look_at_all():
+    r = np.random.default_rng(2)
+    pts = r.random((50_000, 2)) * 1000
+    for kind in ("kdtree", "str"):
+        c = P.build(kind, (0.0, 0.0, 1000.0, 1000.0), 16_000, pts)
+        assert c.slots() is None
+        c.prepare()
+        began = time.process_time()
+        x, y = r.random(20_000) * 1100 - 50, r.random(20_000) * 1000
+        ids, many = c.assign(x, y), c.overlaps(x, y, x + 5, y + 5)
+        assert time.process_time() - began < 5
+        assert ids[:200].tolist() == c._nearest(x[:200], y[:200]).tolist()
+        b = c.boxes
+        for i in range(200):
+            assert sorted(many[i]) == sorted(c.ids[(x[i] < b[:, 2]) & (x[i] + 5 > b[:, 0]) & (y[i] < b[:, 3]) & (y[i] + 5 > b[:, 1])])
+
+
+def test_cells_that_overlap_are_compared_in_bounded_memory():
+    r = np.random.default_rng(3)
+    b = r.random((5_000, 2)) * 1000
+    c = P.Cells(np.hstack([b, b + 1]), np.arange(5_000), False)
+    x, y = r.random((2, 1_000)) * 1000
+    tracemalloc.start()
+    c.assign(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
